@@ -252,8 +252,8 @@ def confirm_stream(spark, sf_dir):
     messages = sc.frame_messages(inputs.detections(spark, sf_dir))
     messages.write.parquet(f"{root}/staged")
     staged = spark.read.parquet(f"{root}/staged")
-    half = staged.agg((F.max("tick") / 2).alias("half")).first().half
-    for part in (F.col("tick") <= half, F.col("tick") > half):
+    half = staged.agg((F.max("frame_number") / 2).alias("half")).first().half
+    for part in (F.col("frame_number") <= half, F.col("frame_number") > half):
         staged.filter(part).write.mode("append").parquet(f"{root}/in")
         stream = sc.confirm_stream(spark.readStream.schema(staged.schema).parquet(f"{root}/in"))
         sink = stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")

@@ -28,10 +28,15 @@ OUTPUT = (
 )
 
 
-def frame_messages(detections: DataFrame) -> DataFrame:
-    """Batch helper: one row per non-empty frame with its tick and its boxes."""
+def frame_messages(detections: DataFrame, start: str = "2024-01-01 00:00:00", fps: int = 25) -> DataFrame:
+    """Batch helper: one row per non-empty frame with its time, its tick and its boxes.
+
+    A frame holds what one detector call returned, a bounded list.
+    """
     boxes = F.sort_array(F.collect_list(F.struct(*BOX_FIELDS))).alias("boxes")
-    return detections.groupBy(*FRAME).agg(boxes).join(frame_ticks(detections), list(FRAME))
+    at = F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + F.expr(f"frame_number * 1000000 div {fps}"))
+    framed = detections.groupBy(*FRAME).agg(boxes).join(frame_ticks(detections), list(FRAME))
+    return framed.withColumn("frame_time", at)
 
 
 def trigger_rows(messages: DataFrame, rule: Confirmation = RULE) -> DataFrame:
@@ -49,8 +54,8 @@ def trigger_rows(messages: DataFrame, rule: Confirmation = RULE) -> DataFrame:
             F.exists(motorcycles, lambda m: g.ioa(corners(r), corners(m)) >= rule.ioa).alias("hit"),
         ),
     )
-    return messages.select(*FRAME, "tick", F.explode(marked).alias("r")).select(
-        "camera_id", "session_id", "r.box.track_id", "frame_number", "tick", "r.hit", "r.box.class_id",
+    return messages.select(*FRAME, "frame_time", "tick", F.explode(marked).alias("r")).select(
+        "camera_id", "session_id", "r.box.track_id", "frame_number", "frame_time", "tick", "r.hit", "r.box.class_id",
         "r.box.confidence", *[f"r.box.{c}" for c in BOX],
     )
 
@@ -64,6 +69,7 @@ def _advance(rule: Confirmation, idle_ms: int):
             state.get if state.exists else (-1, None, 0, 0, 0.0, False)
         )
         rows = pd.concat(parts)
+        newest = rows["frame_time"].max()
         if not violated:
             # A frame at or before the last one seen is a repeat or out of order.
             rows = rows[rows["tick"] > last_tick].sort_values("tick")
@@ -92,24 +98,29 @@ def _advance(rule: Confirmation, idle_ms: int):
                     break
             if len(rows):
                 last_tick = int(rows["tick"].iloc[-1])
+        seen_ms = int(newest.timestamp() * 1000)
         clock = None if last_clock is None else int(last_clock)
         state.update((int(last_tick), clock, int(frozen), int(streak), float(total), bool(violated)))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(seen_ms, state.getCurrentWatermarkMs()) + idle_ms)
 
     return advance
 
 
-def confirm_stream(messages: DataFrame, rule: Confirmation = RULE, idle_seconds: int = 600) -> DataFrame:
+def confirm_stream(
+    messages: DataFrame, rule: Confirmation = RULE, delay: str = "1 minute", idle_seconds: int = 600
+) -> DataFrame:
     """Confirmed violations of a frame stream, one per track.
 
-    State of a track is dropped after ``idle_seconds`` without a row; a tracker gives up on a
-    lost track within seconds and does not use its id again.
+    Frames later than the watermark delay are dropped. State of a track is dropped after
+    ``idle_seconds`` of event time without a row; a tracker gives up on a lost track within
+    seconds and does not use its id again. The timeout is in event time on purpose: with
+    processing time a drain-and-stop run would never see its last batch.
     """
     found = (
-        trigger_rows(messages, rule)
+        trigger_rows(messages.withWatermark("frame_time", delay), rule)
         .groupBy(*TRACK)
         .applyInPandasWithState(
-            _advance(rule, idle_seconds * 1000), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+            _advance(rule, idle_seconds * 1000), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
     return found.select(
