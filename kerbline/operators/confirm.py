@@ -32,6 +32,7 @@ from kerbline.operators.ordered import (
     with_halo,
 )
 from kerbline.params import DISPLAY_IOA, MOTORCYCLE, RIDER_CLASSES, Confirmation, max_time_lost
+from kerbline.session import cut_lineage
 
 SESSION = ("camera_id", "session_id")
 TRACK = (*SESSION, "track_id")
@@ -228,7 +229,7 @@ def violation_summary(confirmed: DataFrame) -> DataFrame:
 
 def _rider_view(detections: DataFrame, rule: Confirmation, size: int) -> DataFrame:
     """Tracked rider rows with streak as of the frame and whether already violated."""
-    rows = streaks(_track_rows(detections, rule, RIDER_CLASSES, size), rule.patience, size)
+    rows = cut_lineage(streaks(_track_rows(detections, rule, RIDER_CLASSES, size), rule.patience, size))
     done = _confirmed(rows.filter("hit"), TRACK, rule.frames).select(
         *TRACK, F.col("frame_number").alias("confirmed_at")
     )

@@ -49,22 +49,29 @@ def dedup_batch(events: DataFrame, horizon_seconds: int = 30) -> DataFrame:
     stamped = events.withColumn("t", F.unix_micros("event_timestamp"))
     times = stamped.groupBy(*KEYS, "t").agg(F.min("event_id").alias("event_id"))
     gaps = previous(times.select(*KEYS, "t"), KEYS, "t", {"prev_t": "t"}, HOUR_US)
-    state = cut_lineage(
-        gaps.withColumn("certain", F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > horizon)).select(
-            *KEYS, "t", "certain"
-        )
-    )
-    kept = state.filter("certain").select(*KEYS, "t")
-    doubtful = state.filter("NOT certain").select(*KEYS, F.col("t").alias("next_t"))
-    # A pointer to a certain event ends the chain.
-    step = cut_lineage(_successors(state.select(*KEYS, "t"), horizon).join(doubtful, [*KEYS, "next_t"]))
+    quiet = F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > horizon)
+    state = cut_lineage(gaps.withColumn("certain", quiet))
+    certain, doubtful = state.filter("certain"), state.filter("NOT certain")
+
+    # Chains live in runs: a certain event, its doubtful followers, and the certain event
+    # that ends the run. Everything else is decided already.
+    crowded = doubtful.select(*KEYS, F.col("prev_t").alias("t"))
+    leaders = cut_lineage(certain.select(*KEYS, "t").join(crowded, [*KEYS, "t"], "left_semi"))
+    members = leaders.unionByName(doubtful.select(*KEYS, "t"))
+    ends = certain.join(members.withColumnRenamed("t", "prev_t"), [*KEYS, "prev_t"], "left_semi").select(*KEYS, "t")
+    busy = members.unionByName(ends).distinct()
+    targets = doubtful.select(*KEYS, F.col("t").alias("next_t"))
+    step = cut_lineage(_successors(busy, horizon).join(targets, [*KEYS, "next_t"], "left_semi"))
+
+    reached = leaders
     while not step.isEmpty():
-        reached = kept.join(step, [*KEYS, "t"]).select(*KEYS, F.col("next_t").alias("t"))
-        kept = cut_lineage(kept.unionByName(reached))
+        landed = reached.join(step, [*KEYS, "t"]).select(*KEYS, F.col("next_t").alias("t"))
+        reached = cut_lineage(reached.unionByName(landed))
         onward = step.select(*KEYS, F.col("t").alias("next_t"), F.col("next_t").alias("far_t"))
         step = cut_lineage(
             step.join(onward, [*KEYS, "next_t"]).select(*KEYS, "t", F.col("far_t").alias("next_t"))
         )
+    kept = certain.select(*KEYS, "t").unionByName(reached)
     chosen = times.join(kept, [*KEYS, "t"], "left_semi").select("event_id")
     return stamped.drop("t").join(chosen, "event_id", "left_semi")
 

@@ -18,6 +18,7 @@ from kerbline.operators.assign import solve_edges
 from kerbline.operators.graph import connected_components
 from kerbline.operators.ordered import CHUNK, previous
 from kerbline.params import MATCH_IOU
+from kerbline.session import cut_lineage
 
 SEQ = ("sequence_id",)
 FRAMES_PER_GROUP = 256
@@ -145,7 +146,10 @@ def _pct(numerator, denominator):
 
 
 def clear_mot(gt: DataFrame, pred: DataFrame, matches: DataFrame, keys: Sequence[str] = SEQ) -> DataFrame:
-    """CLEAR-MOT scores per evaluation unit, in percent; 0 where nothing can be divided."""
+    """CLEAR-MOT scores per evaluation unit, in percent; 0 where nothing can be divided.
+
+    ``matches`` is read several times: hand in a written or cached relation.
+    """
     counts = (
         _tallies(gt, pred, matches, keys)
         .groupBy(*keys)
@@ -202,7 +206,7 @@ def class_breakdown(
     if classes:
         gt = gt.filter(F.col("class_id").isin(list(classes)))
         pred = pred.filter(F.col("class_id").isin(list(classes)))
-    return clear_mot(gt, pred, frame_assignment(gt, pred, threshold, keys), keys)
+    return clear_mot(gt, pred, cut_lineage(frame_assignment(gt, pred, threshold, keys)), keys)
 
 
 def fragmentations(gt: DataFrame, matches: DataFrame, keys: Sequence[str] = SEQ, size: int = CHUNK) -> DataFrame:
@@ -238,7 +242,7 @@ def track_assignment(overlaps: DataFrame, keys: Sequence[str] = SEQ) -> DataFram
         shaped.filter(pred_star).groupBy(*keys, "pred_id").agg(pick_gt.alias("b")).select(*keys, "pred_id", "b.*")
     )
     easy = by_gt.select(*columns).unionByName(by_pred.select(*columns))
-    rest = shaped.filter(~gt_star & ~pred_star).select(*columns)
+    rest = cut_lineage(shaped.filter(~gt_star & ~pred_star).select(*columns))
     if rest.isEmpty():
         return easy
 
@@ -267,6 +271,7 @@ def global_idf1(
         .groupBy(*keys, "gt_id", "pred_id")
         .agg(F.count("*").alias("frames"))
     )
+    shared = cut_lineage(shared)
     idtp = track_assignment(shared, keys).groupBy(*keys).agg(F.sum("frames").alias("idtp"))
     none = gt.limit(0).select(*keys, F.lit(0.0).alias("iou"))
     totals = (
@@ -311,7 +316,7 @@ def metrics_long(
     gt: DataFrame, pred: DataFrame, threshold: float = MATCH_IOU, keys: Sequence[str] = SEQ
 ) -> DataFrame:
     """All scores as ``(keys..., metric, value)``. Fragmentation is not part of this report: 0."""
-    matches = frame_assignment(gt, pred, threshold, keys)
+    matches = cut_lineage(frame_assignment(gt, pred, threshold, keys))
     both = gt.select(*keys, "frame").unionByName(pred.select(*keys, "frame"))
     n_frames = both.distinct().groupBy(*keys).agg(F.count("*").alias("frames"))
     wide = (

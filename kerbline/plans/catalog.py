@@ -20,7 +20,7 @@ from kerbline.operators import evaluation as ev
 from kerbline.operators import summaries as sm
 from kerbline.params import max_time_lost
 from kerbline.plans import inputs, star, views
-from kerbline.session import pin, scratch_path
+from kerbline.session import cut_lineage, pin, scratch_path
 from kerbline.sources import event_json as ej
 from kerbline.sources import mot_text as mt
 from kerbline.streaming import confirm as sc
@@ -44,6 +44,17 @@ def _run_id(column: str) :
     return (F.col(column) % 3).cast("string").alias("run_id")
 
 
+def _staged_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections for operators that read them several times."""
+    return inputs.detections_from(cut_lineage(inputs.line_slots(spark, sf_dir)))
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Truth and predictions over one staged grouping."""
+    slots = cut_lineage(inputs.line_slots(spark, sf_dir))
+    return inputs.gt_boxes_from(slots), inputs.pred_boxes_from(slots)
+
+
 # --- derived inputs of single queries -------------------------------------------------
 
 
@@ -243,13 +254,13 @@ def propagate_boxes(spark, sf_dir):
 
 
 def confirmed(spark, sf_dir):
-    return c.confirmed_violations(inputs.detections(spark, sf_dir))
+    return c.confirmed_violations(_staged_detections(spark, sf_dir))
 
 
 def confirm_stream(spark, sf_dir):
     """The rule on a stream that is stopped and restarted from its checkpoint half way."""
     root = scratch_path(spark, "frames")
-    messages = sc.frame_messages(inputs.detections(spark, sf_dir))
+    messages = sc.frame_messages(_staged_detections(spark, sf_dir))
     messages.write.parquet(f"{root}/staged")
     staged = spark.read.parquet(f"{root}/staged")
     half = staged.agg((F.max("frame_number") / 2).alias("half")).first().half
@@ -317,14 +328,10 @@ def dim_time_new(spark, sf_dir):
 # --- G, H -----------------------------------------------------------------------------
 
 
-def _boxes(spark, sf_dir):
-    return inputs.gt_boxes(spark, sf_dir), inputs.pred_boxes(spark, sf_dir)
-
-
 def _matched(operator):
     def run(spark, sf_dir):
         gt, pred = _boxes(spark, sf_dir)
-        return operator(gt, pred, ev.frame_assignment(gt, pred))
+        return operator(gt, pred, cut_lineage(ev.frame_assignment(gt, pred)))
 
     return run
 
@@ -363,9 +370,13 @@ def _on_detections(operator, *rounded, digits=6):
     return lambda s, p: _rounded(operator(inputs.detections(s, p)), digits, *rounded)
 
 
+def _on_staged(operator, *rounded):
+    return lambda s, p: _rounded(operator(_staged_detections(s, p)), 6, *rounded)
+
+
 def _with_frames(operator):
     def run(spark, sf_dir):
-        dets = inputs.detections(spark, sf_dir)
+        dets = _staged_detections(spark, sf_dir)
         return operator(dets, inputs.frames(dets))
 
     return run
@@ -419,26 +430,26 @@ QUERIES: dict[str, Query] = {
     ),
     "new_box_filter": lambda s, p: mt.new_box_filter(drawn_boxes(s, p), inputs.gt_boxes(s, p)),
     "box_clip": _on_detections(lambda x: d.box_clip(x, 450, 280).select(*d.FRAME, "det_idx", *d.BOX)),
-    "detection_status": _on_detections(c.detection_status),
-    "streak_progress": _on_detections(c.streak_progress, "progress"),
+    "detection_status": _on_staged(c.detection_status),
+    "streak_progress": _on_staged(c.streak_progress, "progress"),
     # C
     "riding_semi_join": _on_detections(
         lambda x: d.riding_semi_join(x).select(*d.FRAME, "det_idx", "track_id", "confidence")
     ),
     "association_edges": _on_detections(d.association_edges, "ioa", digits=9),
     "best_motorcycle": _on_detections(d.best_motorcycle, "ioa", "iou", digits=9),
-    "association_rate": _on_detections(d.association_rate),
+    "association_rate": _on_staged(d.association_rate),
     "propagate_boxes": propagate_boxes,
     # D
     "frame_ticks": _on_detections(c.frame_ticks),
-    "streak_state": _on_detections(c.streak_state),
+    "streak_state": _on_staged(c.streak_state),
     "confirmed_violations": lambda s, p: _rounded(confirmed(s, p), 6, "confidence"),
-    "confirmation_sweep": _on_detections(c.confirmation_sweep),
-    "confirmation_stats": _on_detections(c.confirmation_stats),
+    "confirmation_sweep": _on_staged(c.confirmation_sweep),
+    "confirmation_stats": _on_staged(c.confirmation_stats),
     "confirm_stream": confirm_stream,
     "track_trails": track_trails,
-    "track_lifecycle": _on_detections(lambda x: c.track_lifecycle(x, MAX_LOST)),
-    "reid_events": _on_detections(lambda x: c.reid_events(x, MAX_LOST)),
+    "track_lifecycle": _on_staged(lambda x: c.track_lifecycle(x, MAX_LOST)),
+    "reid_events": _on_staged(lambda x: c.reid_events(x, MAX_LOST)),
     "track_state_counts": _with_frames(lambda x, f: c.track_state_counts(x, f, MAX_LOST)),
     "rolling_fps": lambda s, p: _rounded(c.rolling_fps(inputs.frame_metrics(s, p)), 6, "rolling_fps"),
     "frame_latency_attach": frame_latency_attach,

@@ -99,8 +99,12 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.fact_rows(enriched_events(spark, sf_dir), dim_camera(spark), dim_violation_type(spark))
 
 
-def _line_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, line number): duplicates of the pair are grouped away."""
+def line_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (order, line number): duplicates of the pair are grouped away.
+
+    Boxes of all kinds are row-wise projections of this relation. A query that reads them
+    more than once stages the slots first, so the grouping is shuffled once.
+    """
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", F.col("l_linenumber").alias("ln"))
@@ -109,13 +113,16 @@ def _line_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections_from(line_slots(spark, sf_dir))
+
+
+def detections_from(slots: DataFrame) -> DataFrame:
     """Boxes of 4 cameras: lines 1-2 are motorcycles, 3-7 riders; tracks live 40 frames."""
     ln, p, frame = F.col("ln"), F.col("p"), F.col("frame_number")
     left = F.when(ln % 2 == 1, 100).otherwise(400)
     vehicle = ln <= 2
     return (
-        _line_slots(spark, sf_dir)
-        .withColumn("camera_id", F.col("l_orderkey") % 4)
+        slots.withColumn("camera_id", F.col("l_orderkey") % 4)
         .withColumn("frame_number", F.expr("l_orderkey div 4") + 1)
         .select(
             "camera_id",
@@ -149,19 +156,21 @@ def frames(dets: DataFrame) -> DataFrame:
     )
 
 
-def _box_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _line_slots(spark, sf_dir)
-        .withColumn("sequence_id", (F.col("l_orderkey") % 3).cast("string"))
-        .withColumn("frame", F.expr("l_orderkey div 3") + 1)
+def _box_slots(slots: DataFrame) -> DataFrame:
+    return slots.withColumn("sequence_id", (F.col("l_orderkey") % 3).cast("string")).withColumn(
+        "frame", F.expr("l_orderkey div 3") + 1
     )
 
 
 def gt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gt_boxes_from(line_slots(spark, sf_dir))
+
+
+def gt_boxes_from(slots: DataFrame) -> DataFrame:
     """Truth boxes: one slot per line number, slots 1000 px apart."""
     ln = F.col("ln")
     return (
-        _box_slots(spark, sf_dir)
+        _box_slots(slots)
         .filter(F.col("p") % 19 != 0)
         .select(
             "sequence_id",
@@ -178,10 +187,14 @@ def gt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pred_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pred_boxes_from(line_slots(spark, sf_dir))
+
+
+def pred_boxes_from(slots: DataFrame) -> DataFrame:
     """Predicted boxes: misses, shifts that pass and fail the threshold, changed ids."""
     ln, p = F.col("ln"), F.col("p")
     return (
-        _box_slots(spark, sf_dir)
+        _box_slots(slots)
         .filter(p % 17 != 0)
         .select(
             "sequence_id",
