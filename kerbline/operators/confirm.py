@@ -365,6 +365,7 @@ def track_state_counts(
         .groupBy(*FRAME)
         .agg(F.sum("active").alias("active"), F.sum("lost").alias("d_lost"), F.sum("removed").alias("d_removed"))
     )
+    per_frame = cut_lineage(per_frame)
     summed = running_sum(per_frame, SESSION, "frame_number", {"lost": "d_lost", "removed": "d_removed"}, size)
     last = detections.groupBy(*SESSION).agg(F.max("frame_number").alias("session_last"))
     return (

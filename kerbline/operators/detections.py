@@ -169,17 +169,13 @@ def frame_summary(detections: DataFrame, frames: DataFrame) -> DataFrame:
 
 def detection_summary(detections: DataFrame, frames: DataFrame) -> DataFrame:
     """Totals and means per frame, overall and per class; empty frames count in the means."""
-    n_frames = frames.agg(F.count("*").alias("frames"))
+    n_frames = frames.agg(F.nullif(F.count("*"), F.lit(0))).scalar()
     c = F.col("class_id")
-    names = {i: name for i, name in CLASS_NAMES.items()}
     totals = detections.agg(
-        F.count("*").alias("ALL"), *[F.count_if(c == i).alias(name) for i, name in names.items()]
+        F.count("*").alias("ALL"), *[F.count_if(c == i).alias(name) for i, name in CLASS_NAMES.items()]
     )
-    series = ["ALL", *names.values()]
-    return (
-        totals.unpivot([], series, "class_name", "total")
-        .join(n_frames)  # one row
-        .select("class_name", "total", F.round(F.col("total") / F.expr("nullif(frames, 0)"), 2).alias("mean_per_frame"))
+    return totals.unpivot([], ["ALL", *CLASS_NAMES.values()], "class_name", "total").select(
+        "class_name", "total", F.round(F.col("total") / n_frames, 2).alias("mean_per_frame")
     )
 
 
@@ -188,19 +184,13 @@ def tracking_summary(detections: DataFrame, frames: DataFrame) -> DataFrame:
     tracked = detections.filter(F.col("track_id").isNotNull())
     seen = tracked.select(*FRAME, "track_id").distinct()
     active = seen.groupBy(*FRAME).agg(F.count("*").alias("active"))
-    tracks = (
-        seen.select("camera_id", "session_id", "track_id").distinct().agg(F.count("*").alias("unique_tracks"))
-    )
-    n_frames = frames.agg(F.count("*").alias("frames"))
-    per_frame = active.agg(F.sum("active").alias("n"), F.max("active").alias("top"))
-    return (
-        tracks.join(n_frames)
-        .join(per_frame)  # three one-row relations
-        .select(
-            "unique_tracks",
-            F.round(F.coalesce("n", F.lit(0)) / F.expr("nullif(frames, 0)"), 2).alias("mean_active"),
-            F.coalesce("top", F.lit(0)).alias("max_active"),
-        )
+    tracks = seen.select("camera_id", "session_id", "track_id").distinct().agg(F.count("*")).scalar()
+    n_frames = frames.agg(F.nullif(F.count("*"), F.lit(0))).scalar()
+    per_frame = active.agg(F.coalesce(F.sum("active"), F.lit(0)).alias("n"), F.max("active").alias("top"))
+    return per_frame.select(
+        tracks.alias("unique_tracks"),
+        F.round(F.col("n") / n_frames, 2).alias("mean_active"),
+        F.coalesce("top", F.lit(0)).alias("max_active"),
     )
 
 

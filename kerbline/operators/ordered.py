@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
+# Rows per key and task at most; the summary of a key with n rows has n / CHUNK rows.
+CHUNK = 1 << 14
 CHUNK_COL = "_chunk"
 
 
@@ -105,7 +106,7 @@ def dense_number(df: DataFrame, keys: Sequence[str], order: str, result: str, si
     )
 
 
-def running_max(df: DataFrame, order: str, value: str, result: str, size: int = CHUNK) -> DataFrame:
+def running_max(df: DataFrame, order: str, value: str, result: str, size: int = 1 << 16) -> DataFrame:
     """Inclusive running maximum over the whole table in ``order``."""
     df = df.withColumn(CHUNK_COL, chunk_of(F.col(order), size))
     # One summary row per chunk: this unkeyed window sees rows / size values.

@@ -69,8 +69,8 @@ def confidence_bins_pct(events: DataFrame) -> DataFrame:
     counts = events.filter("confidence IS NOT NULL").groupBy(
         (F.floor(F.col("confidence") * 10) / 10).alias("bin")
     ).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(total).select("bin", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("bin", "n", F.round(100.0 * F.col("n") / total, 2).alias("pct"))
 
 
 def run_summary(frame_metrics: DataFrame, events: DataFrame, stride: int = 1, recent: int = 100) -> DataFrame:

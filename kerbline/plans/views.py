@@ -230,15 +230,14 @@ def violation_type_distribution(fact: DataFrame, types: DataFrame) -> DataFrame:
 def violation_type_detail(fact: DataFrame, types: DataFrame) -> DataFrame:
     """Every type, also without facts; the share is of all facts."""
     per_type = fact.groupBy("violation_type_fk").agg(*_sums())
-    total = per_type.agg(F.sum("n").alias("all_n"))
+    total = per_type.agg(F.nullif(F.sum("n"), F.lit(0))).scalar()
     n = F.coalesce("n", F.lit(0))
     return (
         types.join(per_type, types.type_pk == per_type.violation_type_fk, "left")
-        .join(total)  # one row
         .select(
             F.col("type_name").alias("Tipe Pelanggaran"),
             n.alias("Jumlah"),
-            F.round(n * 100.0 / F.expr("nullif(all_n, 0)"), 1).alias("Persentase (%)"),
+            F.round(n * 100.0 / total, 1).alias("Persentase (%)"),
             choose(F.col("severity_level"), SEVERITY).alias("Severity"),
             F.round(_mean("conf"), 3).alias("Avg Confidence"),
             F.round(_mean("lat"), 1).alias("Avg Latency (ms)"),
