@@ -108,10 +108,10 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.as_violation_events(raw)
 
 
-def _drain(writer, checkpoint: str) -> None:
-    """Run a stream over everything that is there."""
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def _drain(spark: SparkSession, writer, checkpoint: str) -> None:
+    """Run a stream over everything that is there, with one state partition per core."""
+    settings = se.StreamSettings(available_now=True, shuffle_partitions=spark.sparkContext.defaultParallelism)
+    settings.start(spark, writer.option("checkpointLocation", checkpoint)).awaitTermination()
 
 
 # --- A: sources, sinks, wire formats --------------------------------------------------
@@ -122,7 +122,7 @@ def read_event_stream(spark, sf_dir):
     ej.serialize_events(inputs.violation_events(spark, sf_dir)).select("value").write.text(f"{root}/in")
     parsed = ej.parse_events(se.read_event_files(spark, f"{root}/in"), arrival="kafka_timestamp")
     sink = ej.valid_events(parsed).writeStream.format("parquet").option("path", f"{root}/out")
-    _drain(sink, f"{root}/checkpoint")
+    _drain(spark, sink, f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").select(*EVENT_COLUMNS)
 
 
@@ -158,7 +158,7 @@ def load_star(spark, sf_dir):
     tables = se.StarTables(scratch_path(spark, "star"))
     sink = se.load_star(inputs.dim_camera(spark), inputs.dim_violation_type(spark), tables)
     stream = se.enrich(_event_stream(spark, sf_dir))
-    _drain(stream.writeStream.foreachBatch(sink), f"{tables.root}/checkpoint")
+    _drain(spark, stream.writeStream.foreachBatch(sink), f"{tables.root}/checkpoint")
     return spark.read.option("basePath", tables.fact).parquet(tables.fact).drop("batch_id")
 
 
@@ -268,7 +268,7 @@ def confirm_stream(spark, sf_dir):
         staged.filter(part).write.mode("append").parquet(f"{root}/in")
         stream = sc.confirm_stream(spark.readStream.schema(staged.schema).parquet(f"{root}/in"))
         sink = stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
-        _drain(sink, f"{root}/checkpoint")
+        _drain(spark, sink, f"{root}/checkpoint")
     return _rounded(spark.read.parquet(f"{root}/out"), 6, "confidence")
 
 
@@ -301,7 +301,7 @@ def time_period(spark, sf_dir):
 def dedup_stream(spark, sf_dir):
     root = scratch_path(spark, "dedup")
     kept = se.dedup_stream(se.enrich(_event_stream(spark, sf_dir)))
-    _drain(kept.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/checkpoint")
+    _drain(spark, kept.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out")
 
 

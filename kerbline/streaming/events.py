@@ -28,9 +28,15 @@ class StreamSettings:
     topic: str = "video.violations"
     servers: str = field(default_factory=lambda: os.environ.get("KAFKA_BOOTSTRAP_SERVERS", "localhost:9092"))
 
-    def start(self, writer) -> StreamingQuery:
+    def start(self, spark: SparkSession, writer) -> StreamingQuery:
+        """Start with this job's partition count; the session's own setting is put back."""
         how = {"availableNow": True} if self.available_now else {"processingTime": self.trigger}
-        return writer.trigger(**how).start()
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(self.shuffle_partitions))
+        try:
+            return writer.trigger(**how).start()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def kafka_options(settings: StreamSettings) -> dict[str, str]:
@@ -141,7 +147,6 @@ def start_star_job(
 ) -> list[StreamingQuery]:
     """Parse, quarantine, enrich, deduplicate and load. Returns the two running queries."""
     spark = messages.sparkSession
-    spark.conf.set("spark.sql.shuffle.partitions", str(settings.shuffle_partitions))
     parsed = parse_events(messages, arrival="kafka_timestamp")
     clean = dedup_stream(enrich(valid_events(parsed)), settings.watermark)
     facts = (
@@ -156,7 +161,7 @@ def start_star_job(
         .format("parquet")
         .option("path", tables.quarantine)
     )
-    return [settings.start(facts), settings.start(rejects)]
+    return [settings.start(spark, facts), settings.start(spark, rejects)]
 
 
 def late_rows(query: StreamingQuery) -> int:
