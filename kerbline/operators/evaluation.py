@@ -80,7 +80,8 @@ def frame_assignment(
     stays in the JVM. Only the frames' other pairs go to Python, in groups of at most
     ``FRAMES_PER_GROUP`` frames. Pairs without overlap add nothing to a matching.
     """
-    pairs = iou_pairs(gt, pred, keys)
+    # One shuffle of the narrow pairs serves both windows and both branches below.
+    pairs = iou_pairs(gt, pred, keys).repartition(*keys, "frame")
     degrees = pairs.withColumns(
         {
             "_g": F.count("*").over(W.partitionBy(*keys, "frame", "gt_id")),
