@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import op4_toxicity
+from kerbline.llm import op4_toxicity, op5_near_dedup, op9_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op4_toxicity": op4_toxicity.query,
+        "op5_near_dedup": op5_near_dedup.query,
+        "op9_quality": op9_quality.query,
     }
 
 
