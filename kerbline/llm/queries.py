@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import op4_toxicity, op5_near_dedup, op9_quality
+from kerbline.llm import op1_decontamination, op4_toxicity, op5_near_dedup, op9_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination.query,
         "op4_toxicity": op4_toxicity.query,
         "op5_near_dedup": op5_near_dedup.query,
         "op9_quality": op9_quality.query,
