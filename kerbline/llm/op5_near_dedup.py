@@ -9,11 +9,12 @@ the child named by its token there. Two sets with similarity ``J`` meet in a chi
 children on average, so a pair at the threshold stays together in one of ``TREES`` independent
 trees after ``DEPTH`` levels with probability 0.9995, while unlike sets part.
 
-Nodes of up to ``SMALL`` classes are compared exhaustively by sketches inside one row; what can
-pass is confirmed on the full sets. Links already found join classes to components, and only pairs
-between different components are confirmed after that, so a group of near copies costs a few edges
-a member. A larger node never meets in one task: its members are linked to pivots, it ends when
-all of them are one component, and otherwise it branches further.
+At first each member of a node is paired with its likeliest partner by sketch (or with the pivots of
+a node of more than ``PAIRED``), and these few pairs a member are confirmed on the full sets. Links
+join classes to components. What is left of a node of up to ``SMALL`` classes, the members whose
+sketches leave a link to another component possible, is then compared exhaustively on the full sets,
+each text once. A larger node never meets in one task: it ends when all its members are one
+component, and otherwise it branches further.
 
 Null or wordless texts have empty sets and link with nothing. Repeated ids count as one document
 for components, each row with its own set size. Rows without an id have no component and are
@@ -35,10 +36,10 @@ SHINGLE = 5
 COORDS = 64
 TREES = 10
 DEPTH = 4
-#: Classes of a node that are compared exhaustively.
-SMALL = 48
+#: Classes of a node that are paired by sketch, and that are compared exhaustively.
+PAIRED, SMALL = 48, 512
 #: Members that stand for a larger node in one round.
-PIVOTS = 3
+PIVOTS = 6
 #: Similarity in hundredths.
 NEED = 75
 #: Sketches agree in two bits a coordinate; pairs estimated five deviations below the need are no links.
@@ -163,45 +164,117 @@ def _possible(x, y, nx, ny) -> np.ndarray:
 
 
 PAIR = "a long, da long, b long, db long"
+CORE = ("node", "cid", "doc", "n", "s0", "s1")
 
 
-def _pairs(every: bool):
-    """Pairs of small nodes: each member with its likeliest earlier one, or all between components."""
+def _flat(batch) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Fields of all members of the nodes of a batch, where each node begins, and its size."""
+    members = batch.column("members")
+    flat, size = members.flatten(), members.value_lengths().to_numpy()
+    head = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+    return {f.name: flat.field(f.name).to_numpy() for f in flat.type}, head, size
 
-    def run(batches):
-        for batch in batches:
-            members = batch.column("members")
-            size = members.value_lengths().to_numpy()
-            flat = members.flatten()
-            field = {f.name: flat.field(f.name).to_numpy() for f in flat.type}
-            head = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-            out: list[list[np.ndarray]] = []
-            for k in np.unique(size):
-                for part in np.array_split(starts := head[size == k], max(1, len(starts) * k * k // 500_000)):
-                    at = part[:, None] + np.arange(k)
-                    at = np.take_along_axis(at, np.argsort(field["cid"][at], axis=1), 1)
-                    i, j = np.triu_indices(k, 1)
-                    left, right = at[:, i], at[:, j]
-                    s0, s1 = field["s0"].view(np.uint64), field["s1"].view(np.uint64)
-                    ok = _possible((s0[left], s1[left]), (s0[right], s1[right]), field["n"][left], field["n"][right])
-                    ok &= field["cid"][left] != field["cid"][right]
-                    if every:
-                        ok &= field["component"][left] != field["component"][right]
-                    else:
-                        agree = np.where(ok, _agree((s0[left], s1[left]), (s0[right], s1[right])), -1)
-                        for m in range(1, k):
-                            cols = np.flatnonzero(j == m)
-                            best = cols[np.argmax(agree[:, cols], axis=1)]
-                            others = np.ones((len(part), len(cols)), bool)
-                            others[np.arange(len(part)), best - cols[0] if len(cols) == cols[-1] - cols[0] + 1 else np.searchsorted(cols, best)] = False
-                            ok[:, cols] &= ~others
-                    left, right = left[ok], right[ok]
-                    out.append([field["cid"][left], field["doc"][left], field["cid"][right], field["doc"][right]])
-            if out:
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "da", "b", "db"])
 
-    return run
+def _sketch_of(field: dict[str, np.ndarray], at: np.ndarray):
+    return field["s0"].view(np.uint64)[at], field["s1"].view(np.uint64)[at]
+
+
+def _likeliest(batches):
+    """Each member of a node with the earlier member whose sketch agrees most."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        field, head, size = _flat(batch)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.unique(size):
+            starts = head[size == k]
+            at = starts[:, None] + np.arange(k)
+            at = np.take_along_axis(at, np.argsort(field["cid"][at], axis=1), 1)
+            for m in range(1, k):
+                mine, others = np.repeat(at[:, m : m + 1], m, axis=1), at[:, :m]
+                x, y = _sketch_of(field, mine), _sketch_of(field, others)
+                ok = _possible(x, y, field["n"][mine], field["n"][others]) & (field["cid"][mine] != field["cid"][others])
+                agree = np.where(ok, _agree(x, y), -1)
+                best = np.argmax(agree, axis=1)
+                rows = np.flatnonzero(agree[np.arange(len(at)), best] >= 0)
+                left.append(others[rows, best[rows]])
+                right.append(at[rows, m])
+        i, j = np.concatenate(left), np.concatenate(right)
+        columns = [field["cid"][i], field["doc"][i], field["cid"][j], field["doc"][j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "da", "b", "db"])
+
+
+def _undecided(batches):
+    """Members of a node that may link to a member of another component."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        field, head, size = _flat(batch)
+        node = batch.column("node").to_numpy()
+        taken, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(node)):
+            at = np.arange(head[i], head[i] + size[i])
+            x, n, part = _sketch_of(field, at), field["n"][at], field["component"][at]
+            ok = _possible((x[0][:, None], x[1][:, None]), x, n[:, None], n) & (part[:, None] != part)
+            keep = at[ok.any(1)]
+            taken.append(keep)
+            of.append(np.full(len(keep), node[i]))
+        at = np.concatenate(taken)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(of)), *(pa.array(field[c][at]) for c in ("cid", "doc", "component"))], ["node", "cid", "doc", "component"]
+        )
+
+
+def _linked(texts: list[str], cids: list[int], parts: list[int]) -> list[tuple[int, int]]:
+    """Links of one node between components, as few as join them; full sets are compared."""
+    k = len(texts)
+    rows, codes = [], []
+    for t in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
+        row, code = shingles(t)
+        rows.append(row + t.rows.start)
+        codes.append(code)
+    row, code = np.concatenate(rows), np.concatenate(codes)
+    right = _named(row, code, k) == np.array(cids, np.int64)
+    total = np.bincount(row, minlength=k)
+    _, slot, often = np.unique(code, return_inverse=True, return_counts=True)
+    shared = often[slot] > 1
+    row, slot = row[shared], np.unique(slot[shared], return_inverse=True)[1]
+    common = np.zeros((k, k), np.float64)
+    for low in range(0, int(slot.max()) + 1 if len(slot) else 0, 8192):
+        some = (slot >= low) & (slot < low + 8192)
+        held = np.zeros((k, 8192), np.float32)
+        held[row[some], slot[some] - low] = 1
+        common += held @ held.T
+    ok = (100 * common >= NEED * (total[:, None] + total - common)) & right[:, None] & right
+    names = {p: p for p in parts}
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
+        a, b = parts[i], parts[j]
+        while names[a] != a:
+            a = names[a]
+        while names[b] != b:
+            b = names[b]
+        if a != b:
+            names[max(a, b)] = min(a, b)
+            out.append((min(cids[i], cids[j]), max(cids[i], cids[j])))
+    return out
+
+
+def _exhaustive(batches):
+    """Rows come sorted by node; a node has at most SMALL of them."""
+    node, rows = None, []
+    for batch in batches:
+        found = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "cid", "component")), strict=True):
+            if row[0] != node:
+                if len(rows) > 1:
+                    found += _linked(*map(list, zip(*rows, strict=True)))
+                node, rows = row[0], []
+            rows.append(row[1:])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    if len(rows) > 1:
+        found = _linked(*map(list, zip(*rows, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _confirmed(batches):
@@ -274,8 +347,17 @@ def _to_pivots(large: DataFrame) -> DataFrame:
 
 
 def _grouped(small: DataFrame, *more: str) -> DataFrame:
-    """One row per node; at most SMALL members."""
-    return small.groupBy("node").agg(F.collect_list(F.struct("cid", "doc", "n", "s0", "s1", *more)).alias("members")).select("members")
+    """One row per node, of bounded size."""
+    return small.groupBy("node").agg(F.collect_list(F.struct("cid", "doc", "n", "s0", "s1", *more)).alias("members"))
+
+
+def _compared(mixed: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links between components inside nodes of up to SMALL members."""
+    rest = _grouped(mixed, "component").mapInArrow(_undecided, "node long, cid long, doc long, component long")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    met = rest.join(texts, "doc").select("node", "text", "cid", "component")
+    dealt = met.repartition("node").sortWithinPartitions("node", "cid")
+    return cut_lineage(dealt.mapInArrow(_exhaustive, "a long, b long").distinct())
 
 
 def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -293,29 +375,23 @@ def links_of(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """Confirmed links ``(a, b)`` that hold the components; ``classes`` has cid, doc, n, mins."""
     members = classes.mapInArrow(_members(DEPTH, True), f"node long, {MEMBER}")
     sized = cut_lineage(_sized(members, PIVOTS, 0))
-    small, large = sized.filter(F.col("size") <= SMALL), sized.filter(F.col("size") > SMALL)
-    pairs = _grouped(small).mapInArrow(_pairs(False), PAIR).unionByName(_to_pivots(large))
-    pairs = cut_lineage(pairs.distinct())
-    links = confirm(pairs, documents)
-    core = ["node", "cid", "doc", "n", "s0", "s1"]
-    known = cut_lineage(_with_components(sized.select(*core, "size"), links))
-    tried, round_ = pairs.select("a", "b"), 0
+    small, large = sized.filter(F.col("size") <= PAIRED), sized.filter(F.col("size") > PAIRED)
+    pairs = _grouped(small).select("members").mapInArrow(_likeliest, PAIR).unionByName(_to_pivots(large))
+    links, round_ = confirm(pairs, documents), 0
     while True:
-        mixed = _between(known)
-        rest = _grouped(mixed.filter(F.col("size") <= SMALL), "component").mapInArrow(_pairs(True), PAIR)
-        rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
-        links = links.unionByName(confirm(rest, documents))
-        big = cut_lineage(mixed.filter(F.col("size") > SMALL).select("node", "cid", "doc", "n"))
+        mixed = cut_lineage(_between(_with_components(sized.select(*CORE, "size"), links)))
+        links = links.unionByName(_compared(mixed.filter(F.col("size") <= SMALL), documents))
+        big = mixed.filter(F.col("size") > SMALL)
         if big.isEmpty():
             return links
         round_ += 1
         if round_ > 60:
             raise RuntimeError("a node of unlinked sets did not part")
-        deeper = big.join(classes.select("cid", "mins"), "cid").mapInArrow(_members(2, False), f"node long, {MEMBER}")
+        below = big.select("node", "cid", "doc", "n").join(classes.select("cid", "mins"), "cid")
+        deeper = below.mapInArrow(_members(2, False), f"node long, {MEMBER}")
         sized = cut_lineage(_sized(deeper, PIVOTS, round_))
-        stars = _to_pivots(sized.filter(F.col("size") > SMALL)).distinct().join(tried, ["a", "b"], "left_anti")
+        stars = _to_pivots(sized.filter(F.col("size") > SMALL))
         links = cut_lineage(links.unionByName(confirm(stars, documents)))
-        known = cut_lineage(_with_components(sized.select(*core, "size"), links))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
