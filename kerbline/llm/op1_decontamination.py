@@ -10,7 +10,7 @@ the exact edit distance. At the edit bound the signatures of one aligned window
 0.97 (tests measure it), and its neighbours, a word or two away, are further tries.
 
 Only windows that can pass are embedded: an edit breaks at most two of the ``n - 1`` word pairs, so a
-window needs ``n - 1 - 2 * (n // 5)`` pairs that occur in the benchmark. The pairs travel in a bitmap of
+window needs ``n - 1 - 2 * (n // 5)`` pairs that occur in pieces of its length. The pairs travel in a bitmap of
 fixed size; a benchmark that fills it makes the test weaker, never wrong. Equal windows are embedded
 once, and signatures meet in a join.
 
@@ -113,21 +113,28 @@ def _pieces(batches):
         )
 
 
-def _pairs_of(codes: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap that the word pairs of a sequence set; a lone word sets its own."""
-    return (grams(codes, min(2, len(codes)), 11) >> np.uint64(64 - BITMAP)).astype(np.int64)
+def _bits_of(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Bits that word pairs set for pieces of ``n`` words; 0 stands for any length."""
+    return (mix(pairs + np.uint64(n)) >> np.uint64(64 - BITMAP)).astype(np.int64)
 
 
-def _set(cells: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
-    """Whether the bitmap has the runs of ``n`` words, one or two."""
-    bits = (grams(codes, n, 11) >> np.uint64(64 - BITMAP)).astype(np.int64)
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    """Fingerprints of the word pairs of a sequence; a lone word has its own."""
+    return grams(codes, min(2, len(codes)), 11)
+
+
+def _set(cells: np.ndarray, pairs: np.ndarray, n: int) -> np.ndarray:
+    bits = _bits_of(pairs, n)
     return ((cells[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
 def _bits(batches):
     for batch in batches:
-        found = [_pairs_of(np.array(x, np.int64).view(np.uint64)) for x in batch.column("words").to_pylist()]
-        bits = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        found = [np.zeros(0, np.int64)]
+        for x in batch.column("words").to_pylist():
+            pairs = _pairs(np.array(x, np.int64).view(np.uint64))
+            found += [_bits_of(pairs, 0), _bits_of(pairs, len(x))]
+        bits = np.unique(np.concatenate(found))
         yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))], ["cell", "mask"])
 
 
@@ -149,7 +156,7 @@ def _windows(bitmap, lengths: list[int]):
             return
         known = np.zeros(m, bool)
         if m > 1:
-            known[:-1] = _set(cells, w.code, 2) & within(w.row, 2)
+            known[:-1] = _set(cells, _pairs(w.code), 0) & within(w.row, 2)
         # Rows that have too few known pairs for any length are left out at once.
         total = np.zeros(m + 1, np.int64)
         np.cumsum(known, out=total[1:])
@@ -158,14 +165,18 @@ def _windows(bitmap, lengths: list[int]):
         if not len(hopeful):
             return
         chosen = np.concatenate([np.arange(w.first[r], w.first[r + 1]) for r in hopeful])
-        code, row, known = w.code[chosen], w.row[chosen], known[chosen]
-        total = np.zeros(len(code) + 1, np.int64)
-        np.cumsum(known, out=total[1:])
+        code, row = w.code[chosen], w.row[chosen]
+        single, double = grams(code, 1, 11), grams(code, 2, 11)
+        total = np.zeros(len(code), np.int64)
         for n in lengths:
             if len(code) < n:
                 continue
-            pairs = total[n - 1 : len(code)] - total[: len(code) - n + 1]
-            start = np.flatnonzero(((pairs >= _least_pairs(n)) if n > 1 else _set(cells, code, 1)) & within(row, n))
+            if n > 1:
+                np.cumsum(_set(cells, double, n), out=total[1:])
+                fits = total[n - 1 :] - total[: len(code) - n + 1] >= _least_pairs(n)
+            else:
+                fits = _set(cells, single, 1)
+            start = np.flatnonzero(fits & within(row, n))
             for part in np.array_split(start, max(1, len(start) * n // 200_000)):
                 if not len(part):
                     continue

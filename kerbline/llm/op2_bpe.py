@@ -152,17 +152,14 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-_own: dict[str, tuple[Encoder, dict]] = {}
+_own: list[tuple[Encoder, dict]] = []
 
 
 def _encoder(shared) -> tuple[Encoder, dict]:
     """The worker's encoder for a shared vocabulary, with what it remembers."""
-    ranks = shared.value
-    key = f"{id(shared)}-{len(ranks)}"
-    if key not in _own:
-        _own.clear()
-        _own[key] = (Encoder(ranks), {})
-    return _own[key]
+    if not _own or _own[0][0].ranks is not shared.value:
+        _own[:] = [(Encoder(shared.value), {})]
+    return _own[0]
 
 
 def _of_text(text: str, pattern, encoder: Encoder, known: dict) -> list[tuple]:

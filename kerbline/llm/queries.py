@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import op10_neighbours, op1_decontamination, op2_bpe, op4_toxicity, op5_near_dedup, op6_secrets, op8_substrings, op9_quality
+from kerbline.llm import op10_neighbours, op1_decontamination, op2_bpe, op3_licenses, op4_toxicity, op5_near_dedup, op6_secrets, op8_substrings, op9_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination.query,
         "op2_bpe": op2_bpe.query,
+        "op3_licenses": op3_licenses.query,
         "op4_toxicity": op4_toxicity.query,
         "op5_near_dedup": op5_near_dedup.query,
         "op6_secrets": op6_secrets.query,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licenses": op3_licenses.oracle()}
