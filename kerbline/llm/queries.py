@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import op10_neighbours, op1_decontamination, op2_bpe, op3_licenses, op4_toxicity, op5_near_dedup, op6_secrets, op8_substrings, op9_quality
+from kerbline.llm import op10_neighbours, op1_decontamination, op2_bpe, op3_licenses, op4_toxicity, op5_near_dedup, op6_secrets, op7_suffixes, op8_substrings, op9_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": op4_toxicity.query,
         "op5_near_dedup": op5_near_dedup.query,
         "op6_secrets": op6_secrets.query,
+        "op7_suffixes": op7_suffixes.query,
         "op8_substrings": op8_substrings.query,
         "op10_neighbours": op10_neighbours.query,
         "op9_quality": op9_quality.query,
