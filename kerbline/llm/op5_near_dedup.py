@@ -37,7 +37,7 @@ COORDS = 64
 TREES = 10
 DEPTH = 4
 #: Classes of a node that are paired by sketch, and that are compared exhaustively.
-PAIRED, SMALL = 48, 512
+PAIRED, SMALL = 256, 2048
 #: Members that stand for a larger node in one round.
 PIVOTS = 6
 #: Similarity in hundredths.
@@ -239,24 +239,27 @@ def _linked(texts: list[str], cids: list[int], parts: list[int]) -> list[tuple[i
     _, slot, often = np.unique(code, return_inverse=True, return_counts=True)
     shared = often[slot] > 1
     row, slot = row[shared], np.unique(slot[shared], return_inverse=True)[1]
-    common = np.zeros((k, k), np.float64)
+    # Members of the largest component need no comparison among themselves.
+    names, part = np.unique(parts, return_inverse=True)
+    few = np.flatnonzero(part != np.argmax(np.bincount(part)))
+    common = np.zeros((len(few), k), np.float64)
     for low in range(0, int(slot.max()) + 1 if len(slot) else 0, 8192):
         some = (slot >= low) & (slot < low + 8192)
         held = np.zeros((k, 8192), np.float32)
         held[row[some], slot[some] - low] = 1
-        common += held @ held.T
-    ok = (100 * common >= NEED * (total[:, None] + total - common)) & right[:, None] & right
-    names = {p: p for p in parts}
+        common += held[few] @ held.T
+    ok = (100 * common >= NEED * (total[few][:, None] + total - common)) & right[few][:, None] & right
+    root = list(range(len(names)))
     out = []
-    for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
-        a, b = parts[i], parts[j]
-        while names[a] != a:
-            a = names[a]
-        while names[b] != b:
-            b = names[b]
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        a, b = part[few[i]], part[j]
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
         if a != b:
-            names[max(a, b)] = min(a, b)
-            out.append((min(cids[i], cids[j]), max(cids[i], cids[j])))
+            root[a] = b
+            out.append((min(cids[few[i]], cids[j]), max(cids[few[i]], cids[j])))
     return out
 
 
@@ -320,11 +323,9 @@ def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return cut_lineage(joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long").distinct())
 
 
-def _sized(members: DataFrame, pivots: int, round_: int) -> DataFrame:
-    """Members of nodes that hold two or more, with the size and pivots of the node."""
-    me = F.struct("cid", "doc", "n", "s0", "s1")
-    first = [F.min(F.struct(F.xxhash64("cid", F.lit(100 * round_ + k)).alias("order"), me.alias("m"))).getField("m").alias(f"p{k}") for k in range(pivots)]
-    sizes = members.groupBy("node").agg(F.count("*").alias("size"), *first).filter("size > 1")
+def _sized(members: DataFrame) -> DataFrame:
+    """Members of nodes that hold two or more, with the size of the node."""
+    sizes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     return members.join(sizes, "node")
 
 
@@ -332,9 +333,16 @@ def _bits(of: Column) -> Column:
     return F.bit_count(of).cast("long")
 
 
-def _to_pivots(large: DataFrame) -> DataFrame:
-    """Pairs of each member of a large node with the pivots."""
-    each = large.select("cid", "doc", "n", "s0", "s1", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).filter("cid <> p.cid")
+def _to_pivots(large: DataFrame, round_: int) -> DataFrame:
+    """Pairs of each member of a large node with one of the node's pivots, by a hash of both.
+
+    A class is in many nodes, so it meets several pivots; pivots come from partial aggregates.
+    """
+    me = F.struct("cid", "doc", "n", "s0", "s1")
+    first = [F.min(F.struct(F.xxhash64("cid", F.lit(100 * round_ + k)).alias("order"), me.alias("m"))).getField("m") for k in range(PIVOTS)]
+    pivots = large.groupBy("node").agg(F.array(*first).alias("pivots"))
+    taken = F.get("pivots", F.pmod(F.xxhash64("cid", "node"), F.lit(PIVOTS)).cast("int"))
+    each = large.join(pivots, "node").select("cid", "doc", "n", "s0", "s1", taken.alias("p")).filter("cid <> p.cid")
     differ = F.col("s0").bitwiseXOR(F.col("p.s0")).bitwiseOR(F.col("s1").bitwiseXOR(F.col("p.s1")))
     fits = (100 * F.least("n", "p.n") >= NEED * F.greatest("n", "p.n")) & (COORDS - _bits(differ) >= LEAST_AGREE)
     lower = F.col("cid") < F.col("p.cid")
@@ -374,9 +382,9 @@ def _between(members: DataFrame) -> DataFrame:
 def links_of(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """Confirmed links ``(a, b)`` that hold the components; ``classes`` has cid, doc, n, mins."""
     members = classes.mapInArrow(_members(DEPTH, True), f"node long, {MEMBER}")
-    sized = cut_lineage(_sized(members, PIVOTS, 0))
+    sized = cut_lineage(_sized(members))
     small, large = sized.filter(F.col("size") <= PAIRED), sized.filter(F.col("size") > PAIRED)
-    pairs = _grouped(small).select("members").mapInArrow(_likeliest, PAIR).unionByName(_to_pivots(large))
+    pairs = _grouped(small).select("members").mapInArrow(_likeliest, PAIR).unionByName(_to_pivots(large, 0))
     links, round_ = confirm(pairs, documents), 0
     while True:
         mixed = cut_lineage(_between(_with_components(sized.select(*CORE, "size"), links)))
@@ -389,8 +397,8 @@ def links_of(classes: DataFrame, documents: DataFrame) -> DataFrame:
             raise RuntimeError("a node of unlinked sets did not part")
         below = big.select("node", "cid", "doc", "n").join(classes.select("cid", "mins"), "cid")
         deeper = below.mapInArrow(_members(2, False), f"node long, {MEMBER}")
-        sized = cut_lineage(_sized(deeper, PIVOTS, round_))
-        stars = _to_pivots(sized.filter(F.col("size") > SMALL))
+        sized = cut_lineage(_sized(deeper))
+        stars = _to_pivots(sized.filter(F.col("size") > SMALL), round_)
         links = cut_lineage(links.unionByName(confirm(stars, documents)))
 
 
@@ -430,5 +438,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     with_id = docs.filter("doc_id is not null").join(found, "doc_id").select(docs.columns)
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    with_id = with_id.withColumn("_place", F.row_number().over(once)).filter("_place = 1").drop("_place")
+    place = max(docs.columns, key=len) + "_place"  # longer than any name of the table
+    with_id = with_id.withColumn(place, F.row_number().over(once)).filter(F.col(place) == 1).drop(place)
     return with_id.unionByName(docs.filter("doc_id is null"))

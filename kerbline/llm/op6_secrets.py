@@ -140,21 +140,29 @@ def _decide(s: Column) -> Column:
     )
 
 
-def scanned(documents: DataFrame) -> DataFrame:
-    """Adds ``_base`` (spans of the fixed patterns) and ``_runs`` (tested runs outside them)."""
+def unused(documents: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    have = {c.lower() for c in documents.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def scanned(documents: DataFrame, base_name: str = "_base", runs_name: str = "_runs") -> DataFrame:
+    """Adds spans of the fixed patterns, and tested runs outside them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.concat(_matches(text, ASSIGN, 0, VALUE_LEAST), _matches(text, ACCESS, 1), _matches(text, HEX, 2))
     slim = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    with_base = documents.withColumn("_base", F.array_sort(slim))
+    with_base = documents.withColumn(base_name, F.array_sort(slim))
     runs = F.filter(
-        _matches(text, RUN, 3), lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+        _matches(text, RUN, 3), lambda r: ~F.exists(base_name, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     )
-    return with_base.withColumn("_runs", F.transform(runs, _tested))
+    return with_base.withColumn(runs_name, F.transform(runs, _tested))
 
 
-def limits(scanned_rows: DataFrame) -> dict[int, int]:
+def limits(scanned_rows: DataFrame, runs_name: str = "_runs") -> dict[int, int]:
     """The least bin that is a discovery in each stratum of length, over all runs."""
-    each = scanned_rows.select(F.explode("_runs").alias("r")).select("r.t.stratum", "r.t.bin").filter("stratum is not null")
+    each = scanned_rows.select(F.explode(runs_name).alias("r")).select("r.t.stratum", "r.t.bin").filter("stratum is not null")
     counts = each.groupBy("stratum", "bin").count()  # strata times bins: a few thousand rows at most
     beyond = Window.partitionBy("stratum").orderBy(F.desc("bin"))
     ranked = counts.withColumn("rank", F.sum("count").over(beyond)).withColumn("all", F.sum("count").over(Window.partitionBy("stratum")))
@@ -162,12 +170,12 @@ def limits(scanned_rows: DataFrame) -> dict[int, int]:
     return {r["stratum"]: r["bin"] for r in within.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
 
 
-def _found(found: dict[int, int]) -> Column:
+def _found(found: dict[int, int], runs_name: str = "_runs") -> Column:
     """Spans of the runs that are random and discoveries."""
     if not found:
         return F.lit([]).cast(_SPAN)
     table = F.create_map(*[F.lit(x) for pair in sorted(found.items()) for x in pair])
-    good = F.filter("_runs", lambda r: r["t"]["random"] & (r["t"]["bin"] >= table[r["t"]["stratum"]]))
+    good = F.filter(runs_name, lambda r: r["t"]["random"] & (r["t"]["bin"] >= table[r["t"]["stratum"]]))
     return F.transform(good, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
 
 
@@ -211,11 +219,12 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; ``n_chars`` follows the text."""
-    rows = scanned(docs)
-    spans = F.concat("_base", _found(limits(rows)))
-    changed = rows.withColumn("_spans", spans).withColumn("text", redacted(F.col("text"), F.col("_spans")))
+    base, runs, spans = (unused(docs, c) for c in ("_base", "_runs", "_spans"))
+    rows = scanned(docs, base, runs)
+    marked = rows.withColumn(spans, F.concat(base, _found(limits(rows, runs), runs)))
+    changed = marked.withColumn("text", redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        length = F.when(F.size("_spans") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))
+        length = F.when(F.size(spans) > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))
         changed = changed.withColumn("n_chars", length)
     return changed.select(docs.columns)
