@@ -23,9 +23,12 @@ def test_fold_is_crc32_of_the_id(spark):
     assert all(r.f == held(r.id, 5) for r in rows)
 
 
-@pytest.mark.parametrize(("module", "label", "parts", "rest", "accuracy"), [(toxicity, "toxic", 5, 0, 0.9), (quality, "quality", 4, 2, 0.95)])
-def test_scores_of_held_out_rows(spark, module, label, parts, rest, accuracy):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(
+    ("module", "label", "parts", "rest", "size", "accuracy"),
+    [(toxicity, "toxic", 5, 0, "0.1", 0.93), (quality, "quality", 4, 2, "0.01", 0.95)],
+)
+def test_scores_of_held_out_rows(spark, module, label, parts, rest, size, accuracy):
+    sf = f"/root/testdata/sf{size}"
     got = module.query(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     known = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
