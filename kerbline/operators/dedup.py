@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from kerbline.operators.ordered import CHUNK_COL, after, carry_in, chunk_of, inside, previous, running_max
 from kerbline.session import cut_lineage
 
-KEYS = ("track_id", "camera_id")
+# The key as one value: a null part equals another one, and no join loses it.
+KEYS = ("_key",)
+PARTS = ("track_id", "camera_id")
 HOUR_US = 3_600_000_000
 
 
@@ -43,11 +45,15 @@ def dedup_batch(events: DataFrame, horizon_seconds: int = 30) -> DataFrame:
     the horizon" runs to the next certain one. All chains are walked at once, with pointers
     that double their reach each round: the number of rounds is the logarithm of the longest
     chain, and rows leave the work as soon as their chain has ended. No key is collected
-    anywhere. Of events with equal key and time the smallest event id stands for all.
+    anywhere. Of events with equal key and time the row with the smallest event id stands for
+    all, so a redelivery is one row. Null keys are a key; events without a time cannot be
+    placed and all stay.
     """
     horizon = horizon_seconds * 1_000_000
-    stamped = events.withColumn("t", F.unix_micros("event_timestamp"))
-    times = stamped.groupBy(*KEYS, "t").agg(F.min("event_id").alias("event_id"))
+    row = F.struct(*events.columns)
+    timed = events.filter(F.col("event_timestamp").isNotNull())
+    stamped = timed.select(F.struct(*PARTS).alias("_key"), F.unix_micros("event_timestamp").alias("t"), "event_id", row.alias("row"))
+    times = stamped.groupBy(*KEYS, "t").agg(F.coalesce(F.min_by("row", "event_id"), F.first("row")).alias("row"))
     gaps = previous(times.select(*KEYS, "t"), KEYS, "t", {"prev_t": "t"}, HOUR_US)
     quiet = F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > horizon)
     state = cut_lineage(gaps.withColumn("certain", quiet))
@@ -72,8 +78,8 @@ def dedup_batch(events: DataFrame, horizon_seconds: int = 30) -> DataFrame:
             step.join(onward, [*KEYS, "next_t"]).select(*KEYS, "t", F.col("far_t").alias("next_t"))
         )
     kept = certain.select(*KEYS, "t").unionByName(reached)
-    chosen = times.join(kept, [*KEYS, "t"], "left_semi").select("event_id")
-    return stamped.drop("t").join(chosen, "event_id", "left_semi")
+    chosen = times.join(kept, [*KEYS, "t"], "left_semi").select("row.*")
+    return chosen.unionByName(events.filter(F.col("event_timestamp").isNull()))
 
 
 def late_events(events: DataFrame, arrival: str, delay_seconds: int = 30, chunk: int = 1 << 16) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.operators.ordered import dense_number
 from kerbline.operators.percentiles import percentile_columns
 
 COMPONENTS = ("inference_ms", "tracking_ms", "violation_ms", "total_ms")
@@ -74,9 +75,10 @@ def confidence_bins_pct(events: DataFrame) -> DataFrame:
 
 
 def run_summary(frame_metrics: DataFrame, events: DataFrame, stride: int = 1, recent: int = 100) -> DataFrame:
-    """Per run: frames, confirmed events, mean rate of the last frames, skipped frames."""
-    last = frame_metrics.groupBy("run_id").agg(F.count("*").alias("frames"), F.max("frame").alias("last_frame"))
-    tail = frame_metrics.join(last, "run_id").filter(F.col("frame") > F.col("last_frame") - recent)
+    """Per run: frames, confirmed events, mean rate of the last ``recent`` rows, skipped frames."""
+    last = frame_metrics.groupBy("run_id").agg(F.count("*").alias("frames"))
+    numbered = dense_number(frame_metrics, ["run_id"], "frame", "_no")
+    tail = numbered.join(last, "run_id").filter(F.col("_no") > F.col("frames") - recent)
     rate = tail.groupBy("run_id").agg(F.round(F.avg("fps"), 1).alias("avg_fps"))
     found = events.groupBy("run_id").agg(F.count("*").alias("violations"))
     return (

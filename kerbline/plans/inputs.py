@@ -19,13 +19,13 @@ from kerbline.schemas import DIM_CAMERA, DIM_VIOLATION_TYPE
 AS_OF = "2024-01-15"
 
 CAMERAS = (
-    (1, "gate_utama_01", "Main gate 1", "Main road", "-5.35783", "105.31446"),
-    (2, "gate_utama_02", "Main gate 2", "Main road", "-5.35795", "105.31465"),
-    (3, "gate_belakang_01", "Back gate", "Back road", "-5.36170", "105.31800"),
-    (4, "gate_timur_01", "East gate", None, "-5.36000", "105.32000"),
-    (5, "gate_selatan_01", "South gate", None, "-5.37000", "105.32100"),
-    (6, "gate_barat_01", "West gate", None, "-5.36500", "105.31000"),
-    (7, "gate_nogps_01", "No position", None, None, None),
+    (1, "quay_01", "Quay crossing 1", "Quay street", "47.10125", "8.20250"),
+    (2, "quay_02", "Quay crossing 2", "Quay street", "47.10150", "8.20300"),
+    (3, "mill_01", "Mill lane", "Mill street", "47.10900", "8.21000"),
+    (4, "dale_01", "Dale corner", None, "47.11000", "8.22000"),
+    (5, "fern_01", "Fern corner", None, "47.12000", "8.22500"),
+    (6, "rise_01", "Rise corner", None, "47.13000", "8.23000"),
+    (7, "dark_01", "No position", None, None, None),
 )
 VIOLATION_TYPES = (
     (1, "no_helmet", "Rider without helmet", 3),
@@ -42,12 +42,12 @@ def as_violation_events(events: DataFrame) -> DataFrame:
     """Row-wise mapping of the raw events, usable on a stream as well."""
     n = F.col("event_id")
     camera = (
-        F.when(n % 1000 == 999, "gate_timur_01")
-        .when(n % 5000 == 4998, "gate_selatan_01")
-        .when(n % 4 == 0, "gate_utama_01")
-        .when(n % 4 == 1, "gate_utama_02")
-        .when(n % 4 == 2, "gate_belakang_01")
-        .otherwise("gate_unknown")
+        F.when(n % 1000 == 999, "dale_01")
+        .when(n % 5000 == 4998, "fern_01")
+        .when(n % 4 == 0, "quay_01")
+        .when(n % 4 == 1, "quay_02")
+        .when(n % 4 == 2, "mill_01")
+        .otherwise("not_listed")
     )
     kind = (
         F.when(F.col("event_type") == "error", "no_helmet_passenger")
@@ -74,6 +74,23 @@ def violation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_violation_events(table(spark, sf_dir, "events"))
 
 
+def redelivered(events: DataFrame) -> DataFrame:
+    """Events with repeats, row by row: every fifth is delivered twice, every seventh again five
+    seconds later under its id, and every eleventh has no track."""
+    n = F.col("event_id").cast("bigint")
+    none = F.array().cast("array<int>")
+    delays = F.concat(
+        F.array(F.lit(0)), F.when(n % 5 == 0, F.array(F.lit(0))).otherwise(none), F.when(n % 7 == 0, F.array(F.lit(5))).otherwise(none)
+    )
+    later = F.timestamp_micros(F.unix_micros("event_timestamp") + F.col("_delay") * 1000000)
+    track = F.when(n % 11 != 0, F.col("track_id"))
+    return (
+        events.withColumn("_delay", F.explode(delays))
+        .withColumns({"event_timestamp": later, "track_id": track})
+        .drop("_delay")
+    )
+
+
 def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_time_period(with_time_parts(violation_events(spark, sf_dir)))
 

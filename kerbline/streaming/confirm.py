@@ -71,8 +71,9 @@ def _advance(rule: Confirmation, idle_ms: int):
         rows = pd.concat(parts)
         newest = rows["frame_time"].max()
         if not violated:
-            # A frame at or before the last one seen is a repeat or out of order.
-            rows = rows[rows["tick"] > last_tick].sort_values("tick")
+            # A frame at or before the last one seen is a repeat or out of order, as is one
+            # delivered again in this batch.
+            rows = rows[rows["tick"] > last_tick].sort_values("tick").drop_duplicates("tick")
             for row in rows.itertuples(index=False):
                 if not row.hit:
                     frozen += 1

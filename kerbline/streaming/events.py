@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kerbline.functions.labels import with_time_parts, with_time_period
 from kerbline.plans.star import dim_time_rows, fact_rows
@@ -19,13 +23,17 @@ from kerbline.sources.event_json import parse_events, quarantine_events, valid_e
 class StreamSettings:
     """Job settings. ``available_now`` drains what is there and stops, for tests and backfills."""
 
+    # Frozen in the checkpoint at the first start: choose for the expected state size.
+    shuffle_partitions: int
+    topic: str | None = None
     trigger: str = "5 seconds"
     available_now: bool = False
-    max_offsets_per_trigger: int = 1000
+    # Unset: a trigger reads all there is, so a backlog does not age out of the topic.
+    max_offsets_per_trigger: int | None = None
+    starting_offsets: str = "earliest"
+    fail_on_data_loss: bool = True
     watermark: str = "30 seconds"
-    # Frozen in the checkpoint at the first start: choose for the expected state size.
-    shuffle_partitions: int = 4
-    topic: str = "video.violations"
+    horizon_seconds: int = 30
     servers: str = field(default_factory=lambda: os.environ.get("KAFKA_BOOTSTRAP_SERVERS", "localhost:9092"))
 
     def start(self, spark: SparkSession, writer) -> StreamingQuery:
@@ -40,16 +48,37 @@ class StreamSettings:
 
 
 def kafka_options(settings: StreamSettings) -> dict[str, str]:
-    return {
+    if not settings.topic:
+        raise ValueError("the topic is a required setting")
+    options = {
         "kafka.bootstrap.servers": settings.servers,
         "subscribe": settings.topic,
-        "startingOffsets": "latest",
-        "maxOffsetsPerTrigger": str(settings.max_offsets_per_trigger),
-        "failOnDataLoss": "false",
+        "startingOffsets": settings.starting_offsets,
+        "failOnDataLoss": str(settings.fail_on_data_loss).lower(),
     }
+    if settings.max_offsets_per_trigger is not None:
+        options["maxOffsetsPerTrigger"] = str(settings.max_offsets_per_trigger)
+    return options
+
+
+def kafka_sink_options(settings: StreamSettings) -> dict[str, str]:
+    """Options of a Kafka writer for ``(key, value)`` rows; batch and stream take the same."""
+    if not settings.topic:
+        raise ValueError("the topic is a required setting")
+    return {"kafka.bootstrap.servers": settings.servers, "topic": settings.topic}
+
 
+def write_events(rows: DataFrame, settings: StreamSettings, checkpoint: str | None = None):
+    """A Kafka writer of serialized events: a stream writer where ``rows`` is a stream, else a batch
+    writer, both to be started by the caller. Needs the Kafka connector jar."""
+    narrow = rows.select("key", "value")
+    options = kafka_sink_options(settings)
+    if rows.isStreaming:
+        return narrow.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint)
+    return narrow.write.format("kafka").options(**options)
 
-def read_event_stream(spark: SparkSession, settings: StreamSettings = StreamSettings()) -> DataFrame:
+
+def read_event_stream(spark: SparkSession, settings: StreamSettings) -> DataFrame:
     """Messages of the topic as ``(value, kafka_timestamp)``. Needs the Kafka connector jar."""
     source = spark.readStream.format("kafka").options(**kafka_options(settings)).load()
     return source.select(F.col("value").cast("string"), F.col("timestamp").alias("kafka_timestamp"))
@@ -67,13 +96,71 @@ def read_event_files(spark: SparkSession, path: str, max_files_per_trigger: int
     return source.select("value", F.col("_metadata.file_modification_time").alias("kafka_timestamp"))
 
 
-def dedup_stream(events: DataFrame, watermark: str = "30 seconds") -> DataFrame:
-    """First event per (track, camera) within the watermark.
-
-    State is evicted at the end of a batch, so the watermark is a lower bound of the time a
-    repeat is suppressed; :func:`kerbline.operators.dedup.dedup_batch` is the exact rule.
+HELD = "last long, rows binary"
+
+
+def _kept_in_order(horizon_us: int, columns: list[str]):
+    """Per key: rows wait until the watermark has passed them and are then judged in time order."""
+
+    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held = state.get if state.exists else (None, None)
+        pieces = [] if held is None else [pickle.loads(held)]
+        if not state.hasTimedOut:
+            # A row without an id only moves the watermark.
+            pieces += [p[p["event_id"].notna()][columns] for p in parts]
+        pieces = [p for p in pieces if len(p)]
+        mark = state.getCurrentWatermarkMs() * 1000
+        if pieces:
+            rows = pd.concat(pieces, ignore_index=True)
+            at = rows["event_timestamp"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            order = np.lexsort((rows["event_id"].to_numpy().astype(str), at))
+            rows, at = rows.iloc[order], at[order]
+            ready = int(np.searchsorted(at, mark, "left"))
+            kept, i = [], 0
+            while i < ready:
+                if last is not None:
+                    i = max(i, int(np.searchsorted(at, last + horizon_us, "right")))
+                if i < ready:
+                    kept.append(i)
+                    last = int(at[i])
+            if kept:
+                yield rows.iloc[kept]
+            rows, at = rows.iloc[ready:], at[ready:]
+        if pieces and len(rows):
+            state.update((last, pickle.dumps(rows)))
+            state.setTimeoutTimestamp(max(int(at[0]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif last is not None and last + horizon_us >= mark:
+            state.update((last, None))
+            state.setTimeoutTimestamp(max((last + horizon_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        else:
+            # No later row can be within the horizon any more.
+            state.remove()
+
+    return judge
+
+
+def dedup_stream(events: DataFrame, watermark: str = "30 seconds", horizon_seconds: int = 30) -> DataFrame:
+    """An event is kept if it is later than the last kept event of its (track, camera) by more than
+    the horizon: the rule of :func:`kerbline.operators.dedup.dedup_batch`, whatever the batches.
+
+    Rows wait in the state until the watermark has passed them, at most the watermark delay of a
+    key's events. Rows behind the watermark on arrival are dropped by Spark and counted
+    (:class:`LateRows`). A row without an event id is a heartbeat: it moves the watermark and yields
+    nothing, so after a drain one of them, later than all events, releases what waits. Null keys are a
+    key like others.
     """
-    return events.withWatermark("event_timestamp", watermark).dropDuplicatesWithinWatermark(["track_id", "camera_id"])
+    judged = events.withWatermark("event_timestamp", watermark).groupBy("track_id", "camera_id")
+    function = _kept_in_order(horizon_seconds * 1_000_000, events.columns)
+    return judged.applyInPandasWithState(function, events.schema, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def is_heartbeat() -> Column:
+    """A message of a time and nothing else."""
+    return F.col("event_timestamp").isNotNull() & F.coalesce("event_id", F.col("track_id").cast("string"), "camera_id").isNull()
+
+
+def heartbeats(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(is_heartbeat()).drop("raw_value")
 
 
 def enrich(events: DataFrame) -> DataFrame:
@@ -143,19 +230,21 @@ def start_star_job(
     types: DataFrame,
     tables: StarTables,
     checkpoint: str,
-    settings: StreamSettings = StreamSettings(),
+    settings: StreamSettings,
 ) -> list[StreamingQuery]:
     """Parse, quarantine, enrich, deduplicate and load. Returns the two running queries."""
     spark = messages.sparkSession
     parsed = parse_events(messages, arrival="kafka_timestamp")
-    clean = dedup_stream(enrich(valid_events(parsed)), settings.watermark)
+    # A message with nothing but a time is a heartbeat: not an event, but it moves the watermark.
+    whole = valid_events(parsed).unionByName(heartbeats(parsed))
+    clean = dedup_stream(enrich(whole), settings.watermark, settings.horizon_seconds)
     facts = (
         clean.writeStream.outputMode("append")
         .option("checkpointLocation", f"{checkpoint}/facts")
         .foreachBatch(load_star(cameras, types, tables))
     )
     rejects = (
-        quarantine_events(parsed)
+        quarantine_events(parsed.filter(~is_heartbeat()))
         .writeStream.outputMode("append")
         .option("checkpointLocation", f"{checkpoint}/quarantine")
         .format("parquet")
@@ -164,8 +253,25 @@ def start_star_job(
     return [settings.start(spark, facts), settings.start(spark, rejects)]
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the stateful operators dropped as late, over the progress Spark still holds."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p.get("stateOperators", [])
-    )
+class LateRows(StreamingQueryListener):
+    """Rows that stateful operators dropped as late, summed per query over its whole run.
+
+    Register with ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        self.dropped[str(progress.id)] = self.dropped.get(str(progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.operators.dedup import dedup_batch
+from kerbline import session
 from kerbline.plans import inputs
 from kerbline.sources import event_json as ej
 from kerbline.streaming import events as se
@@ -15,7 +16,7 @@ from kerbline.streaming import events as se
 START = datetime(2024, 1, 15, 8, 30)
 
 
-def message(event_id, track, second, camera="gate_utama_01", **other):
+def message(event_id, track, second, camera="quay_01", **other):
     record = {
         "event_id": event_id, "track_id": track, "timestamp": (START + timedelta(seconds=second)).isoformat() + "+00:00",
         "camera_id": camera, "violation_type": "no_helmet", "confidence": 0.87, "bbox_x1": 1, "bbox_y1": 2,
@@ -25,6 +26,10 @@ def message(event_id, track, second, camera="gate_utama_01", **other):
     return json.dumps(record)
 
 
+def heartbeat(second):
+    return json.dumps({"timestamp": (START + timedelta(seconds=second)).isoformat() + "+00:00"})
+
+
 def drop_files(folder, batches):
     """One file per batch, with modification times in order."""
     os.makedirs(folder, exist_ok=True)
@@ -48,7 +53,7 @@ def test_star_job(spark, tmp_path):
     broken = ["no json", message("b1", "x", 200), message("b2", 3, 200, timestamp="not-a-time")]
     without_camera = json.loads(message("b3", 4, 200))
     del without_camera["camera_id"]
-    drop_files(f"{tmp_path}/in", [*SCRIPT, [*broken, json.dumps(without_camera)]])
+    drop_files(f"{tmp_path}/in", [*SCRIPT, [*broken, json.dumps(without_camera)], [heartbeat(400)]])
     tables = se.StarTables(f"{tmp_path}/star")
     settings = se.StreamSettings(available_now=True, shuffle_partitions=4)
 
@@ -62,8 +67,9 @@ def test_star_job(spark, tmp_path):
         fact = spark.read.option("basePath", tables.fact).parquet(tables.fact)
         return sorted(r.violation_pk for r in fact.collect())
 
-    # The suppression time is at least the watermark; late rows go by the batch before.
-    assert run() == ["k1@0", "k1@170", "k2@100", "k9@20"]
+    # k1@170 is 30 s after the last kept event of its key; lateness goes by the batch before.
+    want = ["k1@0", "k1@100", "k1@140", "k1@45", "k2@100", "k9@20"]
+    assert run() == want
     rejected = spark.read.parquet(tables.quarantine).collect()
     assert sorted(r.reject_reason for r in rejected) == [
         "missing camera_id",
@@ -73,14 +79,14 @@ def test_star_job(spark, tmp_path):
     ]
     assert "no json" in {r.raw_value for r in rejected}
     times = spark.read.option("basePath", tables.dim_time).parquet(tables.dim_time)
-    assert times.count() == times.select("full_timestamp").distinct().count() == 4
+    assert times.count() == times.select("full_timestamp").distinct().count() == 5
 
     # Restart from the checkpoint: nothing new, then one more event.
-    assert run() == ["k1@0", "k1@170", "k2@100", "k9@20"]
+    assert run() == want
     path = f"{tmp_path}/in/900.txt"
     with open(path, "w") as f:
-        f.write(message("k5@300", 5, 300) + "\n")
-    assert "k5@300" in run()
+        f.write(message("k5@500", 5, 500) + "\n" + heartbeat(900) + "\n")
+    assert run() == sorted([*want, "k5@500"])
 
 
 def test_replayed_batch_does_not_change_the_fact(spark, tmp_path, sf_dir):
@@ -126,19 +132,92 @@ def test_dedup_batch_on_a_long_chain(spark, step):
     assert got == {at[s] for s in greedy(seconds, 30)} | {"other"}
 
 
-def test_kafka_options():
-    options = se.kafka_options(se.StreamSettings(servers="broker:9092"))
-    assert options["startingOffsets"] == "latest" and options["maxOffsetsPerTrigger"] == "1000"
-    assert options["failOnDataLoss"] == "false" and options["subscribe"] == "video.violations"
-
-
-def test_late_rows_counter(spark, tmp_path):
-    drop_files(f"{tmp_path}/in", [[message("a", 1, 0)], [message("b", 2, 500)], [message("c", 3, 600)], [message("d", 4, 10)]])
-    parsed = ej.valid_events(ej.parse_events(se.read_event_files(spark, f"{tmp_path}/in", 1), "kafka_timestamp"))
+def test_dedup_batch_of_redeliveries_and_null_keys(spark):
+    at = [START + timedelta(seconds=s) for s in range(100)]
+    rows = [
+        ("a", 1, at[0], "cam"), ("a", 1, at[0], "cam"), ("a", 1, at[5], "cam"), ("b", 1, at[31], "cam"),
+        ("c", None, at[0], "cam"), ("d", None, at[10], "cam"), ("e", None, at[40], "cam"), ("f", 3, None, "cam"),
+    ]
+    df = spark.createDataFrame(rows, "event_id STRING, track_id INT, event_timestamp TIMESTAMP, camera_id STRING")
+    assert sorted(r.event_id for r in dedup_batch(df, 30).collect()) == ["a", "b", "c", "e", "f"]
+
+
+@pytest.mark.parametrize("per_batch", [1, 3, 100])
+def test_dedup_stream_does_not_depend_on_batches(spark, tmp_path, per_batch):
+    """Repeats, null tracks and files in mixed order within the watermark, then a heartbeat."""
+    lines, rows = [], []
+    for i in range(120):
+        second = 2 * i if i % 10 else 2 * i - 15
+        track = None if i % 9 == 0 else i % 3
+        rows.append((f"e{i:03d}", track, START + timedelta(seconds=second), "cam"))
+        if i % 7 == 0:
+            rows.append(rows[-1])
+    schema = "event_id STRING, track_id INT, event_timestamp TIMESTAMP, camera_id STRING"
+    for k in range(0, len(rows), 12):
+        part = rows[k : k + 12]
+        name = f"{tmp_path}/in/{k:03d}"
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(name)
+        lines.append(name)
+    spark.createDataFrame([(None, None, START + timedelta(days=1), None)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/999")
+    for i, name in enumerate([*lines, f"{tmp_path}/in/999"]):
+        for f in os.listdir(name):
+            os.utime(f"{name}/{f}", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(f"{tmp_path}/in/*")
     query = (
-        se.dedup_stream(parsed).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        se.dedup_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out")
         .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    assert se.late_rows(query) == 1
+    got = sorted(map(str, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert got == sorted(map(str, dedup_batch(spark.createDataFrame(rows, schema), 30).collect()))
+
+
+def test_kafka_options():
+    options = se.kafka_options(se.StreamSettings(8, topic="t", servers="broker:9092"))
+    assert options["startingOffsets"] == "earliest" and "maxOffsetsPerTrigger" not in options
+    assert options["failOnDataLoss"] == "true" and options["subscribe"] == "t"
+    capped = se.StreamSettings(8, topic="t", max_offsets_per_trigger=7, starting_offsets="latest", fail_on_data_loss=False)
+    options = se.kafka_options(capped)
+    assert (options["maxOffsetsPerTrigger"], options["startingOffsets"], options["failOnDataLoss"]) == ("7", "latest", "false")
+    assert se.kafka_sink_options(capped)["topic"] == "t"
+    for call in (se.kafka_options, se.kafka_sink_options):
+        with pytest.raises(ValueError, match="topic"):
+            call(se.StreamSettings(8))
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_late_rows_counter(spark, tmp_path):
+    drop_files(f"{tmp_path}/in", [[message("a", 1, 0)], [message("b", 2, 500)], [message("c", 3, 600)], [message("d", 4, 10)], [heartbeat(900)]])
+    parsed = ej.parse_events(se.read_event_files(spark, f"{tmp_path}/in", 1), "kafka_timestamp")
+    whole = ej.valid_events(parsed).unionByName(se.heartbeats(parsed))
+    counter = se.LateRows()
+    spark.streams.addListener(counter)
+    try:
+        query = (
+            se.dedup_stream(whole).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+            .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(counter)
+    assert counter.dropped[str(query.id)] == 1
     assert {r.event_id for r in spark.read.parquet(f"{tmp_path}/out").select(F.col("event_id")).collect()} == {"a", "b", "c"}

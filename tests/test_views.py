@@ -46,7 +46,7 @@ def test_empty_fact(spark, empty):
 def test_bucket_edges(spark):
     at = "2024-01-15 08:00:00"
     values = [0.45, 0.5, 0.6, 0.7, 0.8, 0.9]
-    f = fact(spark, [(at, "gate_utama_01", "no_helmet", v, 1.0) for v in values])
+    f = fact(spark, [(at, "quay_01", "no_helmet", v, 1.0) for v in values])
     got = {r["Range Confidence"]: r["Jumlah"] for r in views.confidence_distribution(f).collect()}
     assert got == {"0.5-0.6": 2, "0.6-0.7": 1, "0.7-0.8": 1, "0.8-0.9": 1, "0.9-1.0": 1}
 
@@ -66,17 +66,17 @@ def test_calendar_parts(spark):
 def test_unknown_keys_and_ties(spark):
     rows = [
         ("2024-01-15 09:00:00", "nowhere", "strange", 0.7, 10.0),
-        ("2024-01-15 07:10:00", "gate_utama_01", "no_helmet", 0.9, 20.0),
-        ("2024-01-15 16:10:00", "gate_utama_01", "no_helmet", 0.8, 30.0),
-        ("2024-01-14 16:10:00", "gate_nogps_01", "no_helmet", 0.8, None),
+        ("2024-01-15 07:10:00", "quay_01", "no_helmet", 0.9, 20.0),
+        ("2024-01-15 16:10:00", "quay_01", "no_helmet", 0.8, 30.0),
+        ("2024-01-14 16:10:00", "dark_01", "no_helmet", 0.8, None),
     ]
     f = fact(spark, rows).cache()
     cameras, types = inputs.dim_camera(spark), inputs.dim_violation_type(spark)
     stats = {r.camera_id: r for r in views.camera_stats(f, cameras).collect()}
     assert stats[None].total_violations == 1 and stats[None].camera_name is None and stats[None].location == "-"
     geo = {r.camera_id: r for r in views.camera_geomap(f, cameras).collect()}
-    assert "gate_nogps_01" not in geo
-    assert (geo["gate_utama_01"].peak_hour, geo["gate_utama_01"].peak_period) == (7, "pagi")
+    assert "dark_01" not in geo
+    assert (geo["quay_01"].peak_hour, geo["quay_01"].peak_period) == (7, "pagi")
     kpi = views.kpi_summary(f, "2024-01-20").first()
     assert kpi.violations_today == 0 and kpi.avg_latency_ms == 20.0 and kpi.last_violation_time is None
     assert [r["Tipe"] for r in views.recent_violations(f, cameras, types, 2).collect()] == ["Rider without helmet", "-"]
