@@ -109,8 +109,15 @@ def dense_number(df: DataFrame, keys: Sequence[str], order: str, result: str, si
 def running_max(df: DataFrame, order: str, value: str, result: str, size: int = 1 << 16) -> DataFrame:
     """Inclusive running maximum over the whole table in ``order``."""
     df = df.withColumn(CHUNK_COL, chunk_of(F.col(order), size))
-    # One summary row per chunk: this unkeyed window sees rows / size values.
-    rows = carry_in(df, [], {"_max": F.max(value)}, {"_carry": F.max("_max").over(before([]))})
+    # Chunks are summed up in blocks of as many chunks: a window over the chunks of a block sees
+    # ``size`` rows at most, and the unkeyed one a row per ``size * size`` values of the order.
+    chunks = df.groupBy(CHUNK_COL).agg(F.max(value).alias("_max")).withColumn("_block", chunk_of(F.col(CHUNK_COL), size))
+    blocks = chunks.groupBy("_block").agg(F.max("_max").alias("_top"))
+    earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.max("_top").over(earlier).alias("_before"))
+    in_block = W.partitionBy("_block").orderBy(CHUNK_COL).rowsBetween(W.unboundedPreceding, -1)
+    state = chunks.join(blocks, "_block").select(CHUNK_COL, F.greatest(F.max("_max").over(in_block), "_before").alias("_carry"))
+    rows = df.join(state, CHUNK_COL)
     here = inside([], order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return rows.withColumn(result, F.greatest(F.max(value).over(here), F.col("_carry"))).drop(CHUNK_COL, "_carry")
 

@@ -204,6 +204,18 @@ def test_shared_folder_is_required_on_a_cluster(monkeypatch):
         session.shared_dir(Session())
 
 
+def test_nothing_is_left_in_the_shared_folder(spark, sf_dir):
+    from kerbline.plans import catalog
+
+    session.clear_scratch(spark)
+    top = session.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    catalog.queries()["dedup_batch"](spark, sf_dir).count()
+    assert set(os.listdir(top)) > before
+    assert session.clear_scratch(spark) > 0
+    assert set(os.listdir(top)) == before
+
+
 def test_late_rows_counter(spark, tmp_path):
     drop_files(f"{tmp_path}/in", [[message("a", 1, 0)], [message("b", 2, 500)], [message("c", 3, 600)], [message("d", 4, 10)], [heartbeat(900)]])
     parsed = ej.parse_events(se.read_event_files(spark, f"{tmp_path}/in", 1), "kafka_timestamp")
