@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kerbline.functions.geometry import from_ltwh, iou
 from kerbline.functions.labels import with_time_parts, with_time_period
@@ -146,7 +147,21 @@ def serialize_events(spark, sf_dir):
 
 
 def read_mot(spark, sf_dir):
-    return mt.parse_mot_lines(mot_lines(inputs.pred_boxes(spark, sf_dir)))
+    path = scratch_path(spark, "mot")
+    mot_lines(inputs.pred_boxes(spark, sf_dir)).write.partitionBy("sequence_id").text(path)
+    return mt.read_mot(spark, path)
+
+
+def _written(rows_of):
+    """Boxes written as text files and read back."""
+
+    def run(spark, sf_dir):
+        rows, path = rows_of(inputs.detections(spark, sf_dir)), scratch_path(spark, "mot")
+        mt.write_mot(rows, path)
+        fields = [f for f in rows.schema if f.name != "sequence_id"] + [rows.schema["sequence_id"]]
+        return spark.read.schema(StructType(fields)).csv(path)
+
+    return run
 
 
 def annotation_source(spark, sf_dir):
@@ -434,8 +449,8 @@ QUERIES: dict[str, Query] = {
     "quarantine_events": quarantine_events,
     "serialize_events": serialize_events,
     "read_mot": read_mot,
-    "write_mot_pred": _on_detections(mt.mot_pred_rows),
-    "write_mot_det": _on_detections(mt.mot_det_rows),
+    "write_mot_pred": _written(mt.mot_pred_rows),
+    "write_mot_det": _written(mt.mot_det_rows),
     "annotation_source": annotation_source,
     "sequence_summary": _on_detections(lambda x: mt.sequence_summary(x, 25, 1280, 720)),
     "load_star": load_star,
