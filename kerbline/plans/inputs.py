@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbline.functions.labels import with_time_parts, with_time_period
@@ -117,16 +118,13 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, line number): duplicates of the pair are grouped away.
+    """Every line with its number within the order, as line numbers repeat there.
 
     Boxes of all kinds are row-wise projections of this relation. A query that reads them
-    more than once stages the slots first, so the grouping is shuffled once.
+    more than once stages the slots first, so the lines are shuffled once.
     """
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", F.col("l_linenumber").alias("ln"))
-        .agg(F.min("l_partkey").alias("p"))
-    )
+    within = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(within).alias("ln"), F.col("l_partkey").alias("p"))
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +132,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections_from(slots: DataFrame) -> DataFrame:
-    """Boxes of 4 cameras: lines 1-2 are motorcycles, 3-7 riders; tracks live 40 frames."""
+    """Boxes of 4 cameras: lines 1-2 are motorcycles, the others riders; tracks live 40 frames."""
     ln, p, frame = F.col("ln"), F.col("p"), F.col("frame_number")
     left = F.when(ln % 2 == 1, 100).otherwise(400)
     vehicle = ln <= 2
@@ -146,7 +144,7 @@ def detections_from(slots: DataFrame) -> DataFrame:
             F.lit("s0").alias("session_id"),
             "frame_number",
             ln.alias("det_idx"),
-            (F.expr("frame_number div 40") * 10 + ln).alias("track_id"),
+            (F.expr("frame_number div 40") * 100 + ln).alias("track_id"),
             F.when(vehicle, 2).when(p % 10 < 7, 1).otherwise(0).alias("class_id"),
             ((30 + p % 70).cast("double") / 100).alias("confidence"),
             (left + F.when(vehicle, 0).otherwise(p % 80)).cast("double").alias("x1"),
@@ -184,7 +182,7 @@ def gt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gt_boxes_from(slots: DataFrame) -> DataFrame:
-    """Truth boxes: one slot per line number, slots 1000 px apart."""
+    """Truth boxes: one slot per line, slots 1000 px apart."""
     ln = F.col("ln")
     return (
         _box_slots(slots)
@@ -192,7 +190,7 @@ def gt_boxes_from(slots: DataFrame) -> DataFrame:
         .select(
             "sequence_id",
             "frame",
-            (F.expr("frame div 50") * 10 + ln).alias("id"),
+            (F.expr("frame div 50") * 100 + ln).alias("id"),
             (ln * 1000).cast("double").alias("bb_left"),
             F.lit(100.0).alias("bb_top"),
             F.lit(100.0).alias("bb_w"),
@@ -216,7 +214,7 @@ def pred_boxes_from(slots: DataFrame) -> DataFrame:
         .select(
             "sequence_id",
             "frame",
-            (F.expr("frame div 50") * 10 + ln + F.when(p % 29 == 0, 1000000).otherwise(0)).alias("id"),
+            (F.expr("frame div 50") * 100 + ln + F.when(p % 29 == 0, 1000000).otherwise(0)).alias("id"),
             (ln * 1000 + (p % 9) * 8).cast("double").alias("bb_left"),
             F.lit(100.0).alias("bb_top"),
             F.lit(100.0).alias("bb_w"),
