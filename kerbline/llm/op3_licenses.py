@@ -61,8 +61,12 @@ def class_of(size: int) -> int:
 
 def notices_frame(spark: SparkSession, notices: dict[str, str]) -> DataFrame:
     """``(license, k, shingles)`` of the notices."""
-    rows = [(name, class_of(len(own)), own) for name, text in notices.items() if (own := shingles_of(text))]
-    return spark.createDataFrame(rows, "license string, k int, shingles array<string>")
+    rows = [
+        F.struct(F.lit(name).alias("license"), F.lit(class_of(len(own))).alias("k"), F.array(*map(F.lit, own)).alias("shingles"))
+        for name, text in notices.items()
+        if (own := shingles_of(text))
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _hash(j: int):
