@@ -6,9 +6,10 @@ for a bucket compressed together; equal windows have equal minimisers, so they m
 There the windows are cut again, sorted by two 64-bit fingerprints of their words, and each is
 compared with the smallest document that holds it. The ranges to remove go back to their documents.
 
-A minimiser that a bounded sample of documents shows to be frequent would fill one bucket: its
-windows travel singly and are dealt by their own fingerprints. That changes who counts them, not
-the counts; all windows of such a minimiser go that way.
+A minimiser that a bounded sample of documents shows to be frequent would fill one bucket. Its
+strings are dealt by their own fingerprint: equal ones are settled there, each later document's by
+the smallest that holds it, and only the smallest's windows travel on, singly, to be counted by
+their fingerprints. That changes who counts them, not the counts; all strings of such a minimiser go that way.
 
 Null texts have no words. Rows without an id are returned whole and count for nobody. Repeated ids
 are one document: none is smaller than the other. An empty table gives an empty result; extra
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.text import Texts, grams, mix, powers, slices, within, words
+from kerbline.llm.text import Prefix, Texts, grams, mix, powers, slices, within, words
 from kerbline.session import cut_lineage
 
 WINDOW = 50
@@ -108,21 +109,13 @@ def _packed(buckets: int, often: np.ndarray):
         row = w.row[first]
         place = first - w.first[row]
         lo, hi = w.start[first], w.end[first + count + WINDOW - 2]
-        bucket = (value % np.uint64(buckets)).astype(np.int64)
-        order = np.flatnonzero(~hot)[np.argsort(bucket[~hot], kind="stable")]
+        name = Prefix(texts.data).of(lo, hi)
+        bucket = (np.where(hot, name, value) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            if len(part):
-                text = b"\n".join([buffer[a:b] for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)])
-                out[int(bucket[part[0]])].append((ids[row[part]], marks[row[part]], place[part], count[part], text))
-        if hot.any():
-            one, two = prints(w.code, WINDOW)
-            at = np.concatenate([np.arange(a, a + n) for a, n in zip(first[hot], count[hot], strict=True)])
-            to = (one[at] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                i = at[part]
-                r = w.row[i]
-                out[int(to[part[0]])].append((ids[r], marks[r], i - w.first[r], one[i], two[i]))
+            text = b"\n".join([buffer[a:b] for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)])
+            columns = (ids[row[part]], marks[row[part]], place[part], count[part], name[part], hot[part])
+            out[int(bucket[part[0]])].append((columns, text))
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -139,27 +132,60 @@ def _packed(buckets: int, often: np.ndarray):
 
 
 def _cut_again(parts: list) -> list[np.ndarray]:
-    """Columns of the windows of packed strings: doc, mark, place, and two fingerprints."""
-    columns: list[list] = [[], [], [], [], []]
-    for ids, marks, place, *rest in parts:
-        if len(rest[1]) and isinstance(rest[1], bytes):
-            count, text = rest
-            data = np.frombuffer(text, np.uint8)
-            w = words(Texts(slice(0, 1), data, np.array([0, len(data)])))
-            one, two = prints(w.code, WINDOW)
-            size = count + WINDOW - 1
-            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-            which = np.repeat(np.arange(len(count)), count)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-            at = begin[which] + step
-            found = (ids[which], marks[which], place[which] + step, one[at], two[at])
-        else:
-            found = (ids, marks, place, *rest)
-        for column, more in zip(columns, found, strict=True):
+    """Columns of the windows of packed strings: doc, mark, place, two fingerprints, and the string's number."""
+    columns: list[list] = [[], [], [], [], [], []]
+    seen = 0
+    for (ids, marks, place, count, *_), text in parts:
+        data = np.frombuffer(text, np.uint8)
+        w = words(Texts(slice(0, 1), data, np.array([0, len(data)])))
+        one, two = prints(w.code, WINDOW)
+        size = count + WINDOW - 1
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        which = np.repeat(np.arange(len(count)), count)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        at = begin[which] + step
+        for column, more in zip(columns, (ids[which], marks[which], place[which] + step, one[at], two[at], which + seen), strict=True):
             column.append(more)
+        seen += len(count)
     return [np.concatenate(c) for c in columns]
 
 
+def _judged(parts: list, buckets: int):
+    """Ranges settled in a bucket, and single windows of frequent minimisers for theirs."""
+    ids, marks, place, count, name, hot = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
+    columns = _cut_again(parts)
+    number = columns.pop()
+    cold = ~hot[number]
+    if cold.any():
+        yield _later([c[cold] for c in columns])
+    if hot.any():
+        rows = np.flatnonzero(hot)
+        rows = rows[np.lexsort((ids[rows], name[rows]))]
+        first = np.flatnonzero(np.append(True, name[rows][1:] != name[rows][:-1]))
+        least = np.repeat(ids[rows][first], np.diff(np.append(first, len(rows))))
+        later = rows[ids[rows] > least]
+        yield _ranges(ids[later], marks[later], place[later], place[later] + count[later] + WINDOW - 1)
+        on = np.zeros(len(ids), bool)
+        on[rows[ids[rows] == least]] = True
+        single = [c[on[number]] for c in columns]
+        to = (single[3] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        press = zstandard.ZstdCompressor(level=1)
+        for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+            blob = press.compress(pickle.dumps([c[part] for c in single], protocol=5))
+            none = pa.nulls(1).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array([int(to[part[0]])], pa.int32()), pa.array([blob], pa.binary())], NAMES)
+
+
+NAMES = ["doc_id", "mark", "lo", "hi", "bucket", "blob"]
+ROWS = "doc_id long, mark long, lo long, hi long, bucket int, blob binary"
+
+
+def _ranges(ids: np.ndarray, marks: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(ids))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, marks, lo, hi)] + [none.cast(pa.int32()), none.cast(pa.binary())], NAMES)
+
+
 def _later(columns: list[np.ndarray]) -> pa.RecordBatch:
     """Ranges of words covered by windows that a smaller document holds."""
     ids, marks, place, one, two = columns
@@ -176,25 +202,36 @@ def _later(columns: list[np.ndarray]) -> pa.RecordBatch:
     opens = np.ones(len(ids), bool)
     opens[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]) | (place[1:] > place[:-1] + 1)
     head = np.flatnonzero(opens)
-    last = np.append(head[1:], len(ids)) - 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[head]), pa.array(marks[head]), pa.array(place[head]), pa.array(place[last] + WINDOW)], ["doc_id", "mark", "lo", "hi"]
-    )
+    last = np.append(head[1:], len(ids)) - 1 if len(head) else head
+    return _ranges(ids[head], marks[head], place[head], place[last] + WINDOW)
 
 
-def _counted(batches):
-    """One partition holds whole buckets, sorted by bucket."""
+def _by_bucket(batches):
+    """One list per bucket; a partition holds whole buckets, sorted."""
     open_ = zstandard.ZstdDecompressor()
     bucket, parts = None, []
     for batch in batches:
         for key, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
             if key != bucket and parts:
-                yield _later(_cut_again(parts))
+                yield parts
                 parts = []
             bucket = key
-            parts += pickle.loads(open_.decompress(blob.as_buffer()))
+            parts.append(pickle.loads(open_.decompress(blob.as_buffer())))
     if parts:
-        yield _later(_cut_again(parts))
+        yield parts
+
+
+def _counted(buckets: int):
+    def run(batches):
+        for lists in _by_bucket(batches):
+            yield from _judged([p for some in lists for p in some], buckets)
+
+    return run
+
+
+def _singles(batches):
+    for lists in _by_bucket(batches):
+        yield _later([np.concatenate(c) for c in zip(*lists, strict=True)]).select(NAMES[:4])
 
 
 def _removed(batches):
@@ -226,7 +263,10 @@ def repeated_ranges(documents: DataFrame, buckets: int) -> DataFrame:
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
     packed = docs.mapInArrow(_packed(buckets, frequent(docs)), "bucket int, blob binary")
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_counted, "doc_id long, mark long, lo long, hi long")
+    judged = cut_lineage(dealt.mapInArrow(_counted(buckets), ROWS))
+    single = judged.filter("blob is not null").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    more = single.mapInArrow(_singles, "doc_id long, mark long, lo long, hi long")
+    return judged.filter("blob is null").select(NAMES[:4]).unionByName(more)
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
