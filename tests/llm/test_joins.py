@@ -68,7 +68,7 @@ def test_near_duplicates(spark):
     check_near(spark, near_rows(random.Random(1)))
 
 
-@pytest.mark.parametrize("limits", [(2, 12), (6, 24)])
+@pytest.mark.parametrize("limits", [(2, 30)])
 def test_near_duplicates_of_large_nodes(spark, monkeypatch, limits):
     """Nodes above the limits branch further and lose no link."""
     monkeypatch.setattr(near, "PAIRED", limits[0])
