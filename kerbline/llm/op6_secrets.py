@@ -4,8 +4,11 @@ Base spans are three fixed patterns. The battery looks at maximal runs of 20 or
 characters outside them. The encoding of a run (hex of either case, base32, base64 or its URL form) gives
 its alphabet; over it a chi-square test of uniformity, a runs test about the middle and a lag-one
 serial correlation test must all fail to reject randomness at ``ALPHA``. The null hypothesis that
-counts for discoveries is text: the chi-square statistic of letters with the collision rate of
-language gives a p-value, and Benjamini-Hochberg at ``FDR`` runs in strata of length (powers of two),
+counts for discoveries is text in the alphabet of the run. For base64 the chi-square statistic of letters with
+the collision rate of language gives a p-value. In the small alphabets of hex and base32 random symbols
+collide nearly as often as text; there text is words and numbers in turn, their letters as frequent as
+in language, and its likelihood over that of random symbols is a p-value (its mean is one under the null, so
+Markov's inequality bounds the tail at any length). Benjamini-Hochberg at ``FDR`` runs in strata of length (powers of two),
 because short runs have little power. Its counts come from a histogram of fixed size over all texts.
 
 All of it is DataFrame expressions. Null text counts as empty. Null ids keep their row, repeated
@@ -32,6 +35,10 @@ VALUE_LEAST = 6
 ALPHA, FDR = 0.001, 0.01
 #: Chance that two letters of running text are equal.
 COLLISION = 0.075
+#: Letters of running text in hundredths, one at least, so that rare letters of one language prove nothing.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2, 6.1, 7, 1, 1, 4, 2.4, 6.7, 7.5, 1.9, 1, 6, 6.3, 9.1, 2.8, 1, 2.4, 1, 2, 1), strict=True))
+#: Chance that a word or a number ends after a symbol: both are about five symbols long.
+SWITCH = 0.2
 #: Tenths of a power of ten: p-values below 1e-30 share a bin.
 BINS = 300
 MARK = "[SECRET]"
@@ -71,6 +78,13 @@ def _phi(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
 
 
+def _weights(alphabet: str) -> list[float]:
+    """Decimal logarithms of the chances of the symbols in text, among letters and among digits."""
+    digits = sum(c.isdigit() for c in alphabet)
+    letters = sum(LETTERS[c.lower()] for c in alphabet if c.isalpha())
+    return [math.log10(1 / digits if c.isdigit() else LETTERS[c.lower()] / letters) for c in alphabet]
+
+
 def _alphabet(run: Column) -> Column:
     """The symbols of the encoding that a run (without padding) shows; null for plain numbers."""
     lowered = run.rlike("^([0-9a-f]+|[0-9A-F]+)$")
@@ -107,6 +121,11 @@ def _sums(x: Column) -> Column:
     high = F.transform(v, lambda t: F.when(t >= a / 2, 1).otherwise(0))
     pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
     turns = F.aggregate(pairs, F.lit(1.0), lambda s, t: s + F.when((t["p"] >= a / 2) != (t["q"] >= a / 2), 1.0).otherwise(0.0))
+    digit = lambda t: F.when(a == len(_HEXES), t < 10).otherwise(t >= 26)
+    switches = F.aggregate(pairs, F.lit(0.0), lambda s, t: s + F.when(digit(t["p"]) != digit(t["q"]), 1.0).otherwise(0.0))
+    weights = F.when(a == len(_HEXES), F.array(*map(F.lit, _weights(_HEXES)))).otherwise(F.array(*map(F.lit, _weights(_B32))))
+    chances = F.aggregate(v, F.lit(math.log10(0.5)), lambda s, t: s + F.get(weights, t))
+    text = chances + switches * math.log10(SWITCH) + (n - 1 - switches) * math.log10(1 - SWITCH)
     middle = (a - 1) / 2
     along = F.aggregate(pairs, F.lit(0.0), lambda s, t: s + (t["p"] - middle) * (t["q"] - middle))
     return F.struct(
@@ -116,6 +135,7 @@ def _sums(x: Column) -> Column:
         F.aggregate(high, F.lit(0.0), lambda s, t: s + t).alias("ones"),
         turns.alias("turns"),
         along.alias("along"),
+        F.when(a < len(_B64), F.greatest(n * -F.log10(a) - text, F.lit(0.0))).alias("odds"),
     )
 
 
@@ -132,10 +152,10 @@ def _decide(s: Column) -> Column:
     low = F.least(1 - _phi(uniform), 2 * (1 - _phi(F.abs(runs))), 2 * (1 - _phi(F.abs(serial))))
     expected = a + a * (n - 1) * COLLISION - n
     deviation = a / n * 2 * F.sqrt(n * (n - 1) / 2 * COLLISION * (1 - COLLISION))
-    text_like = _phi((x2 - expected) / deviation)
+    collisions = -F.log10(F.greatest(_phi((x2 - expected) / deviation), F.lit(1e-300)))
     return F.struct(
         F.floor(F.log2(n)).cast("int").alias("stratum"),
-        F.least(F.floor(-10 * F.log10(F.greatest(text_like, F.lit(1e-300)))), F.lit(BINS)).cast("int").alias("bin"),
+        F.least(F.floor(10 * F.coalesce(s["odds"], collisions)), F.lit(BINS)).cast("int").alias("bin"),
         (a.isNotNull() & (n >= 16) & (low >= ALPHA / 3)).alias("random"),
     )
 

@@ -1,0 +1,36 @@
+"""Random keys of the small alphabets are found at every length, words and numbers in them are not."""
+
+import random
+
+import pytest
+
+from kerbline.llm import op6_secrets as secrets
+from tests.llm.helpers import documents, prose
+
+HEX, B32 = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Alphabet, length and the least share found among many.
+CASES = [(HEX, 20, 0.5), (HEX, 32, 0.75), (HEX, 40, 0.85), (HEX, 64, 0.93), (HEX.lower(), 20, 0.5), (HEX.lower(), 23, 0.55), (B32, 20, 0.65), (B32, 32, 0.88), (B32, 64, 0.95)]
+TEXTS = ("DECADEFACADEDEADBEEFFACE", "FEEDBEEF20240131CAFE20250228", "20260131000000000001A", "UNDERSTANDINGWITHOUTMEANING", "THEHOUSEOFTHESEVENGABLES222")
+
+
+@pytest.mark.parametrize("stage", [False, True])
+def test_keys_of_each_length(spark, stage):
+    rng = random.Random(21)
+    rows, keys = [(k, f"{prose(rng, 5)} {t} {prose(rng, 5)}") for k, t in enumerate(TEXTS)], {}
+    for c, (pool, n, _) in enumerate(CASES):
+        for k in range(100):
+            key = "".join(rng.choice(pool) for _ in range(n))
+            keys[1000 * (c + 1) + k] = key
+            rows.append((1000 * (c + 1) + k, f"key {key} end"))
+    docs = documents(spark, rows)
+    if stage:
+        out = {r.doc_id: r.text for r in secrets.stage(spark, docs, "").collect()}
+        found = {i for i, key in keys.items() if key not in out[i]}
+        assert all(out[k] == rows[k][1] for k in range(len(TEXTS)))
+    else:
+        out = {r.doc_id: r.spans for r in secrets.secrets(docs).collect()}
+        found = {i for i, key in keys.items() if out[i] == f"random:4:{4 + len(key)}"}
+        assert not any(out[k] for k in range(len(TEXTS)))
+    for c, (pool, n, least) in enumerate(CASES):
+        share = sum(1000 * (c + 1) + k in found for k in range(100)) / 100
+        assert share >= least, (pool, n, share)
