@@ -6,15 +6,19 @@ whole sequence). Equal sets are one class, found by a hash aggregation, and only
 Each class has ``COORDS`` minwise tokens. A tree starts at its root; at a node, a hash of the
 node's path selects one coordinate, and for a third of the nodes a second, and a class moves to
 the child named by its token there. Two sets with similarity ``J`` meet in a child with ``4/3 * J``
-children on average, so a pair at the threshold stays together in one of ``TREES`` independent
-trees after ``DEPTH`` levels with probability 0.9995, while unlike sets part.
+children on average, so a pair at the threshold stays together in one of ``TREES``
+trees after ``DEPTH`` levels with probability 0.9977 (averaged over the tokens, which the trees
+share; 0.9995 if exactly three quarters of them agree), while unlike sets part.
 
 At first each member of a node is paired with its likeliest partner by sketch (or with the pivots of
 a node of more than ``PAIRED``), and these few pairs a member are confirmed on the full sets. Links
 join classes to components. What is left of a node of up to ``SMALL`` classes, the members whose
 sketches leave a link to another component possible, is then compared exhaustively on the full sets,
 each text once. A larger node never meets in one task: it ends when all its members are one
-component, and otherwise it branches further.
+component, and otherwise it branches further. At the threshold that keeps a pair's meetings only on average, and
+each level loses pairs (``meeting``: 0.988 at level 6, 0.944 at 10, 0.852 at 16). So the classes of
+nodes that went deeper pass through further groups of trees over fresh tokens, until their pairs meet with
+a probability of ``TARGET`` at the depth that they reached.
 
 Null or wordless texts have empty sets and link with nothing. Repeated ids count as one document
 for components, each row with its own set size. Rows without an id have no component and are
@@ -23,6 +27,8 @@ kept. An empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +42,8 @@ SHINGLE = 5
 COORDS = 64
 TREES = 10
 DEPTH = 4
+#: Probability that a pair at the threshold meets, for classes of nodes that go deeper.
+TARGET = 0.9995
 #: Classes of a node that are paired by sketch, and that are compared exhaustively.
 PAIRED, SMALL = 256, 2048
 #: Members that stand for a larger node in one round.
@@ -45,8 +53,27 @@ NEED = 75
 #: Sketches agree in two bits a coordinate; pairs estimated five deviations below the need are no links.
 LEAST_AGREE = 36
 
-_rng = np.random.default_rng(5)
-_SPREAD = _rng.integers(1, 2**62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+def _spread(group: int) -> np.ndarray:
+    """Multipliers that make the minwise tokens of a group of trees."""
+    return np.random.default_rng(5 + group).integers(1, 2**62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def meeting(depth: int) -> float:
+    """Probability that a pair at the threshold is together in a tree of a group after some levels."""
+    total = 0.0
+    for agreed in range(COORDS + 1):
+        p, gone = agreed / COORDS, 0.0
+        for _ in range(depth):
+            lost = 1 - p + p * gone
+            gone = 2 / 3 * lost + 1 / 3 * lost * lost
+        total += math.comb(COORDS, agreed) * (NEED / 100) ** agreed * (1 - NEED / 100) ** (COORDS - agreed) * (1 - gone**TREES)
+    return total
+
+
+def groups(depth: int) -> int:
+    """Groups of trees that classes need whose nodes went to a depth."""
+    return 1 if depth <= DEPTH else math.ceil(math.log(1 - TARGET) / math.log(1 - meeting(depth)))
 
 
 def shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -69,38 +96,42 @@ def shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return row[fresh], code[fresh]
 
 
-def _sketches(batches):
-    for batch in batches:
-        size = np.zeros(batch.num_rows, np.int64)
-        names = np.zeros((batch.num_rows, 2), np.uint64)
-        mins = np.zeros((batch.num_rows, COORDS), np.uint32)
-        for texts in slices(batch):
-            row, code = shingles(texts)
-            if not len(row):
-                continue
-            head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            at = texts.rows.start + row[head]
-            size[at] = np.diff(np.append(head, len(row)))
-            names[at, 0] = np.add.reduceat(mix(code + np.uint64(1)), head)
-            names[at, 1] = np.add.reduceat(mix(code ^ np.uint64(0x5BD1E995)), head)
-            for k in range(COORDS):
-                mins[at, k] = np.minimum.reduceat(((code * _SPREAD[k]) >> np.uint64(32)).astype(np.uint32), head)
-        ids = mix(names[:, 0] + mix(names[:, 1]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").cast(pa.int64()),
-                pa.array(size),
-                pa.array(ids.view(np.int64)),
-                pa.array([m.tobytes() for m in mins], pa.binary()),
-            ],
-            ["doc_id", "n", "cid", "mins"],
-        )
+def _sketches(group: int):
+    def run(batches):
+        spread = _spread(group)
+        for batch in batches:
+            size = np.zeros(batch.num_rows, np.int64)
+            names = np.zeros((batch.num_rows, 2), np.uint64)
+            mins = np.zeros((batch.num_rows, COORDS), np.uint32)
+            for texts in slices(batch):
+                row, code = shingles(texts)
+                if not len(row):
+                    continue
+                head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                at = texts.rows.start + row[head]
+                size[at] = np.diff(np.append(head, len(row)))
+                names[at, 0] = np.add.reduceat(mix(code + np.uint64(1)), head)
+                names[at, 1] = np.add.reduceat(mix(code ^ np.uint64(0x5BD1E995)), head)
+                for k in range(COORDS):
+                    mins[at, k] = np.minimum.reduceat(((code * spread[k]) >> np.uint64(32)).astype(np.uint32), head)
+            ids = mix(names[:, 0] + mix(names[:, 1]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").cast(pa.int64()),
+                    pa.array(size),
+                    pa.array(ids.view(np.int64)),
+                    pa.array([m.tobytes() for m in mins], pa.binary()),
+                ],
+                ["doc_id", "n", "cid", "mins"],
+            )
+
+    return run
 
 
-def sketched(documents: DataFrame) -> DataFrame:
-    """``(doc_id, n, cid, mins)``: set size, name of the set, minwise tokens."""
+def sketched(documents: DataFrame, group: int = 0) -> DataFrame:
+    """``(doc_id, n, cid, mins)``: set size, name of the set, minwise tokens of a group of trees."""
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_sketches, "doc_id long, n long, cid long, mins binary")
+    return narrow.mapInArrow(_sketches(group), "doc_id long, n long, cid long, mins binary")
 
 
 def _descend(mins: np.ndarray, owner: np.ndarray, path: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -381,20 +412,45 @@ def _between(members: DataFrame) -> DataFrame:
 
 def links_of(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """Confirmed links ``(a, b)`` that hold the components; ``classes`` has cid, doc, n, mins."""
+    links, depths = _descended(classes, documents, None)
+    done = 1
+    while True:
+        reached = [r[0] for r in depths.select("depth").distinct().collect()] if depths is not None else []
+        short = [d for d in reached if groups(d) > done]
+        if not short:
+            return links
+        deep = cut_lineage(classes.select("cid", "doc", "n").join(depths.filter(F.col("depth").isin(short)).select("cid"), "cid"))
+        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(deep.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+        fresh = sketched(texts, done).select("cid", "mins").dropDuplicates(["cid"])
+        links, more = _descended(cut_lineage(deep.join(fresh, "cid")), documents, links)
+        done += 1
+        if more is not None:
+            depths = cut_lineage(depths.unionByName(more).groupBy("cid").agg(F.max("depth").alias("depth")))
+
+
+def _descended(classes: DataFrame, documents: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Known and new links of a group of trees, and ``(cid, depth)`` of the classes whose nodes went deeper."""
     members = classes.mapInArrow(_members(DEPTH, True), f"node long, {MEMBER}")
     sized = cut_lineage(_sized(members))
+    if known is not None:
+        sized = cut_lineage(_between(_with_components(sized, known)).select(*CORE, "size"))
     small, large = sized.filter(F.col("size") <= PAIRED), sized.filter(F.col("size") > PAIRED)
     pairs = _grouped(small).select("members").mapInArrow(_likeliest, PAIR).unionByName(_to_pivots(large, 0))
-    links, round_ = confirm(pairs, documents), 0
+    links, round_, deep = confirm(pairs, documents), 0, None
+    if known is not None:
+        links = cut_lineage(known.unionByName(links))
     while True:
         mixed = cut_lineage(_between(_with_components(sized.select(*CORE, "size"), links)))
         links = links.unionByName(_compared(mixed.filter(F.col("size") <= SMALL), documents))
         big = mixed.filter(F.col("size") > SMALL)
         if big.isEmpty():
-            return links
+            return links, deep
         round_ += 1
         if round_ > 60:
             raise RuntimeError("a node of unlinked sets did not part")
+        here = big.select("cid").distinct().withColumn("depth", F.lit(DEPTH + 2 * round_))
+        deep = here if deep is None else here.unionByName(deep)
+        deep = cut_lineage(deep.groupBy("cid").agg(F.max("depth").alias("depth")))
         below = big.select("node", "cid", "doc", "n").join(classes.select("cid", "mins"), "cid")
         deeper = below.mapInArrow(_members(2, False), f"node long, {MEMBER}")
         sized = cut_lineage(_sized(deeper))
