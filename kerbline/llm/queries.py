@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import op10_neighbours, op1_decontamination, op2_bpe, op3_licenses, op4_toxicity, op5_near_dedup, op6_secrets, op7_suffixes, op8_substrings, op9_quality
+from kerbline.llm import (
+    op1_decontamination,
+    op2_bpe,
+    op3_licenses,
+    op4_toxicity,
+    op5_near_dedup,
+    op6_secrets,
+    op7_suffixes,
+    op8_substrings,
+    op9_quality,
+    op10_neighbours,
+    op12_resampling,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +35,12 @@ def queries() -> dict[str, Query]:
         "op8_substrings": op8_substrings.query,
         "op10_neighbours": op10_neighbours.query,
         "op9_quality": op9_quality.query,
+        "op12_resampling": op12_resampling.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": op3_licenses.oracle()}
+    return {
+        "op3_licenses": op3_licenses.oracle(),
+        "op12_resampling": op12_resampling.oracle(),
+    }
