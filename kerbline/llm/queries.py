@@ -18,6 +18,7 @@ from kerbline.llm import (
     op9_quality,
     op10_neighbours,
     op12_resampling,
+    op13_mixing,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op10_neighbours": op10_neighbours.query,
         "op9_quality": op9_quality.query,
         "op12_resampling": op12_resampling.query,
+        "op13_mixing": op13_mixing.query,
     }
 
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_licenses": op3_licenses.oracle(),
         "op12_resampling": op12_resampling.oracle(),
+        "op13_mixing": op13_mixing.oracle(),
     }
