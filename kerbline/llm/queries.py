@@ -17,6 +17,7 @@ from kerbline.llm import (
     op8_substrings,
     op9_quality,
     op10_neighbours,
+    op11_negatives,
     op12_resampling,
     op13_mixing,
 )
@@ -36,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op8_substrings": op8_substrings.query,
         "op10_neighbours": op10_neighbours.query,
         "op9_quality": op9_quality.query,
+        "op11_negatives": op11_negatives.query,
         "op12_resampling": op12_resampling.query,
         "op13_mixing": op13_mixing.query,
     }
@@ -44,6 +46,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_licenses": op3_licenses.oracle(),
+        "op11_negatives": op11_negatives.oracle(),
         "op12_resampling": op12_resampling.oracle(),
         "op13_mixing": op13_mixing.oracle(),
     }
