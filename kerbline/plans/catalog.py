@@ -290,14 +290,20 @@ def confirmed(spark, sf_dir):
 
 
 def confirm_stream(spark, sf_dir):
-    """The rule on a stream that is stopped and restarted from its checkpoint half way."""
+    """The rule on a stream that is stopped and restarted from its checkpoint twice.
+
+    Frames come out of order: neighbours of 64 frames are swapped between the first two parts. An empty
+    frame in the end releases what waits.
+    """
     root = scratch_path(spark, "frames")
     messages = sc.frame_messages(_staged_detections(spark, sf_dir))
     messages.write.parquet(f"{root}/staged")
     staged = spark.read.parquet(f"{root}/staged")
-    half = staged.agg((F.max("frame_number") / 2).alias("half")).first().half
-    for part in (F.col("frame_number") <= half, F.col("frame_number") > half):
-        staged.filter(part).write.mode("append").parquet(f"{root}/in")
+    ends = staged.agg((F.max("frame_number") / 2).alias("half"), F.max("frame_time").alias("last")).first()
+    first = F.col("frame_number") + F.when(F.col("frame_number") % 3 == 0, 64).otherwise(0) <= ends.half
+    empty = staged.limit(1).withColumns({"frame_time": F.lit(ends.last) + F.expr("INTERVAL 1 DAY"), "boxes": F.expr("filter(boxes, b -> false)")})
+    for part in (staged.filter(first), staged.filter(~first), empty):
+        part.write.mode("append").parquet(f"{root}/in")
         stream = sc.confirm_stream(spark.readStream.schema(staged.schema).parquet(f"{root}/in"))
         sink = stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
         _drain(spark, sink, f"{root}/checkpoint")

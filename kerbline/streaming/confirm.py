@@ -1,31 +1,34 @@
 """The N-frame confirmation rule on a stream of frames.
 
 One message is one non-empty frame: its number, its tick and its boxes. Association happens
-inside the message; after that the state is per track: clock of the last hit, frozen rows,
-streak, sum of confidences. Misses need no rows, they follow from the clock at the next hit.
+inside the message; its trigger rows then wait per track until the watermark has passed them
+(:mod:`kerbline.streaming.ordered_state`), so frames may arrive in any order within the watermark delay. What is
+carried on is small: clock of the last hit, frozen rows, streak, sum of confidences. Misses need no rows, they
+follow from the clock at the next hit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kerbline.functions import geometry as g
 from kerbline.functions.labels import violation_type
 from kerbline.operators.confirm import RULE, TRACK, frame_ticks
 from kerbline.operators.detections import BOX, FRAME
 from kerbline.params import MOTORCYCLE, Confirmation
+from kerbline.streaming.ordered_state import InTimeOrder, micros
 
 BOX_FIELDS = ("det_idx", "track_id", "class_id", "confidence", *BOX)
-STATE = "last_tick long, last_clock long, frozen long, streak int, conf_sum double, violated boolean"
 OUTPUT = (
     "camera_id long, session_id string, track_id long, frame_number long, class_id int, confidence double, "
     "x1 double, y1 double, x2 double, y2 double"
 )
+COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
 def frame_messages(detections: DataFrame, start: str = "2024-01-01 00:00:00", fps: int = 25) -> DataFrame:
@@ -60,70 +63,78 @@ def trigger_rows(messages: DataFrame, rule: Confirmation = RULE) -> DataFrame:
     )
 
 
-def _advance(rule: Confirmation, idle_ms: int):
-    def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_tick, last_clock, frozen, streak, total, violated = (
-            state.get if state.exists else (-1, None, 0, 0, 0.0, False)
-        )
-        rows = pd.concat(parts)
-        newest = rows["frame_time"].max()
-        if not violated:
-            # A frame at or before the last one seen is a repeat or out of order, as is one
-            # delivered again in this batch.
-            rows = rows[rows["tick"] > last_tick].sort_values("tick").drop_duplicates("tick")
-            for row in rows.itertuples(index=False):
-                if not row.hit:
-                    frozen += 1
-                    continue
-                clock = row.tick - frozen
-                if last_clock is None or clock - last_clock > rule.patience + 1:
-                    streak, total = 0, 0.0
-                streak, total, last_clock = streak + 1, total + row.confidence, clock
-                if streak >= rule.frames:
-                    violated = True
-                    box = {c: [getattr(row, c)] for c in BOX}
-                    yield pd.DataFrame(
-                        {
-                            "camera_id": [key[0]],
-                            "session_id": [key[1]],
-                            "track_id": [key[2]],
-                            "frame_number": [row.frame_number],
-                            "class_id": [row.class_id],
-                            "confidence": [total / streak],
-                            **box,
-                        }
-                    )
-                    break
-            if len(rows):
-                last_tick = int(rows["tick"].iloc[-1])
-        seen_ms = int(newest.timestamp() * 1000)
-        clock = None if last_clock is None else int(last_clock)
-        state.update((int(last_tick), clock, int(frozen), int(streak), float(total), bool(violated)))
-        state.setTimeoutTimestamp(max(seen_ms, state.getCurrentWatermarkMs()) + idle_ms)
-
-    return advance
+@dataclass(frozen=True)
+class Streak:
+    """What a track carries from frame to frame."""
+
+    seen_ms: int = 0
+    last_tick: int = -1
+    clock: int | None = None
+    frozen: int = 0
+    length: int = 0
+    total: float = 0.0
+    violated: bool = False
+
+
+class _Confirm(InTimeOrder):
+    """Streaks of one track, in the order of its ticks."""
+
+    time, ties = "frame_time", ("tick",)
+
+    def __init__(self, rule: Confirmation, idle_ms: int):
+        self.rule, self.idle_ms = rule, idle_ms
+
+    def wanted(self, carry, rows):
+        carry = carry or Streak()
+        carry = replace(carry, seen_ms=max(carry.seen_ms, int(micros(rows["frame_time"]).max()) // 1000))
+        return carry, rows.iloc[:0] if carry.violated else rows
+
+    def expires(self, carry):
+        return carry.seen_ms + self.idle_ms
+
+    def judge(self, key, carry, rows):
+        # The same frame again is a repeat; what is behind the last tick otherwise was late and is counted by Spark.
+        rows = rows[(rows["tick"] > carry.last_tick).to_numpy()].drop_duplicates("tick")
+        if carry.violated or not len(rows):
+            return carry, None
+        hit, tick = rows["hit"].to_numpy(bool), rows["tick"].to_numpy(np.int64)
+        frozen = carry.frozen + np.cumsum(~hit)
+        carry = replace(carry, last_tick=int(tick[-1]), frozen=int(frozen[-1]))
+        at = np.flatnonzero(hit)
+        if not len(at):
+            return carry, None
+        clock, confidence = (tick - frozen)[at], rows["confidence"].to_numpy(np.float64)[at]
+        step = np.diff(clock, prepend=clock[0] if carry.clock is None else carry.clock)
+        opens = step > self.rule.patience + 1
+        opens[0] |= carry.clock is None
+        # The first hit of each one's streak here, -1 where the streak began before these rows.
+        begin = np.maximum.accumulate(np.where(opens, np.arange(len(at)), -1))
+        length = np.arange(len(at)) - np.maximum(begin, 0) + 1 + np.where(begin < 0, carry.length, 0)
+        done = np.flatnonzero(length >= self.rule.frames)
+        i = int(done[0]) if len(done) else len(at) - 1
+        total = float(confidence[max(begin[i], 0) : i + 1].sum()) + (carry.total if begin[i] < 0 else 0.0)
+        carry = replace(carry, clock=int(clock[i]), length=int(length[i]), total=total, violated=bool(len(done)))
+        if not carry.violated:
+            return carry, None
+        row = rows.iloc[[at[i]]]
+        named = dict(zip(TRACK, ([k] for k in key), strict=True))
+        kept = {c: row[c].to_numpy() for c in ("frame_number", "class_id", *BOX)}
+        return carry, pd.DataFrame(named | kept | {"confidence": [total / length[i]]})[list(COLUMNS)]
 
 
 def confirm_stream(
     messages: DataFrame, rule: Confirmation = RULE, delay: str = "1 minute", idle_seconds: int = 600
 ) -> DataFrame:
-    """Confirmed violations of a frame stream, one per track.
+    """Confirmed violations of a frame stream, one per track: the rows of the batch rule for frames that
+    come within the watermark delay, in any order and any batches.
 
-    Frames later than the watermark delay are dropped. State of a track is dropped after
-    ``idle_seconds`` of event time without a row; a tracker gives up on a lost track within
-    seconds and does not use its id again. The timeout is in event time on purpose: with
-    processing time a drain-and-stop run would never see its last batch.
+    Frames later than that are dropped by Spark and counted (:class:`kerbline.streaming.events.LateRows`). A violation comes
+    out once the watermark has passed its frame; a message without boxes, later than all frames, releases what
+    waits after a drain. State of a track is dropped after ``idle_seconds`` of event time without a row; a tracker gives up
+    on a lost track within seconds and does not use its id again.
     """
-    found = (
-        trigger_rows(messages.withWatermark("frame_time", delay), rule)
-        .groupBy(*TRACK)
-        .applyInPandasWithState(
-            _advance(rule, idle_seconds * 1000), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    rows = trigger_rows(messages.withWatermark("frame_time", delay), rule)
+    found = rows.groupBy(*TRACK).transformWithStateInPandas(_Confirm(rule, idle_seconds * 1000), OUTPUT, "append", "eventTime")
     return found.select(
         F.md5(F.concat_ws("|", *TRACK)).alias("event_id"),
         *TRACK,

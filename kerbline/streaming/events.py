@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import os
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kerbline.functions.labels import with_time_parts, with_time_period
 from kerbline.plans.star import dim_time_rows, fact_rows
 from kerbline.sources.event_json import parse_events, quarantine_events, valid_events
+from kerbline.streaming.ordered_state import ROCKSDB, STATE_STORE, InTimeOrder, micros
 
 
 @dataclass(frozen=True)
@@ -37,14 +35,17 @@ class StreamSettings:
     servers: str = field(default_factory=lambda: os.environ.get("KAFKA_BOOTSTRAP_SERVERS", "localhost:9092"))
 
     def start(self, spark: SparkSession, writer) -> StreamingQuery:
-        """Start with this job's partition count; the session's own setting is put back."""
+        """Start with this job's partition count and state store; the session's own settings are put back."""
         how = {"availableNow": True} if self.available_now else {"processingTime": self.trigger}
-        before = spark.conf.get("spark.sql.shuffle.partitions")
-        spark.conf.set("spark.sql.shuffle.partitions", str(self.shuffle_partitions))
+        wanted = {"spark.sql.shuffle.partitions": str(self.shuffle_partitions), STATE_STORE: ROCKSDB}
+        before = {name: spark.conf.get(name) for name in wanted}
         try:
+            for name, value in wanted.items():
+                spark.conf.set(name, value)
             return writer.trigger(**how).start()
         finally:
-            spark.conf.set("spark.sql.shuffle.partitions", before)
+            for name, value in before.items():
+                spark.conf.set(name, value)
 
 
 def kafka_options(settings: StreamSettings) -> dict[str, str]:
@@ -96,62 +97,45 @@ def read_event_files(spark: SparkSession, path: str, max_files_per_trigger: int
     return source.select("value", F.col("_metadata.file_modification_time").alias("kafka_timestamp"))
 
 
-HELD = "last long, rows binary"
-
-
-def _kept_in_order(horizon_us: int, columns: list[str]):
-    """Per key: rows wait until the watermark has passed them and are then judged in time order."""
-
-    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (None, None)
-        pieces = [] if held is None else [pickle.loads(held)]
-        if not state.hasTimedOut:
-            # A row without an id only moves the watermark.
-            pieces += [p[p["event_id"].notna()][columns] for p in parts]
-        pieces = [p for p in pieces if len(p)]
-        mark = state.getCurrentWatermarkMs() * 1000
-        if pieces:
-            rows = pd.concat(pieces, ignore_index=True)
-            at = rows["event_timestamp"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            order = np.lexsort((rows["event_id"].to_numpy().astype(str), at))
-            rows, at = rows.iloc[order], at[order]
-            ready = int(np.searchsorted(at, mark, "left"))
-            kept, i = [], 0
-            while i < ready:
-                if last is not None:
-                    i = max(i, int(np.searchsorted(at, last + horizon_us, "right")))
-                if i < ready:
-                    kept.append(i)
-                    last = int(at[i])
-            if kept:
-                yield rows.iloc[kept]
-            rows, at = rows.iloc[ready:], at[ready:]
-        if pieces and len(rows):
-            state.update((last, pickle.dumps(rows)))
-            state.setTimeoutTimestamp(max(int(at[0]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif last is not None and last + horizon_us >= mark:
-            state.update((last, None))
-            state.setTimeoutTimestamp(max((last + horizon_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        else:
-            # No later row can be within the horizon any more.
-            state.remove()
-
-    return judge
+class _FirstAfterHorizon(InTimeOrder):
+    """Keeps a row that is later than the last kept one of its key by more than the horizon."""
+
+    time, ties = "event_timestamp", ("event_id",)
+
+    def __init__(self, horizon_us: int, columns: list[str]):
+        self.horizon_us, self.columns = horizon_us, columns
+
+    def wanted(self, carry, rows):
+        # A row without an id only moves the watermark.
+        return carry, rows.loc[rows["event_id"].notna(), self.columns]
+
+    def expires(self, carry):
+        # Beyond that no row can be within the horizon of the last kept one.
+        return None if carry is None else (carry + self.horizon_us) // 1000 + 1
+
+    def judge(self, key, carry, rows):
+        at = micros(rows["event_timestamp"])
+        after = np.searchsorted(at, at + self.horizon_us, "right").tolist()
+        kept, i = [], 0 if carry is None else int(np.searchsorted(at, carry + self.horizon_us, "right"))
+        while i < len(after):
+            kept.append(i)
+            i = after[i]
+        return (int(at[kept[-1]]) if kept else carry), rows.iloc[kept]
 
 
 def dedup_stream(events: DataFrame, watermark: str = "30 seconds", horizon_seconds: int = 30) -> DataFrame:
     """An event is kept if it is later than the last kept event of its (track, camera) by more than
     the horizon: the rule of :func:`kerbline.operators.dedup.dedup_batch`, whatever the batches.
 
-    Rows wait in the state until the watermark has passed them, at most the watermark delay of a
-    key's events. Rows behind the watermark on arrival are dropped by Spark and counted
+    Rows wait in the state until the watermark has passed them, in buckets of bounded size
+    (:mod:`kerbline.streaming.ordered_state`). Rows behind the watermark on arrival are dropped by Spark and counted
     (:class:`LateRows`). A row without an event id is a heartbeat: it moves the watermark and yields
     nothing, so after a drain one of them, later than all events, releases what waits. Null keys are a
     key like others.
     """
     judged = events.withWatermark("event_timestamp", watermark).groupBy("track_id", "camera_id")
-    function = _kept_in_order(horizon_seconds * 1_000_000, events.columns)
-    return judged.applyInPandasWithState(function, events.schema, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    rule = _FirstAfterHorizon(horizon_seconds * 1_000_000, events.columns)
+    return judged.transformWithStateInPandas(rule, events.schema, "append", "eventTime")
 
 
 def is_heartbeat() -> Column:
