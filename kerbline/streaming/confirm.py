@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from kerbline.functions.labels import violation_type
 from kerbline.operators.confirm import RULE, TRACK, frame_ticks
 from kerbline.operators.detections import BOX, FRAME
 from kerbline.params import MOTORCYCLE, Confirmation
-from kerbline.streaming.ordered_state import InTimeOrder, micros
+from kerbline.streaming.ordered_state import InTimeOrder, in_time_order, micros
 
 BOX_FIELDS = ("det_idx", "track_id", "class_id", "confidence", *BOX)
 OUTPUT = (
@@ -92,7 +91,7 @@ class _Confirm(InTimeOrder):
     def expires(self, carry):
         return carry.seen_ms + self.idle_ms
 
-    def judge(self, key, carry, rows):
+    def judge(self, carry, rows):
         # The same frame again is a repeat; what is behind the last tick otherwise was late and is counted by Spark.
         rows = rows[(rows["tick"] > carry.last_tick).to_numpy()].drop_duplicates("tick")
         if carry.violated or not len(rows):
@@ -116,10 +115,7 @@ class _Confirm(InTimeOrder):
         carry = replace(carry, clock=int(clock[i]), length=int(length[i]), total=total, violated=bool(len(done)))
         if not carry.violated:
             return carry, None
-        row = rows.iloc[[at[i]]]
-        named = dict(zip(TRACK, ([k] for k in key), strict=True))
-        kept = {c: row[c].to_numpy() for c in ("frame_number", "class_id", *BOX)}
-        return carry, pd.DataFrame(named | kept | {"confidence": [total / length[i]]})[list(COLUMNS)]
+        return carry, rows.iloc[[at[i]]].assign(confidence=total / length[i])[COLUMNS]
 
 
 def confirm_stream(
@@ -134,7 +130,7 @@ def confirm_stream(
     on a lost track within seconds and does not use its id again.
     """
     rows = trigger_rows(messages.withWatermark("frame_time", delay), rule)
-    found = rows.groupBy(*TRACK).transformWithStateInPandas(_Confirm(rule, idle_seconds * 1000), OUTPUT, "append", "eventTime")
+    found = in_time_order(rows, list(TRACK), _Confirm(rule, idle_seconds * 1000), OUTPUT)
     return found.select(
         F.md5(F.concat_ws("|", *TRACK)).alias("event_id"),
         *TRACK,

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from kerbline.functions.labels import with_time_parts, with_time_period
 from kerbline.plans.star import dim_time_rows, fact_rows
 from kerbline.sources.event_json import parse_events, quarantine_events, valid_events
-from kerbline.streaming.ordered_state import ROCKSDB, STATE_STORE, InTimeOrder, micros
+from kerbline.streaming.ordered_state import ROCKSDB, STATE_STORE, InTimeOrder, in_time_order, micros
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ class _FirstAfterHorizon(InTimeOrder):
         # Beyond that no row can be within the horizon of the last kept one.
         return None if carry is None else (carry + self.horizon_us) // 1000 + 1
 
-    def judge(self, key, carry, rows):
+    def judge(self, carry, rows):
         at = micros(rows["event_timestamp"])
         after = np.searchsorted(at, at + self.horizon_us, "right").tolist()
         kept, i = [], 0 if carry is None else int(np.searchsorted(at, carry + self.horizon_us, "right"))
@@ -133,9 +133,8 @@ def dedup_stream(events: DataFrame, watermark: str = "30 seconds", horizon_secon
     nothing, so after a drain one of them, later than all events, releases what waits. Null keys are a
     key like others.
     """
-    judged = events.withWatermark("event_timestamp", watermark).groupBy("track_id", "camera_id")
     rule = _FirstAfterHorizon(horizon_seconds * 1_000_000, events.columns)
-    return judged.transformWithStateInPandas(rule, events.schema, "append", "eventTime")
+    return in_time_order(events.withWatermark("event_timestamp", watermark), ["track_id", "camera_id"], rule, events.schema)
 
 
 def is_heartbeat() -> Column:

@@ -16,6 +16,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -24,6 +26,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 #: Rows of a bucket before it is cut, unless all have one time.
 MOST = 8192
+BEGIN = int(np.iinfo(np.int64).min)
 
 
 def micros(times: pd.Series) -> np.ndarray:
@@ -56,7 +59,7 @@ class InTimeOrder(StatefulProcessor):
         """Rows that have to wait, and the carried state that has seen all of them."""
         return carry, rows
 
-    def judge(self, key: tuple, carry: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame | None]:
+    def judge(self, carry: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame | None]:
         """The next rows in order: new carried state, and the output."""
         raise NotImplementedError
 
@@ -118,7 +121,7 @@ class InTimeOrder(StatefulProcessor):
         at = micros(rows[self.time])
         index.first = int(at.min()) if index.first is None else min(index.first, int(at.min()))
         if not index.buckets:
-            index.buckets.append(index.add(np.iinfo(np.int64).min))
+            index.buckets.append(index.add(BEGIN))
         lows = np.array([b[0] for b in index.buckets], np.int64)
         which = np.searchsorted(lows, at, "right") - 1
         for b in np.unique(which)[::-1].tolist():  # from the last one, as a cut moves later ones
@@ -155,14 +158,14 @@ class InTimeOrder(StatefulProcessor):
         index.due = None
         while index.buckets:
             bucket = index.buckets[0]
-            if bucket[1] and max(bucket[0], index.first or 0) >= mark * 1000:
+            if bucket[1] and index.first >= mark * 1000:
                 break
             rows = self._take(bucket) if bucket[1] else None
             ready = 0
             if rows is not None:
                 ready = int(np.searchsorted(micros(rows[self.time]), mark * 1000, "left"))
                 if ready:
-                    index.carry, out = self.judge(key, index.carry, rows.iloc[:ready])
+                    index.carry, out = self.judge(index.carry, rows.iloc[:ready])
                     if out is not None and len(out):
                         yield out
                 if ready < len(rows):
@@ -170,6 +173,14 @@ class InTimeOrder(StatefulProcessor):
                     index.first = int(micros(rows[self.time].iloc[ready : ready + 1])[0])
                     break
             index.buckets.pop(0)
-            # The next bucket begins no earlier than its lower end.
-            index.first = index.buckets[0][0] if index.buckets else None
+            index.first = None
+            if index.buckets:  # it begins no earlier than its lower end, and is the first one now
+                index.first, index.buckets[0][0] = index.buckets[0][0], BEGIN
         self._store(index, mark)
+
+
+def in_time_order(rows: DataFrame, keys: list[str], rule: InTimeOrder, schema) -> DataFrame:
+    """Run the rule on each key of a stream with a watermark on the rule's time. Null keys are keys like others."""
+    # Keys of one text: pandas has no null among whole numbers, and a null is not equal to itself.
+    keyed = rows.withColumn("_key", F.to_json(F.struct(*keys)))
+    return keyed.groupBy("_key").transformWithStateInPandas(rule, schema, "append", "eventTime")

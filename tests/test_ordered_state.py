@@ -119,7 +119,7 @@ def test_buckets_stay_small(monkeypatch, cuts, shape):
     seen = []
     rule = se._FirstAfterHorizon(1_000_000, list(rows.columns))
     plain = rule.judge
-    rule.judge = lambda key, carry, part: seen.append(len(part)) or plain(key, carry, part)
+    rule.judge = lambda carry, part: seen.append(len(part)) or plain(carry, part)
     got = drive(rule, ("k",), _split(rows, cuts), 10**9)
     at = os_.micros(rows.sort_values(["event_timestamp", "event_id"])["event_timestamp"])
     want, last = [], None
