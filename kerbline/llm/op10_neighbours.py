@@ -11,8 +11,8 @@ vectors in order of projected distance until the stopping test holds. With the k
 there it goes to those regions that the test does not exclude, and the results are merged. Queries
 of a region come in blocks as well, so no task meets more than a block of either.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors
-whose length is not the most frequent one, or rows without an id. Rows of one id count once (the
+Each length of vectors has a tree of its own: a query meets the vectors of its length. Vectors that are null, zero, or hold null
+or non-finite components take no part, nor do rows without an id. Rows of one id count once (the
 smallest vector by its bytes). Equal scores rank by the smaller id. An empty table gives an empty
 result; extra columns are ignored.
 """
@@ -33,8 +33,10 @@ DIMS = 8
 #: Standard normal quantile of the stopping probability 0.99.
 STOP_Z = 2.326
 QUANTILE = DIMS * (1 - 2 / (9 * DIMS) + STOP_Z * (2 / (9 * DIMS)) ** 0.5) ** 3
-#: Vectors the upper levels are fitted on, rows of a block, queries of a block, rows of a leaf.
-SAMPLE, BLOCK, ASKED, LEAF = 4096, 4096, 1024, 32
+#: Projections the upper levels are fitted on: ``SPLIT`` a region, within these bounds.
+SAMPLE, MOST, SPLIT = 4096, 1 << 18, 8
+#: Rows of a block, queries of a block, rows of a leaf; gaps of queries and regions computed at once.
+BLOCK, ASKED, LEAF, GAPS = 4096, 1024, 32, 1 << 20
 
 
 def directions(dim: int) -> np.ndarray:
@@ -139,7 +141,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, asked_ids: np.ndarray, asked: n
 def _prepared(batches):
     for batch in batches:
         lists = batch.column("embedding")
-        keep, blobs, dims = [], [], []
+        keep, blobs = [], []
         for i, one in enumerate(lists.to_pylist()):
             if one is None or not len(one) or any(x is None for x in one):
                 continue
@@ -147,9 +149,8 @@ def _prepared(batches):
             if np.isfinite(v).all() and (v * v).sum() > 0 and np.isfinite((v * v).sum()):
                 keep.append(i)
                 blobs.append(v.tobytes())
-                dims.append(len(v))
         ids = batch.column("vec_id").cast(pa.int64()).take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(dims, pa.int32()), pa.array(blobs, pa.binary())], ["vec_id", "dim", "vec"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(blobs, pa.binary())], ["vec_id", "vec"])
 
 
 def _matrix(blobs) -> np.ndarray:
@@ -157,32 +158,50 @@ def _matrix(blobs) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
 
 
-def _placed(tree: Tree):
+def _projected(batch: pa.RecordBatch):
+    """``(length, rows, projections)`` for each length of vectors in a batch."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == dim)
+        yield dim, rows, project(_matrix(batch.column("vec").take(pa.array(rows)).to_pylist()))
+
+
+def _points(batches):
+    for batch in batches:
+        for dim, rows, points in _projected(batch):
+            blobs = [p.tobytes() for p in points]
+            yield pa.RecordBatch.from_arrays([pa.array([dim] * len(rows), pa.int32()), pa.array(blobs, pa.binary())], ["dim", "point"])
+
+
+def _placed(trees: dict[int, Tree]):
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                region = tree.region(project(_matrix(batch.column("vec").to_pylist())))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(region.astype(np.int32))], ["vec_id", "vec", "region"])
+            region = np.zeros(batch.num_rows, np.int32)
+            for dim, rows, points in _projected(batch):
+                region[rows] = trees[dim].region(points)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region)], [*batch.schema.names, "region"])
 
     return run
 
 
-def _routed(tree: Tree):
+def _routed(trees: dict[int, Tree]):
     """Regions that the stopping test leaves open; without a bound, all others."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            gap = tree.gaps(project(_matrix(batch.column("vec").to_pylist())))
-            reach = batch.column("reach").to_numpy()
-            row, region = np.nonzero(gap <= reach[:, None] * QUANTILE + 1e-9)
-            other = region != batch.column("home").to_numpy()[row]
-            row, region = pa.array(row[other]), region[other]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(row) for c in ("vec_id", "vec", "reach")), pa.array(region.astype(np.int32))],
-                ["vec_id", "vec", "reach", "region"],
-            )
+            reach, home = batch.column("reach").to_numpy(), batch.column("home").to_numpy()
+            for dim, rows, points in _projected(batch):
+                tree = trees[dim]
+                some = max(1, GAPS // len(tree.low))
+                for at in range(0, len(rows), some):
+                    own = rows[at : at + some]
+                    row, region = np.nonzero(tree.gaps(points[at : at + some]) <= reach[own][:, None] * QUANTILE + 1e-9)
+                    other = region != home[own][row]
+                    take, region = pa.array(own[row[other]]), region[other]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).take(take) for c in ("vec_id", "dim", "vec", "reach")), pa.array(region.astype(np.int32))],
+                        ["vec_id", "dim", "vec", "reach", "region"],
+                    )
 
     return run
 
@@ -204,20 +223,20 @@ def _search(k: int):
     return run
 
 
-def _met(base: DataFrame, sizes: dict[int, int], asked: DataFrame, k: int) -> DataFrame:
+def _met(base: DataFrame, sizes: dict[tuple[int, int], int], asked: DataFrame, k: int) -> DataFrame:
     """Search each asked region: blocks of its vectors against blocks of its queries."""
     spark = base.sparkSession
-    counts = {r["region"]: r["count"] for r in asked.groupBy("region").count().collect()}  # a row per region
-    shares = [(r, max(1, -(-sizes.get(r, 0) // BLOCK)), max(1, -(-n // ASKED))) for r, n in counts.items()]
-    table = F.broadcast(spark.createDataFrame(shares, "region int, blocks int, turns int"))
+    counts = asked.groupBy("dim", "region").count().collect()  # a row per region
+    shares = [(r["dim"], r["region"], max(1, -(-sizes.get((r["dim"], r["region"]), 0) // BLOCK)), max(1, -(-r["count"] // ASKED))) for r in counts]
+    table = F.broadcast(spark.createDataFrame(shares, "dim int, region int, blocks int, turns int"))
 
     def deal(of: str, parts: str) -> Column:
         return F.pmod(F.xxhash64(of), F.col(parts)).cast("int")
 
     all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    left = base.join(table, "region").withColumn("block", deal("vec_id", "blocks")).withColumn("turn", all_of("turns"))
-    right = asked.join(table, "region").withColumn("turn", deal("vec_id", "turns")).withColumn("block", all_of("blocks"))
-    keys = ["region", "block", "turn"]
+    left = base.join(table, ["dim", "region"]).withColumn("block", deal("vec_id", "blocks")).withColumn("turn", all_of("turns"))
+    right = asked.join(table, ["dim", "region"]).withColumn("turn", deal("vec_id", "turns")).withColumn("block", all_of("blocks"))
+    keys = ["dim", "region", "block", "turn"]
     both = left.select(*keys, "vec_id", "vec", F.lit(None).cast("double").alias("reach")).unionByName(right.select(*keys, "vec_id", "vec", "reach"))
     return both.groupBy(keys).applyInPandas(_search(k), FOUND)
 
@@ -232,23 +251,30 @@ def neighbours(embeddings: DataFrame, asked: Column, k: int = 5) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the rows that ``asked`` selects, against all rows."""
     spark = embeddings.sparkSession
     rows = embeddings.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    valid = cut_lineage(rows.mapInArrow(_prepared, "vec_id long, dim int, vec binary"))
-    common = valid.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors = valid.filter(F.col("dim") == common["dim"]).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    taken = vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vec").collect()
-    levels = max(0, min(int(np.ceil(np.log2(max(1, common["count"] / BLOCK)))), int(np.log2(SAMPLE // 8))))
-    tree = fit(project(_matrix(r["vec"] for r in taken)), levels)
-    base = cut_lineage(vectors.mapInArrow(_placed(tree), "vec_id long, vec binary, region int"))
-    sizes = {r["region"]: r["count"] for r in base.groupBy("region").count().collect()}
+    valid = rows.mapInArrow(_prepared, "vec_id long, vec binary").groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    vectors = cut_lineage(valid.withColumn("dim", F.expr("cast(length(vec) div 8 as int)")))
+    counts = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}  # a row per length
+    total = sum(counts.values())
+    wanted = min(MOST, max(SAMPLE, SPLIT * total // BLOCK))
+    share = int(min(1.0, wanted / max(1, total)) * (1 << 30))
+    sampled = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).mapInArrow(_points, "dim int, point binary").collect()
+    points = {d: [] for d in counts}
+    for r in sampled:
+        points[r["dim"]].append(r["point"])
+    trees = {}
+    for d, own in points.items():
+        levels = int(np.ceil(np.log2(max(1, counts[d] / BLOCK))))
+        most = int(np.log2(len(own) // SPLIT)) if len(own) >= SPLIT else 0
+        trees[d] = fit(_matrix(own) if own else np.zeros((0, DIMS)), max(0, min(levels, most)))
+    base = cut_lineage(vectors.mapInArrow(_placed(trees), "vec_id long, vec binary, dim int, region int"))
+    sizes = {(r["dim"], r["region"]): r["count"] for r in base.groupBy("dim", "region").count().collect()}
     queries = base.filter(asked)
     home = cut_lineage(_best(_met(base, sizes, queries.withColumn("reach", F.lit(4.0)), k), k))
     worst = F.element_at("top", -1).getField("far")
     reach = F.when(F.size("top") == k, F.greatest(2 + 2 * worst, F.lit(0.0))).otherwise(F.lit(4.0))
     known = queries.join(home.select(F.col("query_id").alias("vec_id"), reach.alias("reach")), "vec_id", "left")
-    open_ = known.select("vec_id", "vec", F.coalesce("reach", F.lit(4.0)).alias("reach"), F.col("region").alias("home"))
-    routed = cut_lineage(open_.mapInArrow(_routed(tree), "vec_id long, vec binary, reach double, region int"))
+    open_ = known.select("vec_id", "dim", "vec", F.coalesce("reach", F.lit(4.0)).alias("reach"), F.col("region").alias("home"))
+    routed = cut_lineage(open_.mapInArrow(_routed(trees), "vec_id long, dim int, vec binary, reach double, region int"))
     inner = home.select("query_id", F.explode("top").alias("t")).select("query_id", "t.vec_id", (-F.col("t.far")).alias("score"))
     found = inner if routed.isEmpty() else inner.unionByName(_met(base, sizes, routed, k))
     ranked = _best(found, k).select("query_id", F.posexplode("top").alias("at", "t"))

@@ -9,7 +9,9 @@ parts that met it.
 State and weights have ``DIMENSIONS`` entries at most, whatever the corpus; L1 leaves few of them,
 and those are broadcast to score all texts.
 
-Null text counts as empty; an empty text has the score of the bias. Null ids keep their row.
+Null text counts as empty; an empty text has the score of the bias. Null ids keep their row. Texts of any length are
+read whole. Every repeated row is scored; for training a document comes once, with the smallest text of its rows, and
+one labelled both ways counts as 1.
 An empty corpus or no labels give scores of 0.5. Extra columns are ignored.
 """
 

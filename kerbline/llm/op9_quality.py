@@ -5,11 +5,12 @@ byte classes and word shapes, an encoder layer makes it ``h``, and a gate
 ``w . (tanh(V h) * sigmoid(U h))`` gives its attention; the softmax-weighted mean of ``h`` is scored.
 Only document labels are known, so the attention learns which passages decide.
 
-A bounded sample of labelled documents lies in ``shards`` parts, each with at most ``passages``
-evenly spaced passages a document for training. In each round every part makes some Adam steps from
-the common parameters, and their mean is the next common state. Scoring reads every passage.
+A bounded sample of labelled documents lies in ``shards`` parts, with all their passages. In each
+round every part makes some Adam steps from the common parameters, and their mean is the next common state.
 
-Null text counts as empty; a text without words is one passage of zeros. Null ids keep their row.
+Null text counts as empty; a text without words is one passage of zeros. Null ids keep their row. A text of
+any length is read whole, in training too; only a slice of texts is in memory. Every repeated row is scored; for training a
+document comes once, with the smallest text of its rows, and one labelled both ways counts as 1.
 No labels leave the untrained parameters: a score of 0.5. Extra columns are ignored.
 """
 
@@ -41,9 +42,8 @@ class Training:
     rate: float = 0.01
     decay: float = 1e-4
     shards: int = 4
-    #: Most labelled documents learnt from, and most passages of each.
+    #: Most labelled documents learnt from.
     sample: int = 8192
-    passages: int = 32
 
 
 def _classes() -> np.ndarray:
@@ -179,14 +179,12 @@ def fit_part(p: dict[str, np.ndarray], bags: list[np.ndarray], y: np.ndarray, t:
     return p
 
 
-def bags_of(texts: list[str], most: int) -> list[np.ndarray]:
-    """Passages of each text, at most ``most`` of them, evenly spaced."""
+def bags_of(texts: list[str]) -> list[np.ndarray]:
+    """All passages of each text."""
     out = []
     for t in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
         row, x = passages(t)
-        for bag in np.split(x, np.searchsorted(row, np.arange(1, len(t.offsets) - 1))):
-            at = np.arange(len(bag)) if len(bag) <= most else np.linspace(0, len(bag) - 1, most).astype(int)
-            out.append(bag[at])
+        out += np.split(x, np.searchsorted(row, np.arange(1, len(t.offsets) - 1)))
     return out
 
 
@@ -202,18 +200,15 @@ def _unpack(flat: np.ndarray, like: dict[str, np.ndarray], names: tuple[str, ...
     return out
 
 
-def _moments(t: Training):
-    def run(part):
-        x = np.concatenate(bags_of(part["text"].tolist(), t.passages))
-        return pd.DataFrame({"n": [float(len(x))], "s": [x.sum(0).tolist()], "q": [(x**2).sum(0).tolist()]})
-
-    return run
+def _moments(part):
+    x = np.concatenate(bags_of(part["text"].tolist()))
+    return pd.DataFrame({"n": [float(len(x))], "s": [x.sum(0).tolist()], "q": [(x**2).sum(0).tolist()]})
 
 
 def _steps(state: dict[str, np.ndarray], number: int, t: Training):
     def run(part):
         part = part.sort_values("doc_id")
-        bags = bags_of(part["text"].tolist(), t.passages)
+        bags = bags_of(part["text"].tolist())
         p = fit_part(state, bags, part["y"].to_numpy(float), t, 1000 * number + int(part["shard"].iloc[0]))
         return pd.DataFrame({"n": [float(len(part))], "p": [_pack(p, LEARNT).tolist()]})
 
@@ -224,7 +219,7 @@ def train(rows: DataFrame, t: Training = Training()) -> dict[str, np.ndarray]:
     """Learn from ``(doc_id, text, y, shard)``, a bounded sample; a row per part comes back."""
     kept = cut_lineage(rows)
     p = initial()
-    found = kept.groupBy("shard").applyInPandas(_moments(t), "n double, s array<double>, q array<double>").toPandas()
+    found = kept.groupBy("shard").applyInPandas(_moments, "n double, s array<double>, q array<double>").toPandas()
     if not len(found):
         return p
     n = found["n"].sum()

@@ -67,7 +67,7 @@ def brute(rows, k, every):
     out = {}
     for i, q in own.items():
         if i % every == 0:
-            found = [(-(q * v).sum() / np.sqrt((q * q).sum()) / np.sqrt((v * v).sum()), j) for j, v in own.items() if j != i]
+            found = [(-(q * v).sum() / np.sqrt((q * q).sum()) / np.sqrt((v * v).sum()), j) for j, v in own.items() if j != i and len(v) == len(q)]
             out[i] = sorted(found)[:k]
     return out
 
@@ -97,6 +97,16 @@ def test_neighbours_recall_over_regions(spark, monkeypatch):
     compare(spark, rows, 0.95)
 
 
+def test_neighbours_of_each_length(spark, monkeypatch):
+    """The smaller lengths are searched like the most frequent one."""
+    monkeypatch.setattr(near, "BLOCK", 50)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=(6, 6, 6, 9, 2)[i % 5]).tolist()) for i in range(900)] + [(1000, [1.0]), (1001, [-1.0]), (1010, [1.0] * 40)]
+    got, _ = compare(spark, rows, 0.97)
+    assert {3, 4} <= {q % 5 for q in got} or len(got) > 80
+    assert [r.vec_id for r in got[1000]] == [1001] and 1010 not in got
+
+
 def test_neighbours_of_awkward_rows(spark):
     rng = np.random.default_rng(4)
     same = rng.normal(size=8).tolist()
@@ -106,3 +116,66 @@ def test_neighbours_of_awkward_rows(spark):
     assert [r.vec_id for r in got[50]] == [0, 1, 2, 3, 4]
     compare(spark, rows[:3], 1.0)
     assert near.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_attention_gradients_by_finite_differences():
+    rng = np.random.default_rng(5)
+    p = quality.initial() | {"mean": rng.normal(size=quality.FEATURES), "scale": rng.uniform(0.5, 2, quality.FEATURES)}
+    x, head, y = rng.normal(size=(11, quality.FEATURES)), np.array([0, 1, 4, 9]), np.array([1.0, 0, 0, 1])
+    p["d"][0] = 0.3
+
+    def loss(q):
+        s = quality.forward(q, x, head)[0]
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    score, inner = quality.forward(p, x, head)
+    found = quality.backward(p, x, inner, (score - y) / len(y))
+    for name in quality.LEARNT:
+        for at in np.ndindex(p[name].shape):
+            up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+            up[name][at] += 1e-6
+            down[name][at] -= 1e-6
+            assert found[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-6, abs=1e-7)
+
+
+def test_training_reads_every_passage(spark):
+    text = " ".join(f"w{k}" for k in range(64 * 50))
+    assert [len(b) for b in quality.bags_of([text, "", "one"])] == [50, 1, 1]
+
+
+def test_sample_is_bounded_and_repeatable(spark):
+    rows = [(k, f"text {k}", "x") for k in range(300)] + [(7, "a smaller text", "x"), (7, "text 7", "x"), (None, "t", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(0, 400)] + [(7, 0), (8, None), (8, 1), (None, 1)], "doc_id long, quality int")
+    found = folds.sample(docs.repartition(3), marks, "quality", F.col("doc_id") % 3 > 0, 50, 4).collect()
+    again = folds.sample(docs.repartition(5), marks, "quality", F.col("doc_id") % 3 > 0, 50, 4).collect()
+    assert len(found) == 50 and sorted(found) == sorted(again) and all(r.doc_id % 3 and r.doc_id < 300 for r in found)
+    whole = {r.doc_id: r for r in folds.sample(docs, marks, "quality", F.lit(True), 1000, 4).collect()}
+    assert len(whole) == 300 and whole[7].text == "a smaller text" and whole[7].y == 1 and whole[8].y == 1
+
+
+def test_ftrl_steps_equal_the_plain_rule():
+    """One coordinate at a time, as the method is written down."""
+    rng = random.Random(8)
+    p = toxicity.Ftrl(l1=0.4)
+    docs = [np.unique(np.array([rng.randrange(40) for _ in range(8)])) for _ in range(120)]
+    found, ys = [np.concatenate([[toxicity.DIMENSIONS], d]) for d in docs], [rng.randrange(2) for _ in docs]
+    z, n = np.zeros(toxicity.DIMENSIONS + 1), np.zeros(toxicity.DIMENSIONS + 1)
+    toxicity.pass_over(found, ys, z, n, p)
+    plain_z, plain_n = {}, {}
+    for slots, y in zip(found, ys, strict=True):
+        w = {}
+        for i in slots.tolist():
+            zi, l1 = plain_z.get(i, 0.0), 0.0 if i == toxicity.DIMENSIONS else p.l1
+            step = (p.beta + plain_n.get(i, 0.0) ** 0.5) / p.alpha + p.l2
+            w[i] = 0.0 if abs(zi) <= l1 else -(zi - (l1 if zi > 0 else -l1)) / step
+        g = 1 / (1 + np.exp(-sum(w.values()))) - y
+        for i in w:
+            before = plain_n.get(i, 0.0)
+            sigma = ((before + g * g) ** 0.5 - before**0.5) / p.alpha
+            plain_z[i] = plain_z.get(i, 0.0) + g - sigma * w[i]
+            plain_n[i] = before + g * g
+    for i, want in plain_z.items():
+        assert z[i] == pytest.approx(want, abs=1e-9) and n[i] == pytest.approx(plain_n[i], abs=1e-9)
+    weights = toxicity.weights_of(z[:-1], n[:-1], p)
+    assert 0 < np.count_nonzero(weights) < 40
