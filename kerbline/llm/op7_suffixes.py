@@ -2,21 +2,23 @@
 
 Strings of ``LENGTH`` bytes are dealt by their minimiser, the smallest fingerprint of their 16-byte
 runs: consecutive ones with the same minimiser travel as one stretch of text, compressed together for
-each bucket, and equal strings meet. A stretch that is alone with its minimiser repeats nothing, and
-equal stretches cover each other. What is left, different stretches with one minimiser, goes
-through suffix arrays of bounded pieces: the text is cut where a fingerprint of the last ``CONTEXT``
+each bucket, and equal strings meet. A task sends the text of equal stretches once: the others only leave
+their place, and as they are equal to it, all of them are covered. A stretch that is alone with its minimiser
+repeats nothing. What is left goes through suffix arrays of bounded pieces, equal stretches of different tasks as
+one text with its multiplicity: the text is cut where a fingerprint of the last ``CONTEXT``
 bytes says so, the chunks are ranked as byte strings, and linear grouping (``lyndon.suffix_array``) sorts the
 suffixes that begin at cuts. Neighbours in that order with a long enough common prefix form
-intervals; a string that begins ``a`` bytes before a cut repeats if another one in the interval of
-``LENGTH - a`` common bytes has the same ``a`` bytes before its cut. Strings without a usable cut are compared by
-fingerprint.
+intervals; a string that begins ``a`` bytes before a cut repeats if the interval of
+``LENGTH - a`` common bytes has the same ``a`` bytes before a cut more than once. Strings without a usable cut get an array of their
+bytes.
 
-A minimiser that a bounded sample of documents shows to be frequent would fill one bucket. Its
-stretches are dealt by their own fingerprint, where equal ones are joined, and the strings of those
+Buckets are as many as the bytes of all texts ask for. A minimiser with more than ``HOT`` bytes, counted over all texts,
+would fill one. Its stretches are dealt by their own fingerprint, where equal ones are joined, and the strings of those
 that differ travel singly to be counted by theirs. That changes who counts, not the counts.
 
 Null texts are empty. Every row is a document of its own, so repeated rows cover each other; a row
-without an id counts like any other. An empty table gives an empty result; extra columns are ignored.
+without an id counts like any other. Texts of any length are read whole: a long one is a slice of its own. An empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.lyndon import suffix_array
+from kerbline.llm.sent import Sent, groups, layout
 from kerbline.llm.text import Prefix, Texts, mix, slices
 from kerbline.session import cut_lineage
 
@@ -42,8 +46,10 @@ CONTEXT = 8
 CHUNK = 32
 #: Bytes of stretches that share a suffix array, unless one minimiser has more.
 PIECE = 1 << 20
-#: Documents looked at to find frequent minimisers, and the share that makes one frequent.
-LOOK, FREQUENT = 2000, 0.01
+#: Bytes of texts for each bucket, bytes of a minimiser's stretches before they are split, and how many may be split.
+BUCKET, HOT, MOST_HOT = 16 << 20, 8 << 20, 1 << 20
+#: Bytes of stretches that a task combines before it sends.
+BUFFER = 32 << 20
 #: Bits of a position beside 40 bits of a fingerprint.
 PLACE = 24
 
@@ -80,20 +86,9 @@ def stretches(texts: Texts):
     return first, count, value[head], prefix.of(first, first + count + LENGTH - 1), several, row[head]
 
 
-def _common(batches):
-    for batch in batches:
-        found = [np.zeros(0, np.uint64)]
-        for texts in slices(batch):
-            _, _, value, _, _, row = stretches(texts)
-            if len(value):
-                found.append(np.unique(np.stack([row.astype(np.uint64), value], 1), axis=0)[:, 1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["m"])
-
-
-def frequent(documents: DataFrame) -> np.ndarray:
-    seen = documents.select("text").limit(LOOK).mapInArrow(_common, "m long")
-    rows = seen.groupBy("m").count().filter(F.col("count") > FREQUENT * LOOK).select("m").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+def _loads(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    _, count, value, *_ = stretches(texts)
+    return value, count + LENGTH - 1
 
 
 def _parts(order: np.ndarray, key: np.ndarray):
@@ -101,30 +96,88 @@ def _parts(order: np.ndarray, key: np.ndarray):
     return [p for p in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(p)]
 
 
+def _merged(marks: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of each mark, joined where they touch."""
+    order = np.lexsort((hi, lo, marks))
+    marks, lo, hi = marks[order], lo[order], hi[order]
+    opens = np.ones(len(marks), bool)
+    if len(marks):
+        new = np.append(True, marks[1:] != marks[:-1])
+        base = np.cumsum(new) * (int(hi.max()) + 1)  # the furthest end so far, within a mark
+        far = np.maximum.accumulate(hi + base)
+        opens[1:] = new[1:] | ((lo + base)[1:] > far[:-1])
+        head = np.flatnonzero(opens)
+        last = np.append(head[1:], len(marks)) - 1
+        return marks[head], lo[head], (far - base)[last]
+    return marks, lo, hi
+
+
+class _Sender:
+    """Stretches of a task on their way to the buckets."""
+
+    def __init__(self, buckets: int, often: np.ndarray):
+        self.buckets, self.often = buckets, often
+        self.sent = Sent(4)  # mark, first byte, end, and whether the stretch is known to be covered
+        self.held: list[tuple[list[np.ndarray], bytes]] = []
+        self.bytes = 0
+
+    def add(self, texts: Texts, marks: np.ndarray) -> None:
+        first, count, value, name, several, row = stretches(texts)
+        if len(first):
+            place, size = first - texts.offsets[row], count + LENGTH - 1
+            self.held.append(([marks[texts.rows][row], place, count, value, name, several, first, first + size], texts.data.tobytes()))
+            self.bytes += int(size.sum())
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        columns = [np.concatenate(c) for c in zip(*(h[0] for h in self.held), strict=True)]
+        marks, place, count, value, name, several, at, end = columns
+        source = np.repeat(np.arange(len(self.held)), [len(h[0][0]) for h in self.held])
+        stop = place + count + LENGTH - 1
+        order, head, copies = groups(name)
+        one = order[head]
+        known = self.sent.find(name[one])
+        # All copies are covered, and so is the one sent before if nothing has said so yet.
+        again = np.repeat((copies > 1) | (known >= 0), copies)
+        late = known[known >= 0]
+        late = late[self.sent.columns[3][late] == 0]
+        self.sent.columns[3][late] = 1
+        covered_ = [np.concatenate([x[order[again]], self.sent.columns[k][late]]) for k, x in enumerate((marks, place, stop))]
+        fresh = known < 0
+        new = one[fresh]
+        self.sent.add(name[new], marks[new], place[new], stop[new], (copies[fresh] > 1).astype(np.int64))
+        hot = np.isin(value[new], self.often)
+        bucket = (np.where(hot, name[new], mix(value[new])) % np.uint64(self.buckets)).astype(np.int64)
+        press = zstandard.ZstdCompressor(level=1)
+        for part in _parts(np.argsort(bucket, kind="stable"), bucket):
+            rows = new[part]
+            text = b"".join([self.held[h][1][a:b] for h, a, b in zip(source[rows].tolist(), at[rows].tolist(), end[rows].tolist(), strict=True)])
+            sent = ((marks[rows], place[rows], count[rows], value[rows], name[rows], several[rows], hot[part]), text)
+            yield _row(press, int(bucket[part[0]]), sent)
+        if len(covered_[0]):
+            ranges = _merged(*covered_)
+            yield _row(press, int(ranges[0][0]) % self.buckets, (ranges, None))
+        self.held, self.bytes = [], 0
+
+
+def _row(press, bucket: int, part) -> pa.RecordBatch:
+    blob = press.compress(pickle.dumps([part], protocol=5))
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+
 def _packed(buckets: int, often: np.ndarray):
-    """Compressed stretches for each bucket."""
+    """Compressed stretches for each bucket, and ranges that are settled."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        sender = _Sender(buckets, often)
         for batch in batches:
             marks = batch.column("mark").to_numpy()
-            out: dict[int, list] = defaultdict(list)
             for texts in slices(batch):
-                first, count, value, mark, several, row = stretches(texts)
-                if not len(first):
-                    continue
-                hot = np.isin(value, often)
-                bucket = (np.where(hot, mark, mix(value)) % np.uint64(buckets)).astype(np.int64)
-                buffer = texts.data.tobytes()
-                place = first - texts.offsets[row]
-                end = first + count + LENGTH - 1
-                for part in _parts(np.argsort(bucket, kind="stable"), bucket):
-                    text = b"".join([buffer[a:b] for a, b in zip(first[part].tolist(), end[part].tolist(), strict=True)])
-                    columns = (marks[texts.rows][row[part]], place[part], count[part], value[part], mark[part], several[part], hot[part])
-                    out[int(bucket[part[0]])].append((columns, text))
-            for bucket, parts in out.items():
-                blob = press.compress(pickle.dumps(parts, protocol=5))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+                sender.add(texts, marks)
+                if sender.bytes > BUFFER:
+                    yield from sender.flush()
+        yield from sender.flush()
 
     return run
 
@@ -139,46 +192,51 @@ def _common_bytes(prefix: Prefix, a: np.ndarray, b: np.ndarray, most: np.ndarray
     return low
 
 
-def _twice(key: np.ndarray) -> np.ndarray:
-    """Which keys occur more than once."""
-    order = np.argsort(key)
-    equal = key[order][1:] == key[order][:-1]
+def _repeated(key: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once, counting each entry ``times``."""
+    order, head, size = groups(key)
     out = np.zeros(len(key), bool)
-    out[order[1:]] |= equal
-    out[order[:-1]] |= equal
+    if len(key):
+        out[order] = np.repeat(np.add.reduceat(times[order], head) > 1, size)
     return out
 
 
-def covered(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Which places of the concatenated stretches start a string that starts elsewhere in them too.
+def _sorted_symbols(texts: list, ends: list[bool]) -> np.ndarray:
+    """Suffix order of a row of symbols cut in stretches: the places of the symbols, by their suffixes.
 
-    ``begin`` has the start of each stretch and the end of the last."""
+    Rank 1 ends a stretch, rank 0 all."""
+    rank = {c: r for r, c in enumerate(sorted(set(texts)), 2)}
+    symbols, where = [], []
+    for i, (c, end) in enumerate(zip(texts, ends, strict=True)):
+        symbols.append(rank[c])
+        where.append(i)
+        if end:
+            symbols.append(1)
+            where.append(-1)
+    return np.array([where[s] for s in suffix_array([*symbols, 0])[1:] if where[s] >= 0], np.int64)
+
+
+def covered(data: np.ndarray, begin: np.ndarray, copies: np.ndarray | None = None) -> np.ndarray:
+    """Which places of the concatenated stretches start a string that starts elsewhere too.
+
+    ``begin`` has the start of each stretch and the end of the last, ``copies`` how often each one occurs."""
     n = len(data)
     prefix = Prefix(data)
     buffer = data.tobytes()
     owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    times = (np.ones(len(begin) - 1, np.int64) if copies is None else copies)[owner]
     at = np.arange(n)
     deep = np.flatnonzero(at - begin[owner] >= CONTEXT)
     cut = deep[prefix.of(deep - CONTEXT, deep) % np.uint64(CHUNK) == 0]
     mine = owner[cut]
     stop = begin[mine + 1]
-    # Chunks reach to the next cut or the end of the stretch; rank 1 ends a stretch, rank 0 all.
+    # Chunks reach to the next cut or the end of the stretch.
     last = np.ones(len(cut), bool)
     last[:-1] = mine[1:] != mine[:-1]
     until = np.where(last, stop, np.append(cut[1:], n))
-    chunks = [buffer[a:b] for a, b in zip(cut.tolist(), until.tolist(), strict=True)]
-    rank = {c: r for r, c in enumerate(sorted(set(chunks)), 2)}
-    symbols, where = [], []
-    for i, (c, ends) in enumerate(zip(chunks, last.tolist(), strict=True)):
-        symbols.append(rank[c])
-        where.append(i)
-        if ends:
-            symbols.append(1)
-            where.append(-1)
-    order = np.array([where[s] for s in suffix_array([*symbols, 0])[1:] if where[s] >= 0], np.int64)
+    order = _sorted_symbols([buffer[a:b] for a, b in zip(cut.tolist(), until.tolist(), strict=True)], last.tolist())
     out = np.zeros(n, bool)
-    fits = at + LENGTH <= begin[owner + 1]
-    alone = fits.copy()
+    alone = at + LENGTH <= begin[owner + 1]
     if len(order):
         place, room = cut[order], (stop - cut)[order]
         shared = np.zeros(len(order) + 1, np.int64)
@@ -191,15 +249,34 @@ def covered(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
             some = np.flatnonzero((reach >= a) & (room >= LENGTH - a))
             start = place[some] - a
             alone[start] = False
-            likely = near[some] >= LENGTH - a
+            likely = (near[some] >= LENGTH - a) | (times[start] > 1)
             some, start = some[likely], start[likely]
-            if len(some) > 1:
+            if len(some):
                 interval = np.cumsum(shared[:-1] < LENGTH - a)[some].astype(np.uint64)
-                twice = _twice(mix(prefix.of(start, start + a) + mix(interval)))
-                out[start[twice]] = True
+                out[start[_repeated(mix(prefix.of(start, start + a) + mix(interval)), times[start])]] = True
     rest = np.flatnonzero(alone)
-    if len(rest) > 1:
-        out[rest[_twice(prefix.of(rest, rest + LENGTH))]] = True
+    if len(rest):
+        out[rest[_uncut(data, prefix, rest, times[rest])]] = True
+    return out
+
+
+def _uncut(data: np.ndarray, prefix: Prefix, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The same for strings that no cut serves, by an array of the bytes that they cover."""
+    opens = np.ones(len(starts), bool)
+    opens[1:] = starts[1:] >= starts[:-1] + LENGTH
+    head = np.flatnonzero(opens)
+    lo, hi = starts[head], starts[np.append(head[1:], len(starts)) - 1] + LENGTH
+    place = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+    ends = np.zeros(len(place), bool)
+    ends[np.cumsum(hi - lo) - 1] = True
+    order = place[_sorted_symbols(data[place].tolist(), ends.tolist())]
+    of = np.searchsorted(starts, order)
+    is_start = (of < len(starts)) & (starts[np.minimum(of, len(starts) - 1)] == order)
+    order, of = order[is_start], of[is_start]
+    whole = np.full(len(order) - 1, LENGTH, np.int64)
+    parted = np.append(True, _common_bytes(prefix, order[:-1], order[1:], whole) < LENGTH)
+    out = np.zeros(len(starts), bool)
+    out[of] = _repeated(np.cumsum(parted), times[of])
     return out
 
 
@@ -226,6 +303,12 @@ class _Bucket:
         self.found.append((marks, lo, hi))
 
     def judge(self, parts: list) -> None:
+        for part, text in parts:
+            if text is None:  # settled before
+                self.add(*part)
+        parts = [p for p in parts if p[1] is not None]
+        if not parts:
+            return
         columns = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
         marks, place, count, value, name, several, hot = columns
         size = count + LENGTH - 1
@@ -235,17 +318,18 @@ class _Bucket:
         fresh[1:] = (value[order][1:] != value[order][:-1]) | (name[order][1:] != name[order][:-1])
         head = np.flatnonzero(fresh)
         copies = np.diff(np.append(head, len(order)))
-        # Equal stretches cover each other.
-        many = order[np.repeat(copies > 1, copies)]
+        self.members = np.split(order, head[1:])
+        one = order[head]
+        # Equal stretches of a frequent minimiser cover each other here; its strings are counted elsewhere.
+        many = order[np.repeat((copies > 1) & hot[one], copies)]
         self.add(marks[many], place[many], place[many] + size[many])
+        self._singly(one[hot[one]], columns, text, begin, copies[hot[one]])
         # One of each, by minimiser; alone ones that cannot repeat within themselves are done.
-        one, copies = order[head], copies
         of = value[one]
         new = np.ones(len(one), bool)
         new[1:] = of[1:] != of[:-1]
         kinds = np.diff(np.append(np.flatnonzero(new), len(one)))
-        open_ = (np.repeat(kinds, kinds) > 1) | several[one]
-        self._singly(one[hot[one]], columns, text, begin, copies[hot[one]])
+        open_ = (np.repeat(kinds, kinds) > 1) | several[one] | (copies > 1)
         piece, total = [], 0
         pick = np.flatnonzero(open_ & ~hot[one])
         for i, k in enumerate(pick):
@@ -253,20 +337,20 @@ class _Bucket:
             total += int(size[one[k]])
             ends = i + 1 == len(pick) or of[pick[i + 1]] != of[k]
             if ends and (total >= PIECE or i + 1 == len(pick)):
-                self._sorted(one[piece], copies[piece], columns, text, begin)
+                self._sorted(piece, one, copies, columns, text, begin)
                 piece, total = [], 0
 
     def _cut(self, rows: np.ndarray, text: bytes, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join([text[begin[r] : begin[r + 1]] for r in rows.tolist()]), np.uint8)
         return data, np.concatenate([[0], np.cumsum(begin[rows + 1] - begin[rows])])
 
-    def _sorted(self, rows: np.ndarray, copies: np.ndarray, columns: list, text: bytes, begin: np.ndarray) -> None:
-        data, edge = self._cut(rows, text, begin)
-        repeats = covered(data, edge)
-        for k in np.flatnonzero(np.add.reduceat(repeats, edge[:-1]) * (copies == 1)):
-            r = rows[k]
+    def _sorted(self, piece: list[int], one: np.ndarray, copies: np.ndarray, columns: list, text: bytes, begin: np.ndarray) -> None:
+        data, edge = self._cut(one[piece], text, begin)
+        repeats = covered(data, edge, copies[piece])
+        for k in np.flatnonzero(np.add.reduceat(repeats, edge[:-1])):
             lo, hi = _ranges(np.flatnonzero(repeats[edge[k] : edge[k + 1]]))
-            self.add(np.full(len(lo), columns[0][r]), columns[1][r] + lo, columns[1][r] + hi)
+            for r in self.members[piece[k]].tolist():
+                self.add(np.full(len(lo), columns[0][r]), columns[1][r] + lo, columns[1][r] + hi)
 
     def _singly(self, rows: np.ndarray, columns: list, text: bytes, begin: np.ndarray, copies: np.ndarray) -> None:
         """Strings of frequent minimisers, for the bucket of their fingerprint."""
@@ -281,7 +365,7 @@ class _Bucket:
 
     def rows(self):
         if self.found:
-            marks, lo, hi = (np.concatenate(c) for c in zip(*self.found, strict=True))
+            marks, lo, hi = _merged(*(np.concatenate(c) for c in zip(*self.found, strict=True)))
             none = pa.nulls(len(marks))
             arrays = [pa.array(marks), pa.array(lo), pa.array(hi), none.cast(pa.int32()), none.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["mark", "lo", "hi", "bucket", "blob"])
@@ -325,7 +409,7 @@ def _loose(batches):
         marks = np.repeat(np.array([p[0] for p in parts], np.int64), size)
         joined = np.repeat(np.array([p[3] for p in parts], bool), size)
         starts, prints = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-        own = _twice(prints) & ~joined
+        own = _repeated(prints, np.ones(len(prints), np.int64)) & ~joined
         marks, starts = marks[own], starts[own]
         order = np.lexsort((starts, marks))
         marks, starts = marks[order], starts[order]
@@ -337,9 +421,10 @@ def _loose(batches):
         yield pa.RecordBatch.from_arrays(arrays, ["mark", "lo", "hi"])
 
 
-def repeated_ranges(documents: DataFrame, buckets: int) -> DataFrame:
-    """``(mark, lo, hi)``: byte ranges of rows named by ``mark`` that repeated strings cover."""
-    packed = documents.mapInArrow(_packed(buckets, frequent(documents)), "bucket int, blob binary")
+def repeated_ranges(documents: DataFrame, least: int) -> DataFrame:
+    """``(mark, lo, hi)``: byte ranges of rows named by ``mark`` that repeated strings cover; ``least`` buckets or more."""
+    buckets, often = layout(documents, _loads, least, BUCKET, HOT, MOST_HOT)
+    packed = documents.mapInArrow(_packed(buckets, often), "bucket int, blob binary")
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     judged = cut_lineage(dealt.mapInArrow(_judged(buckets), ROWS))
     single = judged.filter("blob is not null").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -374,7 +459,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marked = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
     buckets = 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = cut_lineage(repeated_ranges(marked.select("text", "mark"), buckets))
+    # Repeated rows have one mark and the same ranges: those come once.
+    ranges = cut_lineage(repeated_ranges(marked.select("text", "mark"), buckets).distinct())
     grouped = ranges.groupBy("mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = marked.join(grouped, "mark", "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

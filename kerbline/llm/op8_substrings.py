@@ -6,13 +6,15 @@ for a bucket compressed together; equal windows have equal minimisers, so they m
 There the windows are cut again, sorted by two 64-bit fingerprints of their words, and each is
 compared with the smallest document that holds it. The ranges to remove go back to their documents.
 
-A minimiser that a bounded sample of documents shows to be frequent would fill one bucket. Its
-strings are dealt by their own fingerprint: equal ones are settled there, each later document's by
-the smallest that holds it, and only the smallest's windows travel on, singly, to be counted by
-their fingerprints. That changes who counts them, not the counts; all strings of such a minimiser go that way.
+Equal strings are settled first, in the task that sends them and in the bucket again: what a smaller document
+holds whole is removed whole, and only the strings of the smallest one are sent and cut.
+
+Buckets are as many as the bytes of all texts ask for. A minimiser with more than ``HOT`` bytes, counted over all texts, would
+fill one. Its strings are dealt by their own fingerprint, and the windows of the smallest document's travel on,
+singly, to be counted by their fingerprints. That changes who counts them, not the counts; all strings of such a minimiser go that way.
 
 Null texts have no words. Rows without an id are returned whole and count for nobody. Repeated ids
-are one document: none is smaller than the other. An empty table gives an empty result; extra
+are one document: none is smaller than the other. Texts of any length are read whole: a long one is a slice of its own. An empty table gives an empty result; extra
 columns are ignored.
 """
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.llm.sent import Sent, groups, layout
 from kerbline.llm.text import Prefix, Texts, grams, mix, powers, slices, within, words
 from kerbline.session import cut_lineage
 
 WINDOW = 50
 GRAM = 6
-#: Documents looked at to find frequent minimisers, and the share that makes one frequent.
-LOOK = 2000
-FREQUENT = 0.01
+#: Bytes of texts for each bucket, bytes of a minimiser's strings before they are split, and how many may be split.
+BUCKET, HOT, MOST_HOT = 16 << 20, 8 << 20, 1 << 20
+#: Bytes of strings that a task combines before it sends.
+BUFFER = 32 << 20
 
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
@@ -78,96 +82,141 @@ def _runs(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[head], np.diff(np.append(head, len(at))), value[head]
 
 
-def _common(batches):
-    for batch in batches:
-        found = [np.zeros(0, np.uint64)]
-        for texts in slices(batch):
-            w = words(texts)
-            first, _, value = _runs(w)
-            key = np.unique(np.stack([w.row[first].astype(np.uint64), value], 1), axis=0) if len(first) else np.zeros((0, 2), np.uint64)
-            found.append(key[:, 1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["m"])
+def _loads(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    w = words(texts)
+    first, count, value = _runs(w)
+    return value, w.end[first + count + WINDOW - 2] - w.start[first] if len(first) else count
 
 
-def frequent(documents: DataFrame) -> np.ndarray:
-    """Minimisers in more than a share of ``LOOK`` documents: a few at most per window of those."""
-    seen = documents.select("text").limit(LOOK).mapInArrow(_common, "m long")
-    rows = seen.groupBy("m").count().filter(F.col("count") > FREQUENT * LOOK).select("m").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+def _settled(ids: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by string and document, the smallest document of each string in that order, and how often the string comes."""
+    order, head, copies = groups(ids, name)
+    return order, ids[order[head]], copies
 
 
-def _packed(buckets: int, often: np.ndarray):
-    """Compressed super-k-mers for each bucket."""
+def _once(*keys: np.ndarray) -> np.ndarray:
+    """Indices of distinct rows."""
+    order = np.lexsort(keys)
+    fresh = np.ones(len(order), bool)
+    if len(order):
+        fresh[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order[fresh]
+
+
+class _Sender:
+    """Super-k-mers of a task on their way to the buckets."""
 
-    def of_slice(texts: Texts, ids: np.ndarray, marks: np.ndarray, out: dict) -> None:
+    def __init__(self, buckets: int, often: np.ndarray):
+        self.buckets, self.often = buckets, often
+        self.sent = Sent(4)  # the smallest document so far, its mark, and first word and end there
+        self.held: list[tuple[list[np.ndarray], bytes]] = []
+        self.bytes = 0
+
+    def add(self, texts: Texts, ids: np.ndarray, marks: np.ndarray) -> None:
         w = words(texts)
         first, count, value = _runs(w)
-        if not len(first):
+        if len(first):
+            row = w.row[first]
+            lo, hi = w.start[first], w.end[first + count + WINDOW - 2]
+            name = Prefix(texts.data).of(lo, hi)
+            self.held.append(([ids[row], marks[row], first - w.first[row], count, name, value, lo, hi], texts.data.tobytes()))
+            self.bytes += int((hi - lo).sum())
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
             return
-        hot = np.isin(value, often)
-        buffer = texts.data.tobytes()
-        row = w.row[first]
-        place = first - w.first[row]
-        lo, hi = w.start[first], w.end[first + count + WINDOW - 2]
-        name = Prefix(texts.data).of(lo, hi)
-        bucket = (np.where(hot, name, value) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            text = b"\n".join([buffer[a:b] for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)])
-            columns = (ids[row[part]], marks[row[part]], place[part], count[part], name[part], hot[part])
-            out[int(bucket[part[0]])].append((columns, text))
+        columns = [np.concatenate(c) for c in zip(*(h[0] for h in self.held), strict=True)]
+        source = np.repeat(np.arange(len(self.held)), [len(h[0][0]) for h in self.held])
+        rows = _once(columns[2], columns[1], columns[0], columns[4])  # a document's own repeats stay, repeated rows do not
+        columns, source = [c[rows] for c in columns], source[rows]
+        ids, marks, place, count, name, value, lo, hi = columns
+        stop = place + count + WINDOW - 1
+        order, least, copies = _settled(ids, name)
+        one = order[np.cumsum(copies) - copies]
+        known = self.sent.find(name[one])
+        before = np.where(known >= 0, self.sent.columns[0][known] if len(self.sent.names) else 0, least)
+        smallest = np.minimum(before, least)
+        # The one that was sent before is later now.
+        beaten = known[(known >= 0) & (least < before)]
+        gone = order[ids[order] > np.repeat(smallest, copies)]
+        ranges = [np.concatenate([x[gone], self.sent.columns[k][beaten]]) for k, x in enumerate((ids, marks, place, stop))]
+        fresh, now = known < 0, (known >= 0) & (least < before)
+        for k, x in enumerate((ids, marks, place, stop)):
+            self.sent.columns[k][known[now]] = x[one[now]]
+        self.sent.add(name[one[fresh]], *(x[one[fresh]] for x in (ids, marks, place, stop)))
+        new = order[(ids[order] == np.repeat(smallest, copies))]
+        hot = np.isin(value[new], self.often)
+        bucket = (np.where(hot, name[new], value[new]) % np.uint64(self.buckets)).astype(np.int64)
+        at = np.argsort(bucket, kind="stable")
+        press = zstandard.ZstdCompressor(level=1)
+        for part in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1) if len(at) else []:
+            own = new[part]
+            text = [self.held[h][1][a:b] for h, a, b in zip(source[own].tolist(), lo[own].tolist(), hi[own].tolist(), strict=True)]
+            sent = (ids[own], marks[own], place[own], count[own], name[own], hot[part], hi[own] - lo[own])
+            yield _row(press, int(bucket[part[0]]), (sent, b"".join(text)))
+        if len(ranges[0]):
+            yield _row(press, int(ranges[1][0]) % self.buckets, (ranges, None))
+        self.held, self.bytes = [], 0
+
+
+def _row(press, bucket: int, part) -> pa.RecordBatch:
+    blob = press.compress(pickle.dumps(part, protocol=5))
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+
+def _packed(buckets: int, often: np.ndarray):
+    """Compressed super-k-mers for each bucket, and ranges that are settled."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        sender = _Sender(buckets, often)
         for batch in batches:
             ids, marks = (batch.column(c).to_numpy() for c in ("doc_id", "mark"))
-            out: dict[int, list] = defaultdict(list)
             for texts in slices(batch):
-                of_slice(texts, ids[texts.rows], marks[texts.rows], out)
-            for bucket, parts in out.items():
-                blob = press.compress(pickle.dumps(parts, protocol=5))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+                sender.add(texts, ids[texts.rows], marks[texts.rows])
+                if sender.bytes > BUFFER:
+                    yield from sender.flush()
+        yield from sender.flush()
 
     return run
 
 
-def _cut_again(parts: list) -> list[np.ndarray]:
-    """Columns of the windows of packed strings: doc, mark, place, two fingerprints, and the string's number."""
-    columns: list[list] = [[], [], [], [], [], []]
-    seen = 0
-    for (ids, marks, place, count, *_), text in parts:
-        data = np.frombuffer(text, np.uint8)
-        w = words(Texts(slice(0, 1), data, np.array([0, len(data)])))
-        one, two = prints(w.code, WINDOW)
-        size = count + WINDOW - 1
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        which = np.repeat(np.arange(len(count)), count)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        at = begin[which] + step
-        for column, more in zip(columns, (ids[which], marks[which], place[which] + step, one[at], two[at], which + seen), strict=True):
-            column.append(more)
-        seen += len(count)
-    return [np.concatenate(c) for c in columns]
+def _cut_again(texts: list[bytes], count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The windows of packed strings: which string, which place in it, and two fingerprints."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    w = words(Texts(slice(0, 1), data, np.array([0, len(data)])))
+    one, two = prints(w.code, WINDOW)
+    size = count + WINDOW - 1
+    begin = np.cumsum(size) - size
+    which = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    at = begin[which] + step
+    return which, step, one[at], two[at]
 
 
 def _judged(parts: list, buckets: int):
     """Ranges settled in a bucket, and single windows of frequent minimisers for theirs."""
-    ids, marks, place, count, name, hot = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
-    columns = _cut_again(parts)
-    number = columns.pop()
-    cold = ~hot[number]
+    for part, text in parts:
+        if text is None:
+            yield _ranges(*part)
+    parts = [p for p in parts if p[1] is not None]
+    if not parts:
+        return
+    ids, marks, place, count, name, hot, length = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
+    text = b"".join(p[1] for p in parts)
+    end = np.cumsum(length)
+    order, least, copies = _settled(ids, name)
+    later = order[ids[order] > np.repeat(least, copies)]
+    yield _ranges(ids[later], marks[later], place[later], place[later] + count[later] + WINDOW - 1)
+    on = order[ids[order] == np.repeat(least, copies)]
+    on = on[_once(place[on], marks[on], ids[on], name[on])]
+    ids, marks, place, hot = ids[on], marks[on], place[on], hot[on]
+    which, step, one, two = _cut_again([text[e - n : e] for e, n in zip(end[on].tolist(), length[on].tolist(), strict=True)], count[on])
+    columns = [ids[which], marks[which], place[which] + step, one, two]
+    cold = ~hot[which]
     if cold.any():
         yield _later([c[cold] for c in columns])
-    if hot.any():
-        rows = np.flatnonzero(hot)
-        rows = rows[np.lexsort((ids[rows], name[rows]))]
-        first = np.flatnonzero(np.append(True, name[rows][1:] != name[rows][:-1]))
-        least = np.repeat(ids[rows][first], np.diff(np.append(first, len(rows))))
-        later = rows[ids[rows] > least]
-        yield _ranges(ids[later], marks[later], place[later], place[later] + count[later] + WINDOW - 1)
-        on = np.zeros(len(ids), bool)
-        on[rows[ids[rows] == least]] = True
-        single = [c[on[number]] for c in columns]
+    if not cold.all():
+        single = [c[~cold] for c in columns]
         to = (single[3] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         press = zstandard.ZstdCompressor(level=1)
@@ -224,7 +273,7 @@ def _by_bucket(batches):
 def _counted(buckets: int):
     def run(batches):
         for lists in _by_bucket(batches):
-            yield from _judged([p for some in lists for p in some], buckets)
+            yield from _judged(lists, buckets)
 
     return run
 
@@ -258,10 +307,11 @@ def _removed(batches):
         )
 
 
-def repeated_ranges(documents: DataFrame, buckets: int) -> DataFrame:
-    """``(doc_id, mark, lo, hi)``: word ranges held by a smaller document; ``mark`` tells texts of one id apart."""
+def repeated_ranges(documents: DataFrame, least: int) -> DataFrame:
+    """``(doc_id, mark, lo, hi)``: word ranges held by a smaller document; ``mark`` tells texts of one id apart. ``least`` buckets or more."""
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    packed = docs.mapInArrow(_packed(buckets, frequent(docs)), "bucket int, blob binary")
+    buckets, often = layout(docs, _loads, least, BUCKET, HOT, MOST_HOT)
+    packed = docs.mapInArrow(_packed(buckets, often), "bucket int, blob binary")
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     judged = cut_lineage(dealt.mapInArrow(_counted(buckets), ROWS))
     single = judged.filter("blob is not null").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -274,7 +324,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = cut_lineage(repeated_ranges(docs, buckets))
+    # Repeated rows have the same ranges: those come once.
+    ranges = cut_lineage(repeated_ranges(docs, buckets).distinct())
     grouped = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     marked = docs.withColumn("mark", F.xxhash64("text"))
     joined = marked.join(grouped, ["doc_id", "mark"], "left").select("doc_id", "text", "ranges")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -115,16 +116,29 @@ def removed_words(rows, window=50):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("frequent", [0.01, 0.0004])
-def test_substrings(spark, monkeypatch, frequent):
-    monkeypatch.setattr(substrings, "FREQUENT", frequent)
+@pytest.mark.parametrize("limits", [{}, {"HOT": 3000}, {"HOT": 900, "BUFFER": 2000, "BUCKET": 5000}])
+def test_substrings(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(substrings, name, value)
     rng = random.Random(4)
     shared = prose(rng, 130)
     rows = awkward(rng) + [(50 + i, prose(rng, rng.randrange(60)) + " " + shared + "\t" + prose(rng, 40)) for i in range(20)]
-    got = substrings.without_repeats(documents(spark, rows)).collect()
+    rows += [(49 - i, shared + " " + prose(rng, 9)) for i in range(20)] + [(90, shared + " - " + shared), (90, shared)]
+    got = substrings.without_repeats(documents(spark, rows).repartition(7)).collect()
     assert collections.Counter(map(tuple, got)) == removed_words(rows)
 
 
+def test_substrings_of_one_text_many_times(spark):
+    """Rows of one id and text cost no more than their number, nor do many ids with one text."""
+    text = prose(random.Random(7), 700, 9000)
+    for rows in ([(k, text) for k in range(1500)], [(1, text)] * 1500):
+        start = time.time()
+        got = substrings.without_repeats(documents(spark, [*rows, (9999, "other " + text)])).collect()
+        assert time.time() - start < 60
+        assert sorted(r.n_removed for r in got if r.doc_id != 9999) == sorted(0 if i == rows[0][0] else 700 for i, _ in rows)
+        assert [r.n_removed for r in got if r.doc_id == 9999] == [700]
+
+
 def test_substrings_of_nothing(spark):
     assert substrings.without_repeats(documents(spark, [])).count() == 0
 
@@ -146,19 +160,46 @@ def removed_bytes(rows, length=400):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("frequent", [0.01, 0.0004])
-def test_suffixes(spark, monkeypatch, frequent):
-    monkeypatch.setattr(suffixes, "FREQUENT", frequent)
+@pytest.mark.parametrize("limits", [{}, {"HOT": 3000}, {"HOT": 900, "BUFFER": 2000, "BUCKET": 5000, "PIECE": 4000}])
+def test_suffixes(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(suffixes, name, value)
     rng = random.Random(5)
     shared = prose(rng, 160)
     solid = "".join(rng.choice("abc") for _ in range(900))
     rows = awkward(rng)[:9] + awkward(rng)[11:]
     rows += [(50 + i, prose(rng, rng.randrange(60)) + shared[i:] + prose(rng, 40)) for i in range(20)]
     rows += [(80, "q" + solid + "r"), (81, solid[:700]), (82, "z" * 1500), (83, "xyz" * 500), (84, "v" + solid[5:406])]
-    got = suffixes.without_repeats(documents(spark, rows)).collect()
+    rows += [(85, "z" * 450 + solid), (86, "yzx" * 140), (87, "once " + prose(rng, 300, 9000))]
+    got = suffixes.without_repeats(documents(spark, rows).repartition(7)).collect()
     assert collections.Counter(map(tuple, got)) == removed_bytes(rows)
 
 
+def test_suffixes_of_one_text_many_times(spark):
+    """Rows of one id and text cost no more than their number, nor do many ids with one text."""
+    text = prose(random.Random(7), 700, 9000)
+    for rows in ([(k, text) for k in range(1500)], [(1, text)] * 1500, [(None, text)] * 1500):
+        start = time.time()
+        got = suffixes.without_repeats(documents(spark, [*rows, (9999, "other " + text[:2000])])).collect()
+        assert time.time() - start < 60
+        assert sum(r.n_removed == r.n_bytes == len(text) for r in got) == 1500
+        assert [r.n_removed for r in got if r.doc_id == 9999] == [2000]
+
+
+def test_places_without_a_cut_and_multiplicity():
+    rng = np.random.default_rng(2)
+    texts = [b"z" * 900, b"zy" * 350, bytes(rng.integers(97, 100, 1200).tolist()), b"ab" + b"z" * 500]
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for copies in ([1, 1, 1, 1], [1, 1, 2, 1], [3, 1, 1, 1]):
+        starts = collections.Counter()
+        for t, c in zip(texts, copies, strict=True):
+            for k in range(len(t) - 399):
+                starts[t[k : k + 400]] += c
+        want = [k + 400 <= len(t) and starts[t[k : k + 400]] > 1 for t in texts for k in range(len(t))]
+        got = suffixes.covered(np.frombuffer(b"".join(texts), np.uint8), begin, np.array(copies))
+        assert got.tolist() == want
+
+
 def test_suffixes_of_nothing(spark):
     assert suffixes.without_repeats(documents(spark, [])).count() == 0
 
