@@ -1,7 +1,7 @@
 """Secret scans: known forms, and a randomness test battery with length-aware false-discovery control.
 
 Base spans are three fixed patterns. The battery looks at maximal runs of 20 or more token
-characters outside them. The encoding of a run (hex of either case, base32, base64 or its URL form) gives
+characters in what the base spans leave, a run ending at ``=`` (padding belongs to it), and at the long parts of a run between slashes. The encoding of a run (hex of either case, base32, base64 or its URL form) gives
 its alphabet; over it a chi-square test of uniformity, a runs test about the middle and a lag-one
 serial correlation test must all fail to reject randomness at ``ALPHA``. The null hypothesis that
 counts for discoveries is text in the alphabet of the run. For base64 the chi-square statistic of letters with
@@ -11,7 +11,8 @@ in language, and its likelihood over that of random symbols is a p-value (its me
 Markov's inequality bounds the tail at any length). Benjamini-Hochberg at ``FDR`` runs in strata of length (powers of two),
 because short runs have little power. Its counts come from a histogram of fixed size over all texts.
 
-All of it is DataFrame expressions. Null text counts as empty. Null ids keep their row, repeated
+All of it is DataFrame expressions. Places come from running sums in chunks, so a text of any length and number of matches
+takes little more than linear time; texts are read whole. Null text counts as empty. Null ids keep their row, repeated
 rows come repeated; an empty table gives an empty result. Extra columns are ignored (query) or kept
 (stage); working columns have names of their own.
 """
@@ -29,7 +30,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 #: A run begins after another character, so this finds the maximal runs.
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+RUN_LEAST = 20
+#: Values that a fold appends one by one before it starts anew.
+CHUNK = 256
 KINDS = ("assign", "access", "hex", "random")
 VALUE_LEAST = 6
 ALPHA, FDR = 0.001, 0.01
@@ -51,25 +55,87 @@ _SPAN = "array<struct<start:int,kind:int,end:int>>"
 _NO_RUNS = "array<struct<start:int,end:int,run:string>>"
 
 
-def _matches(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
-    """``(start, kind, end, match)`` of the leftmost matches that do not overlap, in code points.
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
 
-    The text is the gaps and the matches in turn, so their lengths add up to the places.
+def _before(values: Column, step) -> Column:
+    """The fold by ``step`` (a sum or a maximum, from 0) of the values before each one.
+
+    Folds that append are quadratic: they run inside chunks, and once more over the chunks.
     """
+    none = F.lit([]).cast("array<int>")
+
+    def scan(of: Column, value) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(of, begin, lambda s, x: F.struct(step(s["at"], value(x)).alias("at"), F.array_append(s["out"], s["at"]).alias("out")))
+
+    cuts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int"))
+    chunks = F.transform(cuts, lambda i: F.slice(values, F.greatest(i, F.lit(0)) * CHUNK + 1, CHUNK))
+    folded = F.transform(chunks, lambda c: scan(c, lambda x: x))
+    joined = lambda done: F.flatten(F.zip_with(done, scan(done, lambda d: d["at"])["out"], lambda d, base: F.transform(d["out"], lambda x: step(x, base))))
+    return _bound(folded, joined)
+
+
+def _parts(text: Column, pattern: str, least: int = 0) -> Column:
+    """``(gap, hit, taken)``: the text as gaps and matches in turn; the last match is null."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else found
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), value.alias("value"))
-    empty = F.lit([]).cast("array<struct<start:int,kind:int,end:int,hit:string>>")
+    taken = lambda p: p["hit"].isNotNull() & (F.char_length(p["value"]) >= least)
+    return F.transform(parts, lambda p: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), taken(p).alias("taken")))
+
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.char_length(part["gap"])
-        end = start + F.coalesce(F.char_length(part["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["hit"].alias("hit"))
-        take = part["hit"].isNotNull() & (F.char_length(part["value"]) >= least)
-        return F.struct(end.alias("at"), F.when(take, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+def _spans(parts: Column, kind: int) -> Column:
+    """``(start, kind, end, hit)`` of the matches taken, in code points."""
+    size = lambda c: F.coalesce(F.char_length(c), F.lit(0))
 
-    whole = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), whole).otherwise(empty)
+    def placed(p: Column) -> Column:
+        offsets = _before(F.transform(p, lambda x: size(x["gap"]) + size(x["hit"])), lambda x, y: x + y)
+
+        def span(x: Column, at: Column) -> Column:
+            start = at + size(x["gap"])
+            one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + size(x["hit"])).alias("end"), x["hit"].alias("hit"))
+            return F.when(x["taken"], one)
+
+        return F.filter(F.zip_with(p, offsets, span), lambda x: x.isNotNull())
+
+    return _bound(parts, placed)
+
+
+_EMPTY = "array<struct<start:int,kind:int,end:int,hit:string>>"
+
+
+def _matches(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
+    """``(start, kind, end, hit)`` of the leftmost matches that do not overlap."""
+    return F.when(text.rlike(pattern), _spans(_parts(text, pattern, least), kind)).otherwise(F.lit([]).cast(_EMPTY))
+
+
+def _masked(text: Column, pattern: str, least: int = 0) -> Column:
+    """The text with blanks in place of the matches: they are ASCII, so all places stay."""
+
+    def blank(p: Column) -> Column:
+        return F.concat(p["gap"], F.when(p["taken"], F.repeat(F.lit(" "), F.char_length(p["hit"]))).otherwise(F.coalesce(p["hit"], F.lit(""))))
+
+    masked = lambda t: F.when(t.rlike(pattern), F.array_join(F.transform(_parts(t, pattern, least), blank), "")).otherwise(t)
+    return _bound(text, masked)
+
+
+def _with_parts(span: Column) -> Column:
+    """A run, and its long parts between slashes."""
+
+    def cut(pieces: Column) -> Column:
+        offsets = _before(F.transform(pieces, lambda p: F.char_length(p) + 1), lambda x, y: x + y)
+
+        def part(p: Column, at: Column) -> Column:
+            start = span["start"] + at
+            one = F.struct(start.alias("start"), F.lit(3).alias("kind"), (start + F.char_length(p)).alias("end"), p.alias("hit"))
+            return F.when(F.char_length(p) >= RUN_LEAST, one)
+
+        return F.concat(F.array(span), F.filter(F.zip_with(pieces, offsets, part), lambda x: x.isNotNull()))
+
+    return F.when(F.contains(span["hit"], F.lit("/")), _bound(F.split(span["hit"], "/"), cut)).otherwise(F.array(span))
 
 
 def _phi(z: Column) -> Column:
@@ -174,9 +240,10 @@ def scanned(documents: DataFrame, base_name: str = "_base", runs_name: str = "_r
     base = F.concat(_matches(text, ASSIGN, 0, VALUE_LEAST), _matches(text, ACCESS, 1), _matches(text, HEX, 2))
     slim = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     with_base = documents.withColumn(base_name, F.array_sort(slim))
-    runs = F.filter(
-        _matches(text, RUN, 3), lambda r: ~F.exists(base_name, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    )
+    rest = text
+    for pattern, least in ((ASSIGN, VALUE_LEAST), (ACCESS, 0), (HEX, 0)):
+        rest = _masked(rest, pattern, least)
+    runs = _bound(rest, lambda t: F.flatten(F.transform(_matches(t, RUN, 3), _with_parts)))
     return with_base.withColumn(runs_name, F.transform(runs, _tested))
 
 
@@ -225,22 +292,27 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced; spans that overlap or touch share a mark."""
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(s: Column, span: Column) -> Column:
-        apart = F.concat(s["out"], F.substring(text, s["at"] + 1, span["start"] - s["at"]), F.lit(MARK))
-        more = F.when((span["start"] > s["at"]) | (s["at"] == 0), apart).otherwise(s["out"])
-        return F.struct(more.alias("out"), F.greatest(s["at"], span["end"]).alias("at"))
+    def cut(x: Column) -> Column:
+        chars, own, before = x["chars"], x["own"], x["before"]
+        until = F.greatest(F.get(before, F.size(own) - 1), F.get(own, F.size(own) - 1)["end"])
+
+        def piece(span: Column, at: Column) -> Column:
+            gap = F.array_join(F.slice(chars, at + 1, F.greatest(span["start"] - at, F.lit(0))), "")
+            return F.when((span["start"] > at) | (at == 0), F.concat(gap, F.lit(MARK))).otherwise(F.lit(""))
+
+        tail = F.array_join(F.slice(chars, until + 1, F.size(chars)), "")
+        return F.concat(F.array_join(F.zip_with(own, before, piece), ""), tail)
 
-    done = F.aggregate(F.array_sort(spans), begin, step)
-    whole = F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    sorted_ = lambda own: F.struct(F.split(text, "").alias("chars"), own.alias("own"), _before(F.transform(own, lambda s: s["end"]), F.greatest).alias("before"))
+    done = _bound(_bound(F.array_sort(spans), sorted_), cut)
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; ``n_chars`` follows the text."""
     base, runs, spans = (unused(docs, c) for c in ("_base", "_runs", "_spans"))
-    rows = scanned(docs, base, runs)
+    rows = cut_lineage(scanned(docs, base, runs))
     marked = rows.withColumn(spans, F.concat(base, _found(limits(rows, runs), runs)))
     changed = marked.withColumn("text", redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
