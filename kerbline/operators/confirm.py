@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kerbline.functions.geometry import ioa
 from kerbline.functions.labels import violation_type
 from kerbline.operators.detections import BOX, FRAME, with_best_ioa
 from kerbline.operators.ordered import (
@@ -152,11 +153,6 @@ def streak_state(detections: DataFrame, rule: Confirmation = RULE, size: int = C
     )
 
 
-def _hits(detections: DataFrame, rule: Confirmation, size: int) -> DataFrame:
-    rows = _track_rows(detections, rule, [rule.trigger_class], size)
-    return streaks(rows, rule.patience, size).filter("hit")
-
-
 def _confirmed(hits: DataFrame, keys: Sequence[str], frames) -> DataFrame:
     """First streak of each key that reaches ``frames`` hits, with mean confidence and box.
 
@@ -177,9 +173,121 @@ def _confirmed(hits: DataFrame, keys: Sequence[str], frames) -> DataFrame:
     return first.select(*keys, "f.at.*", F.col("f.mean_confidence").alias("confidence"))
 
 
+def _chunk_summaries(detections: DataFrame, rule: Confirmation, most: int, size: int) -> DataFrame:
+    """One row per track and chunk of frames: what it does to a streak that comes in. Written.
+
+    The rows of a chunk meet in one exchange; frames, local ticks, riding and segments (hits without a break
+    inside the chunk) all follow on that distribution. ``head`` is the segment that may go on with a streak from before,
+    ``tail`` the last one, ``inner`` the first ``N``-th hit of a later segment for each ``N`` up to ``most``. Rows
+    of no track keep the number of frames of their chunk.
+    """
+    chunk = [*SESSION, CHUNK_COL]
+    box = F.struct(*BOX)
+    rider = F.struct("track_id", "det_idx", "class_id", "confidence", *BOX)
+    is_rider = (F.col("class_id") == rule.trigger_class) & F.col("track_id").isNotNull()
+    frames = (
+        detections.select(*FRAME, "det_idx", "track_id", "class_id", "confidence", *BOX)
+        .withColumn(CHUNK_COL, chunk_of(F.col("frame_number"), size))
+        .repartition(*chunk)
+        .groupBy(*chunk, "frame_number")
+        .agg(
+            F.collect_list(F.when(F.col("class_id") == MOTORCYCLE, box)).alias("motorcycles"),
+            F.collect_list(F.when(is_rider, rider)).alias("riders"),
+        )
+        .withColumn("tick", F.row_number().over(W.partitionBy(*chunk).orderBy("frame_number")))
+    )
+    corners = lambda b: tuple(b[c] for c in BOX)
+    rides = lambda r: F.exists("motorcycles", lambda m: ioa(corners(r), corners(m)) >= rule.ioa)
+    marked = F.transform("riders", lambda r: F.struct(r.alias("r"), rides(r).alias("hit")))
+    rows = frames.select(*chunk, "frame_number", "tick", F.explode_outer(marked).alias("m")).select(
+        *chunk, "frame_number", "tick", F.col("m.r.track_id").alias("track_id"), F.col("m.hit").alias("hit"), F.col("m.r").alias("r")
+    )
+    upto = inside(TRACK, "tick").rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = inside(TRACK, "tick").rowsBetween(W.unboundedPreceding, -1)
+    hit, e = F.col("hit"), F.col("_e")
+    local = (
+        rows.withColumn("_e", F.col("tick") - F.sum((~hit).cast("bigint")).over(upto))
+        .withColumns({"_hits": F.sum(hit.cast("bigint")).over(upto), "_prev": F.last(F.when(hit, e), ignorenulls=True).over(earlier)})
+        .withColumn("_break", F.max(F.when(hit & (e - F.col("_prev") > rule.patience + 1), F.col("_hits"))).over(upto))
+        .withColumn("segment", F.coalesce("_break", F.lit(0)))
+        .withColumn("position", F.col("_hits") - F.coalesce("_break", F.lit(1)) + 1)
+    )
+    at = F.struct(F.col("frame_number"), F.col("r.det_idx").alias("det_idx"), F.col("r.class_id").alias("class_id"), *[F.col(f"r.{c}").alias(c) for c in BOX])
+    entry = F.struct("position", F.col("r.confidence").alias("confidence"), at.alias("at"))
+    by_segment = local.groupBy(*TRACK, CHUNK_COL, "segment").agg(
+        F.count_if(hit).alias("n"),
+        F.count_if(~hit).alias("frozen"),
+        F.max("tick").alias("frames"),
+        F.min(F.when(hit, e)).alias("first"),
+        F.max(F.when(hit, e)).alias("last"),
+        F.sort_array(F.collect_list(F.when(hit & (F.col("position") <= most), entry))).alias("hits"),
+    )
+    whole = F.struct("segment", "n", "first", "last", "hits")
+    nth = [F.min(F.when((F.col("segment") > 0) & (F.col("n") >= k), F.struct("segment", "hits"))).alias(f"_{k}") for k in range(1, most + 1)]
+    summary = by_segment.groupBy(*TRACK, CHUNK_COL).agg(
+        F.sum("frozen").alias("frozen"),
+        F.max("frames").alias("frames"),
+        F.max(F.when((F.col("segment") == 0) & (F.col("n") > 0), whole)).alias("head"),
+        F.max(F.when(F.col("n") > 0, whole)).alias("tail"),
+        *nth,
+    )
+    inner = F.array(*[F.when(F.col(f"_{k}").isNotNull(), F.slice(f"_{k}.hits", 1, k)) for k in range(1, most + 1)])
+    return cut_lineage(summary.withColumn("inner", inner).drop(*[f"_{k}" for k in range(1, most + 1)]))
+
+
+def _first_confirmed(detections: DataFrame, rule: Confirmation, thresholds: Sequence[int], size: int) -> DataFrame:
+    """``(track, frames, frame_number, det_idx, class_id, box, confidence)``: the first confirmation of each track for every
+    threshold ``frames``; null where it has hits but no confirmation.
+
+    The summaries of a track are composed in the order of its chunks: a running sum that is read from the last break gives the
+    hits (and confidences) that come in, and a confirmation lies in the head, completed by those, or inside.
+    """
+    most = max(thresholds)
+    found = _chunk_summaries(detections, rule, most, size)
+    # Ticks before a chunk: a row per chunk and session.
+    per_chunk = found.groupBy(*SESSION, CHUNK_COL).agg(F.max("frames").alias("frames"))
+    offsets = per_chunk.select(*SESSION, CHUNK_COL, F.coalesce(F.sum("frames").over(before(SESSION)), F.lit(0)).alias("offset"))
+    rows = found.filter("track_id IS NOT NULL").join(offsets, [*SESSION, CHUNK_COL])
+
+    over = before(TRACK)
+    upto = W.partitionBy(*TRACK).orderBy(CHUNK_COL).rowsBetween(W.unboundedPreceding, W.currentRow)
+    total = lambda hits: F.aggregate(hits, F.lit(0.0), lambda s, h: s + h["confidence"])
+    has = F.col("tail").isNotNull()
+    # The head is the tail where the chunk has no break.
+    rows = (
+        rows.withColumn("base", F.col("offset") - F.coalesce(F.sum("frozen").over(over), F.lit(0)))
+        .withColumn("clock_in", F.last(F.col("base") + F.col("tail.last"), ignorenulls=True).over(over))
+        .withColumn("linked", F.coalesce(F.col("base") + F.col("head.first") - F.col("clock_in") <= rule.patience + 1, F.lit(False)))
+        .withColumns({"own": F.coalesce("tail.n", F.lit(0)), "own_sum": F.coalesce(total(F.col("tail.hits")), F.lit(0.0))})
+        .withColumns({"all": F.sum("own").over(upto), "all_sum": F.sum("own_sum").over(upto)})
+    )
+    fresh = has & ((F.col("tail.segment") > 0) | ~F.col("linked"))
+    since = F.last(F.when(fresh, F.struct((F.col("all") - F.col("own")).alias("n"), (F.col("all_sum") - F.col("own_sum")).alias("sum"))), ignorenulls=True)
+    carried = rows.withColumn("since", since.over(over))
+    length = F.when(F.col("linked"), F.col("all") - F.col("own") - F.col("since.n")).otherwise(F.lit(0))
+    carried = carried.withColumns(
+        {"length": length, "length_sum": F.when(F.col("linked"), F.col("all_sum") - F.col("own_sum") - F.col("since.sum")).otherwise(F.lit(0.0))}
+    )
+    each = carried.select(*TRACK, "head", "inner", "length", "length_sum", F.explode(F.array(*map(F.lit, thresholds))).alias("frames")).withColumn(
+        "left", F.col("frames") - F.col("length")
+    )
+    within = F.slice("head.hits", 1, F.greatest("left", F.lit(1)))
+    in_head = F.when(
+        (F.col("left") > 0) & (F.col("head.n") >= F.col("left")),
+        F.struct(F.get(within, F.col("left").cast("int") - 1)["at"].alias("at"), ((F.col("length_sum") + total(within)) / F.col("frames")).alias("confidence")),
+    )
+    inside_ = F.get("inner", F.col("frames") - 1)
+    later = F.when(
+        inside_.isNotNull(), F.struct(F.get(inside_, F.col("frames") - 1)["at"].alias("at"), (total(inside_) / F.col("frames")).alias("confidence"))
+    )
+    each = each.withColumn("f", F.coalesce(in_head, later)).filter("head IS NOT NULL")
+    first = each.groupBy(*TRACK, "frames").agg(F.min_by("f", F.col("f.at.frame_number")).alias("f"))
+    return first.select(*TRACK, "frames", "f.at.*", "f.confidence")
+
+
 def confirmed_violations(detections: DataFrame, rule: Confirmation = RULE, size: int = CHUNK) -> DataFrame:
     """One event per track at the hit that completes N hits of a streak."""
-    found = _confirmed(_hits(detections, rule, size), TRACK, rule.frames)
+    found = _first_confirmed(detections, rule, [rule.frames], size).filter("frame_number IS NOT NULL")
     return found.select(
         F.md5(F.concat_ws("|", *TRACK)).alias("event_id"),
         *TRACK,
@@ -194,14 +302,11 @@ def confirmation_sweep(
     detections: DataFrame, thresholds: Sequence[int] = (1, 3, 5), rule: Confirmation = RULE, size: int = CHUNK
 ) -> DataFrame:
     """Confirmations for several N from one computation of the streaks."""
-    wanted = F.array(*[F.lit(n) for n in thresholds])
-    hits = _hits(detections, rule, size).filter(F.col("position") <= max(thresholds))
-    fanned = hits.withColumn("confirm_frames", F.explode(wanted))
-    found = _confirmed(fanned, [*TRACK, "confirm_frames"], F.col("confirm_frames"))
-    counts = found.groupBy("confirm_frames").agg(
+    found = _first_confirmed(detections, rule, thresholds, size).filter("frame_number IS NOT NULL")
+    counts = found.groupBy(F.col("frames").alias("confirm_frames")).agg(
         F.count("*").alias("violations"), F.avg("confidence").alias("mean")
     )
-    listed = detections.sparkSession.range(1).select(F.explode(wanted).alias("confirm_frames"))
+    listed = detections.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in thresholds])).alias("confirm_frames"))
     return listed.join(counts, "confirm_frames", "left").select(
         "confirm_frames",
         F.coalesce("violations", F.lit(0)).alias("total_violations"),
@@ -212,9 +317,8 @@ def confirmation_sweep(
 
 def confirmation_stats(detections: DataFrame, rule: Confirmation = RULE, size: int = CHUNK) -> DataFrame:
     """Violated tracks and tracks that ever had a hit. The ids are the rows of D3's result."""
-    per_track = _hits(detections, rule, size).groupBy(*TRACK).agg(F.max("position").alias("longest"))
-    return per_track.agg(
-        F.count_if(F.col("longest") >= rule.frames).alias("total_violations"),
+    return _first_confirmed(detections, rule, [rule.frames], size).agg(
+        F.count("frame_number").alias("total_violations"),
         F.count("*").alias("streak_tracks"),
     )
 
