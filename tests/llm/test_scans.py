@@ -134,9 +134,15 @@ def test_bpe_joins_are_the_encoding():
         assert joined == encoder.encode(x.encode()) == own._core_bpe.encode_single_piece(x.encode())
 
 
-def test_licenses(spark):
+def found_licenses(spark, rows, texts=licenses.TEXTS):
+    return licenses.matches(documents(spark, rows), licenses.templates_frame(spark, texts)).collect()
+
+
+@pytest.mark.parametrize("limit", [1 << 14, 200])
+def test_licenses(spark, monkeypatch, limit):
+    monkeypatch.setattr(licenses, "LIMIT", limit)
     rng = random.Random(10)
-    grant = licenses.NOTICES["mit-grant"]
+    grant = licenses.TEXTS["mit-grant"]
     changed = grant.replace("charge", "cost")
     rows = awkward(rng) + [
         (60, prose(rng, 300) + " " + grant.upper() + " " + prose(rng, 300)),
@@ -146,10 +152,32 @@ def test_licenses(spark):
         (60, grant),
         (None, "Licensed under CC BY-NC 4.0."),
     ]
-    got = licenses.matches(documents(spark, rows), licenses.NOTICES).collect()
+    got = found_licenses(spark, rows)
     assert {(r.doc_id, r.license) for r in got} == {(60, "mit-grant"), (61, "mit"), (62, "mit-grant"), (None, "cc-by-nc-4.0")}
     assert all(r.containment == 1 for r in got if r.doc_id in (60, 61, None)) and len(got) == 4
-    assert licenses.matches(documents(spark, []), licenses.NOTICES).count() == 0
+
+
+def test_licenses_of_nothing(spark):
+    assert found_licenses(spark, []) == [] and found_licenses(spark, [(1, licenses.TEXTS["mit"])], {"none": "too short"}) == []
+
+
+def test_license_siblings(spark):
+    """Every template is found in a text of its own, and no version or relative of it that is not in it."""
+    rng = random.Random(12)
+    names = sorted(licenses.TEXTS)
+    rows = [(k, f"{prose(rng, 70)} {licenses.TEXTS[n]} {prose(rng, 70)}") for k, n in enumerate(names)]
+    # A copy with some words changed: the closest version stays the answer.
+    edited = {n: 100 + k for k, n in enumerate(("gpl-2.0-header", "gpl-3.0-notice", "lgpl-2.1-header", "lgpl-3.0-header", "agpl-3.0-header", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd"))}
+    rows += [(i, licenses.TEXTS[n].replace("warranty", "guarantee", 1).replace("OUT OF", "FROM", 1)) for n, i in edited.items()]
+    got = {}
+    for r in found_licenses(spark, rows):
+        got.setdefault(r.doc_id, {})[r.license] = r.containment
+    own = {n: set(licenses.shingles_of(t)) for n, t in licenses.TEXTS.items()}
+    for k, n in enumerate(names):
+        inside = {m for m in names if own[m] <= own[n]}
+        assert got[k][n] == 1 and set(got[k]) == inside, (n, got[k])
+    for n, i in edited.items():
+        assert n in got[i] and all(len(own[m]) < 50 or m == n for m in got[i]), (n, got[i])
 
 
 def test_secret_spans(spark):
