@@ -19,27 +19,25 @@ def _component_rows(frame_metrics: DataFrame) -> DataFrame:
 def latency_summary(frame_metrics: DataFrame) -> DataFrame:
     """Per run and component: mean, percentiles, extremes and population deviation."""
     rows = _component_rows(frame_metrics)
-    keys = ["run_id", "component"]
-    moments = rows.groupBy(*keys).agg(
+    moments = (
         F.round(F.avg("ms"), 2).alias("mean"),
         F.round(F.min("ms"), 2).alias("min"),
         F.round(F.max("ms"), 2).alias("max"),
         F.round(F.stddev_pop("ms"), 2).alias("stdev"),
     )
-    ranks = percentile_columns(rows, keys, "ms", {"median": 0.5, "p95": 0.95, "p99": 0.99}, 2)
-    return moments.join(ranks, keys)
+    return percentile_columns(rows, ["run_id", "component"], "ms", {"median": 0.5, "p95": 0.95, "p99": 0.99}, 2, *moments)
 
 
 def throughput_summary(frame_metrics: DataFrame) -> DataFrame:
     """Frame rate statistics per run."""
-    moments = frame_metrics.groupBy("run_id").agg(
+    moments = (
         F.round(F.avg("fps"), 2).alias("fps_mean"),
         F.round(F.min("fps"), 2).alias("fps_min"),
         F.round(F.max("fps"), 2).alias("fps_max"),
         F.round(F.stddev_pop("fps"), 2).alias("fps_stdev"),
     )
     names = {"fps_median": 0.5, "fps_p5": 0.05, "fps_p95": 0.95}
-    return moments.join(percentile_columns(frame_metrics, ["run_id"], "fps", names, 2), "run_id")
+    return percentile_columns(frame_metrics, ["run_id"], "fps", names, 2, *moments)
 
 
 def latency_share(frame_metrics: DataFrame) -> DataFrame:
@@ -100,11 +98,11 @@ def ingest_rate(send_log: DataFrame) -> DataFrame:
     ``send_log(run_id, sent_at, latency_ms)``.
     """
     seconds = (F.unix_micros(F.max("sent_at")) - F.unix_micros(F.min("sent_at"))) / 1e6
-    totals = send_log.groupBy("run_id").agg(
+    totals = (
         F.count("*").alias("messages"),
         F.round(seconds, 3).alias("total_seconds"),
         F.round(F.when(seconds > 0, F.count("*") / seconds), 6).alias("messages_per_second"),
         F.round(F.avg("latency_ms"), 3).alias("mean"),
     )
     names = {"median": 0.5, "p95": 0.95, "p99": 0.99}
-    return totals.join(percentile_columns(send_log, ["run_id"], "latency_ms", names, 3), "run_id")
+    return percentile_columns(send_log, ["run_id"], "latency_ms", names, 3, *totals)

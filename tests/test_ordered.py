@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbline.operators import ordered as o
-from kerbline.operators.percentiles import exact_percentiles
+from kerbline.operators.percentiles import bracketed, exact_percentiles
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +66,16 @@ def test_percentiles_equal_the_built_in(spark):
     assert got.keys() == want.keys()
     for key, value in want.items():
         assert got[key] == pytest.approx(value, rel=1e-12, abs=1e-15), key
+
+
+def test_percentiles_of_large_groups(spark):
+    """Groups beyond the size up to which a bracket is the whole group."""
+    base = spark.range(120_000).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1_000_003)))
+    kinds = F.when(F.col("id") % 3 == 0, F.floor(F.col("h") / 50_000)).when(F.col("id") % 3 == 1, F.pow(F.col("h"), 3)).otherwise(-F.col("h") / 7)
+    df = base.select((F.col("id") % 3).alias("k"), kinds.cast("double").alias("v"))
+    probs = [0.0, 0.01, 0.5, 0.95, 0.99, 1.0]
+    want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", probs).alias("q")).collect()}
+    groups, long = bracketed(df, ["k"], "v", probs, F.max("v").alias("top"))
+    got = {(r.k, r.prob): r.value for r in long.collect()}
+    assert got == pytest.approx({(k, p): q[i] for k, q in want.items() for i, p in enumerate(probs)}, rel=1e-12)
+    assert {r.k: r.top for r in groups.collect()} == {k: q[-1] for k, q in want.items()}
