@@ -47,9 +47,9 @@ CHUNK = 32
 #: Bytes of stretches that share a suffix array, unless one minimiser has more.
 PIECE = 1 << 20
 #: Bytes of texts for each bucket, bytes of a minimiser's stretches before they are split, and how many may be split.
-BUCKET, HOT, MOST_HOT = 16 << 20, 8 << 20, 1 << 20
+BUCKET, HOT, MOST_HOT = 4 << 20, 8 << 20, 1 << 20
 #: Bytes of stretches that a task combines before it sends.
-BUFFER = 32 << 20
+BUFFER = 16 << 20
 #: Bits of a position beside 40 bits of a fingerprint.
 PLACE = 24
 
@@ -423,11 +423,11 @@ def _loose(batches):
 
 def repeated_ranges(documents: DataFrame, least: int) -> DataFrame:
     """``(mark, lo, hi)``: byte ranges of rows named by ``mark`` that repeated strings cover; ``least`` buckets or more."""
-    buckets, often = layout(documents, _loads, least, BUCKET, HOT, MOST_HOT)
+    buckets, partitions, often = layout(documents, _loads, least, BUCKET, HOT, MOST_HOT)
     packed = documents.mapInArrow(_packed(buckets, often), "bucket int, blob binary")
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     judged = cut_lineage(dealt.mapInArrow(_judged(buckets), ROWS))
-    single = judged.filter("blob is not null").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    single = judged.filter("blob is not null").select("bucket", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket")
     more = single.mapInArrow(_loose, "mark long, lo long, hi long")
     return judged.filter("blob is null").select("mark", "lo", "hi").unionByName(more)
 

@@ -37,9 +37,9 @@ from kerbline.session import cut_lineage
 WINDOW = 50
 GRAM = 6
 #: Bytes of texts for each bucket, bytes of a minimiser's strings before they are split, and how many may be split.
-BUCKET, HOT, MOST_HOT = 16 << 20, 8 << 20, 1 << 20
+BUCKET, HOT, MOST_HOT = 4 << 20, 8 << 20, 1 << 20
 #: Bytes of strings that a task combines before it sends.
-BUFFER = 32 << 20
+BUFFER = 16 << 20
 
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
@@ -310,11 +310,11 @@ def _removed(batches):
 def repeated_ranges(documents: DataFrame, least: int) -> DataFrame:
     """``(doc_id, mark, lo, hi)``: word ranges held by a smaller document; ``mark`` tells texts of one id apart. ``least`` buckets or more."""
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    buckets, often = layout(docs, _loads, least, BUCKET, HOT, MOST_HOT)
+    buckets, partitions, often = layout(docs, _loads, least, BUCKET, HOT, MOST_HOT)
     packed = docs.mapInArrow(_packed(buckets, often), "bucket int, blob binary")
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     judged = cut_lineage(dealt.mapInArrow(_counted(buckets), ROWS))
-    single = judged.filter("blob is not null").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    single = judged.filter("blob is not null").select("bucket", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket")
     more = single.mapInArrow(_singles, "doc_id long, mark long, lo long, hi long")
     return judged.filter("blob is null").select(NAMES[:4]).unionByName(more)
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from kerbline.llm.text import Texts, slices
 from kerbline.session import cut_lineage
 
+#: Partitions of an exchange; beyond that each one has several buckets, which come one after the other.
+MOST_PARTITIONS = 100_000
 #: Strings remembered; beyond that the table starts anew, and a string may be sent again.
 MOST = 1 << 20
 
@@ -78,14 +80,16 @@ def _loads(minimisers: Callable[[Texts], tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def layout(documents: DataFrame, minimisers: Callable, least: int, bucket: int, hot: int, most: int) -> tuple[int, np.ndarray]:
-    """The number of buckets of ``bucket`` bytes of text, ``least`` or more, and the minimisers with more than ``hot`` bytes, in order.
+def layout(documents: DataFrame, minimisers: Callable, least: int, bucket: int, hot: int, most: int) -> tuple[int, int, np.ndarray]:
+    """The number of buckets of ``bucket`` bytes of text, ``least`` or more, of partitions that they lie in, and the minimisers
+    with more than ``hot`` bytes, in order.
 
-    Both come from all texts. No more than ``most`` minimisers come to the driver: ``hot`` grows once the corpus is larger than
+    All come from all texts. No more than ``most`` minimisers come to the driver: ``hot`` grows once the corpus is larger than
     that many times ``hot``.
     """
     loads = cut_lineage(documents.select("text").mapInArrow(_loads(minimisers), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")))
     sums = loads.agg(F.sum(F.when(F.col("m").isNull(), F.col("n"))).alias("text"), F.sum(F.when(F.col("m").isNotNull(), F.col("n"))).alias("sent")).first()
     limit = max(hot, (sums["sent"] or 0) // most)
     rows = loads.filter(F.col("m").isNotNull() & (F.col("n") > limit)).select("m").collect()
-    return max(least, -(-(sums["text"] or 0) // bucket)), np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    buckets = max(least, -(-(sums["text"] or 0) // bucket))
+    return buckets, min(buckets, MOST_PARTITIONS), np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
