@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from datetime import date
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from kerbline.functions.labels import with_time_parts, with_time_period
 from kerbline.plans.star import dim_time_rows, fact_rows
+from kerbline.session import cut_lineage
 from kerbline.sources.event_json import parse_events, quarantine_events, valid_events
 from kerbline.streaming.ordered_state import ROCKSDB, STATE_STORE, InTimeOrder, in_time_order, micros
 
@@ -169,20 +171,72 @@ class StarTables:
         return f"{self.root}/quarantine"
 
 
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.exists(folder)
+
+
+def _has_dates(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.exists(folder) and any(f.getPath().getName().startswith("date=") for f in files.listStatus(folder))
+
+
 def _append_once(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write a batch under its own folder: a repeated batch replaces itself."""
-    rows.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch_id={batch_id}")
+    """Write a batch under its dates and its own number: a repeated batch replaces itself."""
+    numbered = rows.withColumn("batch_id", F.lit(batch_id))
+    writer = numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("date", "batch_id").parquet(path)
 
 
-def _known_times(spark: SparkSession, path: str, batch_id: int, first, last) -> DataFrame | None:
-    """Stored timestamps of the batch's dates; only those date folders are read."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    stored = spark.read.option("basePath", path).parquet(path)
-    return stored.filter(
-        (F.col("batch_id") != batch_id) & F.col("date").between(F.lit(first), F.lit(last))
-    ).select("full_timestamp")
+def _merged(path: str) -> str:
+    """Where the merged dates of a table lie: one folder a date, the batch number is a column."""
+    return f"{path}_merged"
+
+
+def read_table(spark: SparkSession, path: str, dates: Sequence[date] | None = None) -> DataFrame | None:
+    """A star table, or some of its dates; None where there is nothing.
+
+    Only the folders of the wanted dates are listed. A batch that was merged is not read again from its own folder.
+    """
+
+    def part(root: str) -> DataFrame | None:
+        if dates is None:
+            paths = [root] if _has_dates(spark, root) else []
+        else:
+            paths = [p for p in (f"{root}/date={d}" for d in dates) if _exists(spark, p)]
+        return spark.read.option("basePath", root).parquet(*paths) if paths else None
+
+    own, merged = part(path), part(_merged(path))
+    if merged is None:
+        return own
+    if own is None:
+        return merged
+    # A row per date and merged batch.
+    known = part(f"{_merged(path)}_batches")
+    return own.join(known, ["date", "batch_id"], "left_anti").unionByName(merged.select(own.columns))
+
+
+def merge_dates(spark: SparkSession, path: str, dates: Sequence[date]) -> None:
+    """Merge the batches of each date into one folder. Run it for dates that get few new events; late ones are added by their batch.
+
+    A date is written whole before its batches are named as merged, and only then their folders go, so a
+    job that ends in between leaves the table as it was or as it should be. A batch that comes again is the same rows and is not read.
+    """
+    for day in dates:
+        rows = read_table(spark, path, [day])
+        if rows is None or not _exists(spark, f"{path}/date={day}"):
+            continue
+        rows = cut_lineage(rows)
+        index = cut_lineage(rows.select("date", "batch_id").distinct())
+        for data, root in ((rows, _merged(path)), (index, f"{_merged(path)}_batches")):
+            data.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(root)
+        files, folder = _folder(spark, f"{path}/date={day}")
+        files.delete(folder, True)
 
 
 def load_star(cameras: DataFrame, types: DataFrame, tables: StarTables) -> Callable[[DataFrame, int], None]:
@@ -192,12 +246,13 @@ def load_star(cameras: DataFrame, types: DataFrame, tables: StarTables) -> Calla
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            span = batch.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n")).first()
-            if span.n == 0:
+            days = [r["date"] for r in batch.select("date").distinct().collect()]  # a row per day of the batch
+            if not days:
                 return
             times = dim_time_rows(batch)
-            known = _known_times(spark, tables.dim_time, batch_id, span.first, span.last)
+            known = read_table(spark, tables.dim_time, days)
             if known is not None:
+                known = known.filter(F.col("batch_id") != batch_id).select("full_timestamp")
                 times = times.join(known, "full_timestamp", "left_anti")
             _append_once(times, tables.dim_time, batch_id)
             _append_once(fact_rows(batch, cameras, types), tables.fact, batch_id)

@@ -233,3 +233,40 @@ def test_late_rows_counter(spark, tmp_path):
         spark.streams.removeListener(counter)
     assert counter.dropped[str(query.id)] == 1
     assert {r.event_id for r in spark.read.parquet(f"{tmp_path}/out").select(F.col("event_id")).collect()} == {"a", "b", "c"}
+
+
+def rows_of(df):
+    return sorted(str(r.asDict()) for r in df.select(sorted(df.columns)).collect())
+
+
+def test_merged_dates_read_like_their_batches(spark, tmp_path, sf_dir):
+    """Merging changes no row; repeated and late batches of a merged date do as before."""
+    tables = se.StarTables(f"{tmp_path}/star")
+    load = se.load_star(inputs.dim_camera(spark), inputs.dim_violation_type(spark), tables)
+    events = inputs.enriched_events(spark, sf_dir)
+    part = F.pmod(F.xxhash64("event_id"), F.lit(6))
+    day = F.col("date") <= F.lit("2024-01-05").cast("date")
+    events = events.filter(day).cache()
+    for n in range(5):
+        load(events.filter(part == n), n)
+    days = sorted(r.date for r in events.select("date").distinct().collect())
+    before = [rows_of(se.read_table(spark, p)) for p in (tables.fact, tables.dim_time)]
+    for path in (tables.fact, tables.dim_time):
+        se.merge_dates(spark, path, days[:-2])
+        assert not os.path.exists(f"{path}/date={days[0]}") and len(os.listdir(f"{path}_merged")) > 2
+    assert [rows_of(se.read_table(spark, p)) for p in (tables.fact, tables.dim_time)] == before
+    load(events.filter(part == 3), 3)
+    assert [rows_of(se.read_table(spark, p)) for p in (tables.fact, tables.dim_time)] == before
+    load(events.filter(part == 5), 5)
+    for again in (False, True):
+        if again:
+            se.merge_dates(spark, tables.fact, days)
+            se.merge_dates(spark, tables.dim_time, days)
+        fact = se.read_table(spark, tables.fact)
+        assert fact.count() == fact.select("violation_pk").distinct().count() == events.count()
+        times = se.read_table(spark, tables.dim_time)
+        assert times.count() == events.select("event_timestamp").distinct().count()
+    # Only the folders of the wanted dates are read.
+    files = se.read_table(spark, tables.fact, days[:1]).inputFiles()
+    assert files and all(f"date={days[0]}" in f for f in files)
+    assert se.read_table(spark, f"{tmp_path}/nowhere") is None
