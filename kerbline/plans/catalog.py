@@ -392,6 +392,25 @@ def _on_boxes(operator, *rounded):
     return run
 
 
+def _crowded(spark, sf_dir):
+    return [inputs.crowded(side) for side in _boxes(spark, sf_dir)]
+
+
+def frame_assignment_crowded(spark, sf_dir):
+    """Boxes with several partners: the assignment is solved, not read off."""
+    return _rounded(ev.frame_assignment(*_crowded(spark, sf_dir)), 9, "iou")
+
+
+def clear_mot_crowded(spark, sf_dir):
+    gt, pred = _crowded(spark, sf_dir)
+    return ev.clear_mot(gt, pred, cut_lineage(ev.frame_assignment(gt, pred)))
+
+
+def global_idf1_crowded(spark, sf_dir):
+    """Tracks that share frames with several others."""
+    return ev.global_idf1(*_crowded(spark, sf_dir))
+
+
 def id_switches(gt, pred, matches):
     return ev.id_switches(matches).select("sequence_id", "gt_id", "frame", "pred_id", "prev_pred_id")
 
@@ -542,6 +561,9 @@ QUERIES: dict[str, Query] = {
     "iou_pairs": _on_boxes(ev.iou_pairs, "iou"),
     "iou_pairs_gated": _on_boxes(ev.iou_pairs_gated, "iou", "distance"),
     "frame_assignment": _on_boxes(ev.frame_assignment, "iou"),
+    "frame_assignment_crowded": frame_assignment_crowded,
+    "clear_mot_crowded": clear_mot_crowded,
+    "global_idf1_crowded": global_idf1_crowded,
     "match_outcomes": _matched(ev.match_outcomes),
     "id_switches": _matched(id_switches),
     "clear_mot": _matched(ev.clear_mot),
