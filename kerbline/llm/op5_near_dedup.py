@@ -497,3 +497,25 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     place = max(docs.columns, key=len) + "_place"  # longer than any name of the table
     with_id = with_id.withColumn(place, F.row_number().over(once)).filter(F.col(place) == 1).drop(place)
     return with_id.unionByName(docs.filter("doc_id is null"))
+
+
+def oracle() -> str:
+    """Shared shingles of all pairs, and components by spreading the smallest id; ids are unique there."""
+    return """
+    with recursive texts as (
+      select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) as w
+      from documents),
+    places as (select doc_id, w, unnest(range(0, greatest(len(w) - 4, least(len(w), 1)))) as i from texts),
+    shingles as (select distinct doc_id, md5(array_to_string(w[i + 1 : i + 5], ' ')) as s from places),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    shared as (
+      select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+    linked as (
+      select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+    edges as (select a, b from linked union all select b, a from linked),
+    reach(doc_id, other) as (
+      select doc_id, doc_id from documents
+      union select reach.doc_id, edges.b from reach join edges on edges.a = reach.other),
+    least as (select doc_id, min(other) as component_id from reach group by doc_id)
+    select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+    from least left join sizes using (doc_id)"""

@@ -468,3 +468,24 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle() -> str:
+    """All strings by their bytes in hexadecimal; ids are unique there."""
+    return f"""
+    with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    sized as (select doc_id, h, length(h) // 2 as n from texts),
+    starts as (select doc_id, h, unnest(range(0, n - {LENGTH - 1})) as i from sized where n >= {LENGTH}),
+    strings as (select doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) as name from starts),
+    again as (select doc_id, i from (select *, count(*) over (partition by name) as times from strings) where times > 1),
+    opened as (select *, lag(i) over (partition by doc_id order by i) as prev from again),
+    numbered as (select *, sum(case when prev is null or i > prev + {LENGTH} then 1 else 0 end) over (partition by doc_id order by i) as run from opened),
+    spans as (select doc_id, run, min(i) as lo, max(i) + {LENGTH} as hi from numbered group by doc_id, run),
+    gaps as (
+      select doc_id, lo, substr(h, 2 * coalesce(lag(hi) over (partition by doc_id order by lo), 0) + 1, 2 * (lo - coalesce(lag(hi) over (partition by doc_id order by lo), 0))) as part
+      from spans join sized using (doc_id)),
+    joined as (select doc_id, string_agg(part, '' order by lo) as front from gaps group by doc_id),
+    totals as (select doc_id, count(*) as n_spans, sum(hi - lo) as n_removed, max(hi) as last from spans group by doc_id)
+    select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+      sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+    from sized left join totals using (doc_id) left join joined using (doc_id)"""

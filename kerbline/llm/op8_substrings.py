@@ -334,3 +334,20 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle() -> str:
+    """All windows by their text; ids are unique there."""
+    return f"""
+    with texts as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+    starts as (select doc_id, unnest(range(0, len(w) - {WINDOW - 1})) as i, w from texts where len(w) >= {WINDOW}),
+    windows as (select doc_id, i, md5(array_to_string(w[i + 1 : i + {WINDOW}], ' ')) as name from starts),
+    later as (select doc_id, i from (select *, min(doc_id) over (partition by name) as least from windows) where doc_id > least),
+    words as (select doc_id, unnest(range(0, len(w))) as place, unnest(w) as word from texts),
+    marked as (
+      select w.doc_id, w.place, w.word, max(l.i) over (partition by w.doc_id order by w.place) as begun
+      from words w left join later l on l.doc_id = w.doc_id and l.i = w.place),
+    kept as (
+      select doc_id, count(*) as n, string_agg(word, ' ' order by place) as text from marked where begun is null or place >= begun + {WINDOW} group by doc_id)
+    select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+    from texts left join kept using (doc_id)"""

@@ -46,6 +46,9 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_licenses": op3_licenses.oracle(),
+        "op5_near_dedup": op5_near_dedup.oracle(),
+        "op7_suffixes": op7_suffixes.oracle(),
+        "op8_substrings": op8_substrings.oracle(),
         "op11_negatives": op11_negatives.oracle(),
         "op12_resampling": op12_resampling.oracle(),
         "op13_mixing": op13_mixing.oracle(),
