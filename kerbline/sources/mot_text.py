@@ -91,6 +91,34 @@ def sequence_summary(detections: DataFrame, fps: int, width: int, height: int) -
     )
 
 
+# The section and fields of the description text that goes with a sequence.
+INFO_SECTION = "[Sequence]"
+INFO_FIELDS = ("name", "imDir", "frameRate", "seqLength", "imWidth", "imHeight", "imExt")
+
+
+def write_sequence_info(summary: DataFrame, path: str, image_dir: str = "img1", image_ext: str = ".jpg") -> None:
+    """The description text of each sequence, in the sequence's folder beside :func:`write_mot`'s."""
+    values = ("sequence_id", F.lit(image_dir), "frame_rate", "seq_length", "im_width", "im_height", F.lit(image_ext))
+    lines = [F.concat(F.lit(f"{field}="), value if not isinstance(value, str) else F.col(value).cast("string")) for field, value in zip(INFO_FIELDS, values, strict=True)]
+    text = F.concat_ws("\n", F.lit(INFO_SECTION), *lines)
+    summary.select("sequence_id", text.alias("value")).write.partitionBy("sequence_id").mode("errorifexists").text(path)
+
+
+def read_sequence_info(spark: SparkSession, path: str) -> DataFrame:
+    """``(sequence_id, name, im_dir, frame_rate, seq_length, im_width, im_height, im_ext)``; a field that is missing is null.
+
+    Lines of other sections and without a value are skipped, names are compared without case.
+    """
+    texts = spark.read.schema("value string, sequence_id string").text(path, wholetext=True)
+    section = F.regexp_extract("value", r"(?is)\[sequence\]([^\[]*)", 1)
+    lines = F.filter(F.split(section, r"\r?\n"), lambda line: F.contains(line, F.lit("=")))
+    pair = lambda line: F.struct(F.lower(F.trim(F.substring_index(line, "=", 1))), F.trim(F.regexp_replace(line, "^[^=]*=", "")))
+    rows = texts.withColumn("m", F.map_from_entries(F.transform(lines, pair)))
+    wanted = dict(zip(INFO_FIELDS, ("name", "im_dir", "frame_rate", "seq_length", "im_width", "im_height", "im_ext"), strict=True))
+    whole = {"frame_rate": "int", "seq_length": "bigint", "im_width": "int", "im_height": "int"}
+    return rows.select("sequence_id", *[F.col("m")[f.lower()].try_cast(whole.get(n, "string")).alias(n) for f, n in wanted.items()])
+
+
 def new_box_filter(drawn: DataFrame, existing: DataFrame, min_side: float = 10) -> DataFrame:
     """Drawn boxes larger than the limit, with new ids above the sequence's largest id.
 

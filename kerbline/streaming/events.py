@@ -291,6 +291,52 @@ def start_star_job(
     return [settings.start(spark, facts), settings.start(spark, rejects)]
 
 
+def late_rows_sink(path: str, delay_seconds: int = 30) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink that writes the rows which arrive behind the watermark, with their lateness, to ``path``.
+
+    Spark drops such rows inside its operators; put this sink on the events before them. Rows of a batch arrive
+    together, so they are held against the latest time of the batches before, like
+    :func:`kerbline.operators.dedup.late_events`. That time is one row beside the late rows, kept for the last two batches:
+    a repeated batch finds the one it was judged by and replaces its rows.
+    """
+
+    def marks(spark: SparkSession, batch_id: int) -> int | None:
+        folder = f"{path}_marks/batch_id={batch_id}"
+        return spark.read.parquet(folder).first()["latest"] if _exists(spark, folder) else None
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = marks(spark, batch_id - 1)
+        at = F.unix_micros("event_timestamp")
+        batch = batch.persist()
+        try:
+            if before is not None:
+                behind = batch.withColumn("late_by_us", F.lit(before - delay_seconds * 1_000_000) - at).filter("late_by_us > 0")
+                behind.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            latest = batch.agg(F.greatest(F.max(at), F.lit(before).cast("bigint")).alias("latest"))
+            latest.write.mode("overwrite").parquet(f"{path}_marks/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+        files, folder = _folder(spark, f"{path}_marks/batch_id={batch_id - 2}")
+        files.delete(folder, True)
+
+    return sink
+
+
+def missing_events_stream(sent: DataFrame, landed: DataFrame, within: str = "1 minute", delay: str = "30 seconds") -> DataFrame:
+    """Sent events that have not landed ``within`` their time: ``(event_id, sent_at)``, as soon as that time is over.
+
+    ``sent(event_id, sent_at)`` and ``landed(event_id, landed_at)`` are streams; the batch form is
+    :func:`kerbline.sources.event_json.missing_events`. An event comes out when the watermarks of both sides have passed
+    its time, so a later row on either side releases what waits.
+    """
+    left = sent.select(F.col("event_id").alias("sent_id"), "sent_at").withWatermark("sent_at", delay)
+    right = landed.select("event_id", "landed_at").withWatermark("landed_at", delay)
+    in_time = F.expr(f"landed_at >= sent_at and landed_at <= sent_at + interval {within}")
+    both = left.join(right, (F.col("sent_id") == F.col("event_id")) & in_time, "left_outer")
+    return both.filter("event_id is null").select(F.col("sent_id").alias("event_id"), "sent_at")
+
+
 class LateRows(StreamingQueryListener):
     """Rows that stateful operators dropped as late, summed per query over its whole run.
 

@@ -27,3 +27,18 @@ def test_propagate_stops_at_the_last_frame(spark):
     last = spark.createDataFrame([("s", 4)], "sequence_id STRING, last_frame BIGINT")
     got = sorted((r.frame, r.id, r.bb_left) for r in mt.propagate_boxes(boxes, boxes.filter("id = 1"), 5, last).collect())
     assert got == [(1, 1, 0.0), (2, 1, 0.0), (3, 1, 9.0), (4, 1, 0.0), (4, 2, 0.0)]
+
+
+def test_sequence_descriptions(spark, tmp_path):
+    schema = "sequence_id STRING, frame_rate INT, seq_length BIGINT, im_width INT, im_height INT"
+    rows = [("0_s0", 25, 3000, 1280, 720), ("1_s0", 30, 12, 640, 480)]
+    mt.write_sequence_info(spark.createDataFrame(rows, schema), f"{tmp_path}/info")
+    text = next((tmp_path / "info" / "sequence_id=0_s0").glob("part-*")).read_text()
+    assert text.splitlines() == [
+        "[Sequence]", "name=0_s0", "imDir=img1", "frameRate=25", "seqLength=3000", "imWidth=1280", "imHeight=720", "imExt=.jpg",
+    ]
+    odd = tmp_path / "info" / "sequence_id=odd"
+    odd.mkdir()
+    (odd / "a.txt").write_text("[Other]\nname=no\n[Sequence]\r\nNAME = x = y\nframeRate=fast\nnothing\nseqLength= 7 \n[End]\nimWidth=1\n")
+    got = sorted(tuple(r) for r in mt.read_sequence_info(spark, f"{tmp_path}/info").collect())
+    assert got == [(*[s, s], "img1", *rest, ".jpg") for s, *rest in rows] + [("odd", "x = y", None, None, 7, None, None, None)]

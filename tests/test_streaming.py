@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators.dedup import dedup_batch
+from kerbline.operators.dedup import dedup_batch, late_events
 from kerbline import session
 from kerbline.plans import inputs
 from kerbline.sources import event_json as ej
@@ -270,3 +270,53 @@ def test_merged_dates_read_like_their_batches(spark, tmp_path, sf_dir):
     files = se.read_table(spark, tables.fact, days[:1]).inputFiles()
     assert files and all(f"date={days[0]}" in f for f in files)
     assert se.read_table(spark, f"{tmp_path}/nowhere") is None
+
+
+def drain(stream, sink, checkpoint):
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def test_late_rows_come_out_as_rows(spark, tmp_path):
+    seconds = [0, 40, 5, 90, 59, 61, 10, 300, 0, 269, 271]
+    rows = [(f"e{i}", i, START + timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    schema = "event_id STRING, arrival BIGINT, event_timestamp TIMESTAMP"
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i:03d}")
+        for f in os.listdir(f"{tmp_path}/in/{i:03d}"):
+            os.utime(f"{tmp_path}/in/{i:03d}/{f}", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    sink = se.late_rows_sink(f"{tmp_path}/late")
+    drain(stream, sink, f"{tmp_path}/cp")
+    batch = late_events(spark.createDataFrame(rows, schema), "arrival")
+    want = sorted((r.event_id, r.late_by_us) for r in batch.collect())
+
+    def got():
+        return sorted((r.event_id, r.late_by_us) for r in spark.read.parquet(f"{tmp_path}/late").collect())
+
+    assert want and got() == want
+    last = len(rows) - 1
+    sink(spark.createDataFrame(rows[last:], schema), last)  # the last batch again
+    assert got() == want and len(os.listdir(f"{tmp_path}/late_marks")) <= 3
+
+
+def test_missing_events_on_a_stream(spark, tmp_path):
+    """After a later row on both sides the rows of the batch query."""
+    at = lambda s: START + timedelta(seconds=s)
+    sent = [(f"e{i}", at(10 * i)) for i in range(12)]
+    landed = [(f"e{i}", at(10 * i + (5 if i != 7 else 500))) for i in range(12) if i % 4 != 1]
+    later = [("beat", at(3600))]
+    for name, rows, column in (("sent", sent, "sent_at"), ("landed", landed, "landed_at")):
+        schema = f"event_id STRING, {column} TIMESTAMP"
+        for i, part in enumerate((rows[:6], rows[6:], later)):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/{i}")
+    sides = [
+        spark.readStream.schema(f"event_id STRING, {n}_at TIMESTAMP").parquet(f"{tmp_path}/{n}/*") for n in ("sent", "landed")
+    ]
+    query = (
+        se.missing_events_stream(*sides).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = {r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {"e1", "e5", "e9", "e7"}  # the seventh landed too late
