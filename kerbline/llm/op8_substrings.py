@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.sent import Sent, groups, layout
-from kerbline.llm.text import Prefix, Texts, grams, mix, powers, slices, within, words
+from kerbline.llm.text import SLICE_BYTES, Prefix, Texts, grams, mix, powers, slices, within, words
 from kerbline.session import cut_lineage
 
 WINDOW = 50
@@ -209,10 +209,18 @@ def _judged(parts: list, buckets: int):
     yield _ranges(ids[later], marks[later], place[later], place[later] + count[later] + WINDOW - 1)
     on = order[ids[order] == np.repeat(least, copies)]
     on = on[_once(place[on], marks[on], ids[on], name[on])]
-    ids, marks, place, hot = ids[on], marks[on], place[on], hot[on]
-    which, step, one, two = _cut_again([text[e - n : e] for e, n in zip(end[on].tolist(), length[on].tolist(), strict=True)], count[on])
-    columns = [ids[which], marks[which], place[which] + step, one, two]
-    cold = ~hot[which]
+    ids, marks, place, hot, count, end, length = (c[on] for c in (ids, marks, place, hot, count, end, length))
+    # A megabyte of strings is cut at a time; only the columns of the windows stay.
+    cuts = np.flatnonzero(np.diff(np.cumsum(length) // SLICE_BYTES, prepend=0)).tolist()
+    columns, cold = [[], [], [], [], []], []
+    for a, b in zip([0, *cuts], [*cuts, len(on)], strict=True):
+        if a < b:
+            strings = [text[e - n : e] for e, n in zip(end[a:b].tolist(), length[a:b].tolist(), strict=True)]
+            which, step, one, two = _cut_again(strings, count[a:b])
+            for column, more in zip(columns, (ids[a:b][which], marks[a:b][which], place[a:b][which] + step, one, two), strict=True):
+                column.append(more)
+            cold.append(~hot[a:b][which])
+    columns, cold = [np.concatenate(c) for c in columns], np.concatenate(cold)
     if cold.any():
         yield _later([c[cold] for c in columns])
     if not cold.all():
