@@ -224,12 +224,44 @@ def fragmentations(gt: DataFrame, matches: DataFrame, keys: Sequence[str] = SEQ,
     return per_track.groupBy(*keys).agg(F.sum("fragments").alias("fragmentations"))
 
 
+#: Rounds of taking dominant pairs; a longer chain of them is left to the solver.
+DOMINANT_ROUNDS = 20
+
+
+def dominant_pairs(overlaps: DataFrame, keys: Sequence[str] = SEQ) -> tuple[DataFrame | None, DataFrame]:
+    """Pairs that belong to a best matching by their weight alone, and the pairs that are left.
+
+    A pair that weighs as much as the heaviest other pair of its truth track and the heaviest other one of its prediction
+    together can replace both in any matching. Taking it removes the pairs of its two tracks, which makes others dominant. Each round
+    is grouped work of the whole table, so a large tangle is cut to small ones without one task holding it.
+    """
+    columns = [*keys, "gt_id", "pred_id", "frames"]
+    taken, left = None, overlaps
+    for _ in range(DOMINANT_ROUNDS):
+        ranked = left
+        for side, other in (("gt", "pred"), ("pred", "gt")):
+            order = W.partitionBy(*keys, f"{side}_id").orderBy(F.desc("frames"), f"{other}_id")
+            whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+            ranked = ranked.withColumns(
+                {f"_{side}_no": F.row_number().over(order), f"_{side}_next": F.coalesce(F.nth_value("frames", 2).over(whole), F.lit(0))}
+            )
+        first = (F.col("_gt_no") == 1) & (F.col("_pred_no") == 1)
+        chosen = cut_lineage(ranked.filter(first & (F.col("frames") >= F.col("_gt_next") + F.col("_pred_next"))).select(*columns))
+        if chosen.isEmpty():
+            break
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        for side in ("gt_id", "pred_id"):
+            left = left.join(chosen.select(*keys, side), [*keys, side], "left_anti")
+        left = cut_lineage(left.select(*columns))
+    return taken, left
+
+
 def track_assignment(overlaps: DataFrame, keys: Sequence[str] = SEQ) -> DataFrame:
     """One-to-one match of truth tracks to predicted tracks with the most shared frames.
 
     ``overlaps(keys..., gt_id, pred_id, frames)`` is split by shape. A star, whose centre is
-    the only partner of all its leaves, is decided by a maximum. What remains is cut into
-    connected components, and each component is solved on its own.
+    the only partner of all its leaves, is decided by a maximum. Then dominant pairs are taken.
+    What remains is cut into connected components, and each component is solved on its own.
     """
     gt_side, pred_side = W.partitionBy(*keys, "gt_id"), W.partitionBy(*keys, "pred_id")
     shaped = overlaps.withColumns({"_g": F.count("*").over(gt_side), "_p": F.count("*").over(pred_side)})
@@ -246,6 +278,11 @@ def track_assignment(overlaps: DataFrame, keys: Sequence[str] = SEQ) -> DataFram
     rest = cut_lineage(shaped.filter(~gt_star & ~pred_star).select(*columns))
     if rest.isEmpty():
         return easy
+    taken, rest = dominant_pairs(rest, keys)
+    if taken is not None:
+        easy = easy.unionByName(taken)
+    if rest.isEmpty():
+        return easy
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["gt_id", "pred_id"])

@@ -107,3 +107,26 @@ def test_empty_sides(spark):
     assert (r.mota, r.motp, r.idf1, r.precision, r.fn, r.fp) == (0.0, 0.0, 0.0, 0.0, len(gt), 0)
     r = ev.clear_mot(none, g, ev.frame_assignment(none, g)).first()
     assert (r.mota, r.recall, r.fp) == (0.0, 0.0, len(gt))
+
+
+@pytest.mark.parametrize("shape", ["sparse", "tangled", "equal weights", "drifting tracks"])
+def test_dominant_pairs_keep_the_best_total(spark, shape):
+    rng = random.Random(shape)
+    edges = {}
+    for unit in "ab":
+        for _ in range({"sparse": 60, "tangled": 160, "equal weights": 90}.get(shape, 0)):
+            edges[unit, rng.randrange(25), rng.randrange(25)] = 3 if shape == "equal weights" else rng.randrange(1, 40)
+        for g in range(30 if shape == "drifting tracks" else 0):  # a chain: each track passes its prediction on to the next
+            edges |= {(unit, g, g): rng.randrange(20, 50), (unit, g, g + 1): rng.randrange(1, 9), (unit, g + 1, g): rng.randrange(1, 9)}
+    rows = [(*k, w) for k, w in edges.items()]
+    df = spark.createDataFrame(rows, "sequence_id STRING, gt_id BIGINT, pred_id BIGINT, frames BIGINT")
+    taken, left = ev.dominant_pairs(df)
+    got = ev.track_assignment(df).collect()
+    for unit in "ab":
+        own = [r for r in got if r.sequence_id == unit]
+        assert len({r.gt_id for r in own}) == len({r.pred_id for r in own}) == len(own)
+        assert all(edges[unit, r.gt_id, r.pred_id] == r.frames for r in own)
+        g, p, w = (np.array(c) for c in zip(*((k[1], k[2], w) for k, w in edges.items() if k[0] == unit), strict=True))
+        assert sum(r.frames for r in own) == w[solve_edges(g, p, w.astype(float))].sum()
+    if shape == "drifting tracks":
+        assert left.isEmpty() and taken.count() > 40
