@@ -46,6 +46,8 @@ DEPTH = 4
 TARGET = 0.9995
 #: Classes of a node that are paired by sketch, and that are compared exhaustively.
 PAIRED, SMALL = 256, 2048
+#: Rounds of two levels before the members of a node that has not parted are compared block by block.
+ROUNDS = 60
 #: Members that stand for a larger node in one round.
 PIVOTS = 6
 #: Similarity in hundredths.
@@ -390,6 +392,14 @@ def _grouped(small: DataFrame, *more: str) -> DataFrame:
     return small.groupBy("node").agg(F.collect_list(F.struct("cid", "doc", "n", "s0", "s1", *more)).alias("members"))
 
 
+def _in_blocks(big: DataFrame) -> DataFrame:
+    """Members of nodes that do not part, as nodes of two blocks each: every two blocks of a node meet once."""
+    blocks = F.ceil(F.col("size") / (SMALL // 2)).cast("int")
+    own = F.pmod(F.xxhash64("node", "cid"), blocks).cast("int")
+    dealt = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
+
+
 def _compared(mixed: DataFrame, documents: DataFrame) -> DataFrame:
     """Links between components inside nodes of up to SMALL members."""
     rest = _grouped(mixed, "component").mapInArrow(_undecided, "node long, cid long, doc long, component long")
@@ -446,8 +456,8 @@ def _descended(classes: DataFrame, documents: DataFrame, known: DataFrame | None
         if big.isEmpty():
             return links, deep
         round_ += 1
-        if round_ > 60:
-            raise RuntimeError("a node of unlinked sets did not part")
+        if round_ > ROUNDS:
+            return cut_lineage(links.unionByName(_compared(_in_blocks(big), documents))), deep
         here = big.select("cid").distinct().withColumn("depth", F.lit(DEPTH + 2 * round_))
         deep = here if deep is None else here.unionByName(deep)
         deep = cut_lineage(deep.groupBy("cid").agg(F.max("depth").alias("depth")))

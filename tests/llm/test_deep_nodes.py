@@ -58,3 +58,18 @@ def test_deep_classes_get_fresh_tokens(spark, monkeypatch):
         rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other))]
     check_near(spark, rows)
     assert used[:2] == [0, 1]
+
+
+def test_nodes_that_do_not_part_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "PAIRED", 4)
+    monkeypatch.setattr(near, "SMALL", 12)
+    monkeypatch.setattr(near, "ROUNDS", 0)
+    rng = random.Random(32)
+    template, rows = prose(rng, 120, 10**6).split(), []
+    for k in range(30):
+        one = template + [f"u{rng.randrange(10**9)}" for _ in range(50)]
+        other = list(one)
+        for at in rng.sample(range(5, 165, 8), 4):
+            other[at] = f"v{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other))]
+    check_near(spark, rows)
