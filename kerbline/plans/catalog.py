@@ -240,6 +240,23 @@ def missing_events(spark, sf_dir):
     return ej.missing_events(*_sent_and_landed(spark, sf_dir)).select("run_id", "event_id")
 
 
+def missing_events_stream(spark, sf_dir):
+    """The same on two streams; a later row on either side then releases what still waits."""
+    root = scratch_path(spark, "missing")
+    sides = {"sent": _sent_and_landed(spark, sf_dir)[0].select("event_id", "sent_at"), "landed": _sent_and_landed(spark, sf_dir)[1]}
+    for name, rows in sides.items():
+        rows.write.parquet(f"{root}/{name}")
+    last = spark.read.parquet(f"{root}/landed").agg(F.max("landed_at").alias("at"))
+    for more in (False, True):
+        for name in sides if more else ():
+            beat = last.select(F.lit(None).cast("string").alias("event_id"), (F.col("at") + F.expr("INTERVAL 1 DAY")).alias(f"{name}_at"))
+            beat.write.mode("append").parquet(f"{root}/{name}")
+        streams = [spark.readStream.schema(rows.schema).parquet(f"{root}/{name}") for name, rows in sides.items()]
+        sink = se.missing_events_stream(*streams).writeStream.format("parquet").option("path", f"{root}/out")
+        _drain(spark, sink, f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").select("event_id", "sent_at")
+
+
 # --- B, C: boxes and associations -----------------------------------------------------
 
 
@@ -369,6 +386,21 @@ def late_events(spark, sf_dir):
     return dedup.late_events(arrivals, "arrival_no").select("event_id", "late_by_us")
 
 
+def late_rows_stream(spark, sf_dir):
+    """The same events in six deliveries, one batch each; late rows are a table beside the stream."""
+    root = scratch_path(spark, "late")
+    n = F.col("event_id").cast("bigint")
+    back = F.when(n % 13 == 0, F.expr("INTERVAL 10 MINUTE")).otherwise(F.expr("INTERVAL 0 MINUTE"))
+    arrivals = inputs.violation_events(spark, sf_dir).select("event_id", n.alias("n"), (F.col("event_timestamp") - back).alias("event_timestamp"))
+    arrivals = cut_lineage(arrivals)
+    count = arrivals.agg(F.max("n").alias("top")).first().top + 1
+    for delivery in range(6):
+        arrivals.filter(F.expr(f"n * 6 div {count}") == delivery).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(arrivals.schema).parquet(f"{root}/in")
+        _drain(spark, stream.writeStream.foreachBatch(se.late_rows_sink(f"{root}/out")), f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").select("event_id", "late_by_us")
+
+
 def dim_time_new(spark, sf_dir):
     rows = star.dim_time_rows(inputs.enriched_events(spark, sf_dir))
     return star.dim_time_new(rows, rows.filter(F.col("date") < F.lit(AS_OF).cast("date"))).select(rows.columns)
@@ -484,6 +516,7 @@ QUERIES: dict[str, Query] = {
     "constraint_violations": constraint_violations,
     "publish_reconciliation": publish_reconciliation,
     "missing_events": missing_events,
+    "missing_events_stream": missing_events_stream,
     # B
     "frame_stride": frame_stride,
     "class_names": class_names,
@@ -531,6 +564,7 @@ QUERIES: dict[str, Query] = {
     "dedup_stream": dedup_stream,
     "dedup_batch": dedup_batch,
     "late_events": late_events,
+    "late_rows_stream": late_rows_stream,
     "dim_time_rows": lambda s, p: star.dim_time_rows(inputs.enriched_events(s, p)),
     "dim_time_new": dim_time_new,
     "fact_rows": inputs.fact,
