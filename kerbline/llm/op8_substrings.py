@@ -37,7 +37,7 @@ from kerbline.session import cut_lineage
 WINDOW = 50
 GRAM = 6
 #: Bytes of texts for each bucket, bytes of a minimiser's strings before they are split, and how many may be split.
-BUCKET, HOT, MOST_HOT = 4 << 20, 8 << 20, 1 << 20
+BUCKET, HOT, MOST_HOT = 2 << 20, 8 << 20, 1 << 20
 #: Bytes of strings that a task combines before it sends.
 BUFFER = 16 << 20
 
