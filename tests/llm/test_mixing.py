@@ -53,8 +53,13 @@ def cases(kind):
     return [(k, prose(rng, rng.randrange(1, 300)), "hot" if k % 3 else f"s{k % 11}") for k in range(400)]
 
 
-@pytest.mark.parametrize("kind", ["awkward", "many sources", "one row often", "hot source"])
-@pytest.mark.parametrize("mix", [mixing.Mix(block=16), mixing.Mix(weights=(3, 1), volume=0.8, repeats=1, block=7), mixing.Mix(volume=2.5, repeats=3)])
+SMALL, ONCE, WHOLE = mixing.Mix(block=16), mixing.Mix(weights=(3, 1), volume=0.8, repeats=1, block=7), mixing.Mix(volume=2.5, repeats=3)
+
+
+@pytest.mark.parametrize(
+    ("kind", "mix"),
+    [("awkward", SMALL), ("awkward", WHOLE), ("many sources", SMALL), ("many sources", ONCE), ("one row often", SMALL), ("hot source", ONCE)],
+)
 def test_taken_words(spark, monkeypatch, kind, mix):
     monkeypatch.setattr(regular, "SEGMENT", 40)
     monkeypatch.setattr(mixing, "CHUNK", 9)
