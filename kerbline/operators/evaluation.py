@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -61,12 +62,14 @@ def _solve_frames(keys: Sequence[str]):
     columns = [*keys, "frame", "gt_id", "pred_id", "iou"]
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
+        # A box is its frame and its id, so the frames of a block are one edge list whose components stay inside frames.
         group = group.sort_values(["frame", "gt_id", "pred_id"])
-        kept = []
-        for _, edges in group.groupby("frame", sort=False):
-            mask = solve_edges(edges["gt_id"].to_numpy(), edges["pred_id"].to_numpy(), edges["iou"].to_numpy())
-            kept.append(edges[mask])
-        return pd.concat(kept)[columns] if kept else group[columns].iloc[:0]
+        _, frame = np.unique(group["frame"].to_numpy(), return_inverse=True)
+        ends = []
+        for side in ("gt_id", "pred_id"):
+            ids, code = np.unique(group[side].to_numpy(), return_inverse=True)
+            ends.append(frame * len(ids) + code)
+        return group.loc[solve_edges(*ends, group["iou"].to_numpy()), columns]
 
     return solve
 

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from kerbline.operators import assign
 from kerbline.operators import evaluation as ev
 from kerbline.operators.assign import best_pairs, solve_edges
 from kerbline.operators.graph import connected_components
@@ -36,6 +37,22 @@ def test_solve_edges_splits_components():
     assert solve_edges(left, right, np.array([0.9, 0.8, 0.7, 0.1])).tolist() == [True, False, True, True]
 
 
+def test_components_of_one_shape_are_solved_together(monkeypatch):
+    """The choices are those of each component on its own, ties included, and the steps do not grow with the components."""
+    rng = np.random.default_rng(3)
+    edges = [(100 * k + i, 100 * k + j) for k in range(600) for i in range(rng.integers(1, 5)) for j in range(rng.integers(1, 5)) if rng.random() < 0.6]
+    left, right = np.array(edges).T
+    weight = rng.integers(1, 4, len(edges)) / 4
+    want = np.concatenate([solve_edges(*(x[left // 100 == k] for x in (left, right, weight))) for k in np.unique(left // 100)])
+    calls = []
+    monkeypatch.setattr(assign, "best_pairs", lambda w: calls.append(w.shape) or best_pairs(w))
+    assert (solve_edges(left, right, weight) == want).all() and len(calls) == len(set(calls)) <= 16
+    for _ in range(50):
+        w = rng.integers(0, 4, (5, rng.integers(1, 6), rng.integers(1, 6))) / 4
+        chosen = assign.best_columns(w)
+        assert [[(i, j) for i, j in enumerate(row) if j >= 0] for row in chosen.tolist()] == [best_pairs(one) for one in w]
+
+
 def crowd(seed, n_frames=40):
     rng = random.Random(seed)
     gt, pred = [], []
