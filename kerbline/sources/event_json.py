@@ -26,10 +26,11 @@ def parse_events(messages: DataFrame, arrival: str | None = None) -> DataFrame:
     """JSON text in ``value`` to typed columns and ``event_timestamp``.
 
     Text that is no JSON gives a row of NULLs, a field of the wrong type gives NULL in that
-    field, and a time that does not parse gives a NULL ``event_timestamp``.
+    field, and a time that does not parse gives a NULL ``event_timestamp``. The text is parsed once: as the
+    output of an ``explode`` of one element it is not copied into the conditions of later filters.
     """
     parsed = messages.select(
-        F.from_json(F.col("value").cast("string"), WIRE_EVENT).alias("e"),
+        F.explode(F.array(F.from_json(F.col("value").cast("string"), WIRE_EVENT))).alias("e"),
         *([F.col(arrival).alias("kafka_timestamp")] if arrival else []),
         F.col("value").cast("string").alias("raw_value"),
     )

@@ -320,3 +320,14 @@ def test_missing_events_on_a_stream(spark, tmp_path):
     query.awaitTermination()
     got = {r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {"e1", "e5", "e9", "e7"}  # the seventh landed too late
+
+
+def test_text_is_parsed_once(spark):
+    """Conditions on parsed fields do not parse the text again."""
+    lines = [message("a", 1, 0), "no json", None, message("b", "x", 1), message("c", 2, 2, timestamp="not-a-time")]
+    parsed = ej.parse_events(spark.createDataFrame([(v,) for v in lines], "value STRING"))
+    for kept in (ej.quarantine_events(parsed), ej.valid_events(parsed)):
+        assert kept._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+    assert [r.event_id for r in ej.valid_events(parsed).collect()] == ["a"]
+    found = sorted((str(r.event_id), r.track_id, r.reject_reason.count("missing")) for r in ej.quarantine_events(parsed).collect())
+    assert found == [("None", None, 6), ("None", None, 6), ("b", None, 1), ("c", 2, 1)]
