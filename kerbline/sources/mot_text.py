@@ -67,10 +67,21 @@ def write_mot(rows: DataFrame, path: str) -> None:
     ordered.write.partitionBy("sequence_id").mode("errorifexists").csv(path)
 
 
+#: Parts that the boxes of one sequence are dealt to.
+SEQUENCE_PARTS = 128
+
+
 def annotation_source(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """Per sequence the truth boxes if there are any, else the predictions."""
-    with_truth = gt.select("sequence_id").distinct()
-    return gt.unionByName(pred.join(with_truth, "sequence_id", "left_anti"))
+    """Per sequence the truth boxes if there are any, else the predictions.
+
+    A sequence may hold any share of the predictions: its boxes are dealt to parts, and the one row of a
+    sequence with truth is there for each part.
+    """
+    parts = F.sequence(F.lit(0), F.lit(SEQUENCE_PARTS - 1))
+    with_truth = gt.select("sequence_id").distinct().withColumn("_part", F.explode(parts))
+    dealt = pred.withColumn("_part", F.pmod(F.xxhash64("frame", "id"), F.lit(SEQUENCE_PARTS)).cast("int"))
+    kept = dealt.join(with_truth, ["sequence_id", "_part"], "left_anti")
+    return gt.unionByName(kept.select(*pred.columns))
 
 
 def sequence_summary(detections: DataFrame, fps: int, width: int, height: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """MOT text files: write, read, odd lines."""
 
+from pyspark.sql import functions as F
+
 from kerbline.plans import inputs
 from kerbline.sources import mot_text as mt
 
@@ -42,3 +44,22 @@ def test_sequence_descriptions(spark, tmp_path):
     (odd / "a.txt").write_text("[Other]\nname=no\n[Sequence]\r\nNAME = x = y\nframeRate=fast\nnothing\nseqLength= 7 \n[End]\nimWidth=1\n")
     got = sorted(tuple(r) for r in mt.read_sequence_info(spark, f"{tmp_path}/info").collect())
     assert got == [(*[s, s], "img1", *rest, ".jpg") for s, *rest in rows] + [("odd", "x = y", None, None, 7, None, None, None)]
+
+
+def test_boxes_of_a_sequence_are_dealt_out(spark):
+    """One long sequence does not meet in one task; sequences without truth and without a name keep their predictions."""
+    box = [F.lit(1.0).alias(c) for c in mt.MOT_FIELDS[2:7]]
+    rows = spark.range(4000).select(F.element_at(F.array(*map(F.lit, ["long", "other", None])), (F.col("id") % 3 + 1).cast("int")).alias("sequence_id"), F.col("id").alias("frame"), "id", *box, F.lit(1).alias("class_id"))
+    truth = rows.filter("sequence_id = 'long' and id < 30")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kept = mt.annotation_source(truth, rows.filter("sequence_id = 'other' or sequence_id is null"))
+        largest = kept.filter("sequence_id = 'other'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        whole = mt.annotation_source(truth, rows)
+        assert whole.filter("sequence_id = 'long'").count() == truth.count() == 10
+        assert whole.filter("sequence_id is null or sequence_id = 'other'").count() == rows.filter("sequence_id is null or sequence_id = 'other'").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert largest < 700
