@@ -1,7 +1,7 @@
 """The N-frame confirmation rule on a stream of frames.
 
 One message is one non-empty frame: its number, its tick and its boxes. Association happens
-inside the message; its trigger rows then wait per track until the watermark has passed them
+inside the message; its trigger rows then wait until the watermark has passed them, the tracks dealt to ``GROUPS`` entries of the state,
 (:mod:`kerbline.streaming.ordered_state`), so frames may arrive in any order within the watermark delay. What is
 carried on is small: clock of the last hit, frozen rows, streak, sum of confidences. Misses need no rows, they
 follow from the clock at the next hit.
@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,47 +76,95 @@ class Streak:
     violated: bool = False
 
 
+NEW = Streak()
+#: Entries of the state that tracks are dealt to. Each costs some calls per batch, however many tracks it holds.
+GROUPS = 4096
+
+
+def _tracks(rows) -> tuple[np.ndarray, list[str]]:
+    """Number of each row's track, and the names of the tracks."""
+    code, names = pd.factorize(rows["key_name"])
+    return code, names.tolist()
+
+
 class _Confirm(InTimeOrder):
-    """Streaks of one track, in the order of its ticks."""
+    """Streaks of the tracks of a group, in the order of their ticks. The carried state is a streak per track."""
 
-    time, ties = "frame_time", ("tick",)
+    time, ties, several = "frame_time", ("tick",), True
 
     def __init__(self, rule: Confirmation, idle_ms: int):
         self.rule, self.idle_ms = rule, idle_ms
 
     def wanted(self, carry, rows):
-        carry = carry or Streak()
-        carry = replace(carry, seen_ms=max(carry.seen_ms, int(micros(rows["frame_time"]).max()) // 1000))
-        return carry, rows.iloc[:0] if carry.violated else rows
+        carry = dict(carry or {})
+        code, names = _tracks(rows)
+        seen = np.zeros(len(names), np.int64)
+        np.maximum.at(seen, code, micros(rows["frame_time"]) // 1000)
+        open_ = np.ones(len(names), bool)
+        for i, (name, at) in enumerate(zip(names, seen.tolist(), strict=True)):
+            streak = carry.get(name, NEW)
+            carry[name] = replace(streak, seen_ms=max(streak.seen_ms, at))
+            open_[i] = not streak.violated
+        return carry, rows if open_.all() else rows[open_[code]]
 
     def expires(self, carry):
-        return carry.seen_ms + self.idle_ms
+        return min(s.seen_ms for s in carry.values()) + self.idle_ms if carry else None
+
+    def pruned(self, carry, mark):
+        return {name: s for name, s in carry.items() if s.seen_ms + self.idle_ms > mark} if carry else None
 
     def judge(self, carry, rows):
+        carry = dict(carry or {})
+        code, names = _tracks(rows)
+        streaks = [carry.get(name, NEW) for name in names]
+        held = {f: np.array([getattr(s, f) for s in streaks]) for f in ("last_tick", "frozen", "length", "total", "violated")}
+        started = np.array([s.clock is not None for s in streaks])
+        held["clock"] = np.array([s.clock or 0 for s in streaks])
         # The same frame again is a repeat; what is behind the last tick otherwise was late and is counted by Spark.
-        rows = rows[(rows["tick"] > carry.last_tick).to_numpy()].drop_duplicates("tick")
-        if carry.violated or not len(rows):
+        tick = rows["tick"].to_numpy(np.int64)
+        fresh = (tick > held["last_tick"][code]) & ~held["violated"][code]
+        fresh[fresh] = ~pd.DataFrame({"code": code[fresh], "tick": tick[fresh]}).duplicated().to_numpy()
+        # Track by track, in the order of time.
+        order = np.flatnonzero(fresh)
+        order = order[np.argsort(code[order], kind="stable")]
+        if not len(order):
             return carry, None
-        hit, tick = rows["hit"].to_numpy(bool), rows["tick"].to_numpy(np.int64)
-        frozen = carry.frozen + np.cumsum(~hit)
-        carry = replace(carry, last_tick=int(tick[-1]), frozen=int(frozen[-1]))
+        code, tick, hit = code[order], tick[order], rows["hit"].to_numpy(bool)[order]
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        ends = np.append(starts[1:], len(code)) - 1
+        which = code[starts]
+        frozen = np.cumsum(~hit)
+        frozen += np.repeat(held["frozen"][which] - (frozen - ~hit)[starts], np.diff(np.append(starts, len(code))))
+        for t, last, still in zip(which.tolist(), tick[ends].tolist(), frozen[ends].tolist(), strict=True):
+            carry[names[t]] = replace(streaks[t], last_tick=last, frozen=still)
         at = np.flatnonzero(hit)
         if not len(at):
             return carry, None
-        clock, confidence = (tick - frozen)[at], rows["confidence"].to_numpy(np.float64)[at]
-        step = np.diff(clock, prepend=clock[0] if carry.clock is None else carry.clock)
-        opens = step > self.rule.patience + 1
-        opens[0] |= carry.clock is None
-        # The first hit of each one's streak here, -1 where the streak began before these rows.
-        begin = np.maximum.accumulate(np.where(opens, np.arange(len(at)), -1))
-        length = np.arange(len(at)) - np.maximum(begin, 0) + 1 + np.where(begin < 0, carry.length, 0)
-        done = np.flatnonzero(length >= self.rule.frames)
-        i = int(done[0]) if len(done) else len(at) - 1
-        total = float(confidence[max(begin[i], 0) : i + 1].sum()) + (carry.total if begin[i] < 0 else 0.0)
-        carry = replace(carry, clock=int(clock[i]), length=int(length[i]), total=total, violated=bool(len(done)))
-        if not carry.violated:
+        owner, clock, confidence = code[at], (tick - frozen)[at], rows["confidence"].to_numpy(np.float64)[order[at]]
+        number = np.arange(len(at))
+        first = np.diff(owner, prepend=-1) != 0
+        step = clock - np.where(first, held["clock"][owner], np.roll(clock, 1))
+        opens = (step > self.rule.patience + 1) | (first & ~started[owner])
+        # The first hit of each one's streak here; the streak may have begun before these rows.
+        begin = np.maximum.accumulate(np.where(opens | first, number, 0))
+        older = ~opens[begin]
+        length = number - begin + 1 + np.where(older, held["length"][owner], 0)
+        done = length >= self.rule.frames
+        # Of each track the first hit that confirms, else the last one.
+        heads = np.flatnonzero(first)
+        i = np.append(heads[1:], len(at)) - 1
+        reached = np.flatnonzero(done)
+        owners, earliest = np.unique(owner[reached], return_index=True)
+        i[np.searchsorted(owner[heads], owners)] = reached[earliest]
+        sums = np.add.reduceat(np.append(confidence, 0.0), np.column_stack([begin[i], i + 1]).ravel())[::2]
+        total = sums + np.where(older[i], held["total"][owner[i]], 0.0)
+        for t, c, n, s, v in zip(owner[i].tolist(), clock[i].tolist(), length[i].tolist(), total.tolist(), done[i].tolist(), strict=True):
+            carry[names[t]] = replace(carry[names[t]], clock=c, length=n, total=s, violated=v)
+        confirmed = done[i]
+        if not confirmed.any():
             return carry, None
-        return carry, rows.iloc[[at[i]]].assign(confidence=total / length[i])[COLUMNS]
+        found = rows.iloc[order[at[i[confirmed]]]]
+        return carry, found.assign(confidence=(total / length[i])[confirmed])[COLUMNS]
 
 
 def confirm_stream(
@@ -130,7 +179,7 @@ def confirm_stream(
     on a lost track within seconds and does not use its id again.
     """
     rows = trigger_rows(messages.withWatermark("frame_time", delay), rule)
-    found = in_time_order(rows, list(TRACK), _Confirm(rule, idle_seconds * 1000), OUTPUT)
+    found = in_time_order(rows, list(TRACK), _Confirm(rule, idle_seconds * 1000), OUTPUT, GROUPS)
     return found.select(
         F.md5(F.concat_ws("|", *TRACK)).alias("event_id"),
         *TRACK,

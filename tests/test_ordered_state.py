@@ -188,3 +188,58 @@ def test_many_waiting_rows_of_one_key(spark, tmp_path, monkeypatch):
     query.awaitTermination()
     got = sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == sorted(r.event_id for r in dedup_batch(spark.createDataFrame(rows, schema), 30).collect())
+
+
+def track_frame(rng, tracks, ticks):
+    rows = [(f"t{t}", t, k) for t in range(tracks) for k in range(1, ticks + 1) if rng.random() < 0.5]
+    frame = pd.DataFrame(rows, columns=["key_name", "track_id", "tick"])
+    frame["frame_number"] = frame["tick"]
+    frame["frame_time"] = pd.to_datetime(START) + pd.to_timedelta(frame["tick"] * 40, unit="ms")
+    frame["hit"] = rng.random(len(frame)) < 0.6
+    frame["confidence"] = rng.integers(30, 100, len(frame)) / 100
+    return frame.assign(camera_id=1, session_id="s", class_id=1, x1=0.0, y1=0.0, x2=1.0, y2=1.0)
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 12])
+@pytest.mark.parametrize("most", [40, 8192])
+def test_tracks_of_a_group_are_judged_one_by_one(monkeypatch, cuts, most):
+    """Tracks share an entry of the state; each has the violation that it has alone, by a plain loop."""
+    monkeypatch.setattr(os_, "MOST", most)
+    rng = np.random.default_rng(cuts)
+    rows = track_frame(rng, 30, 60)
+    want = {}
+    for track, own in rows.groupby("track_id"):
+        clock, frozen, streak = None, 0, []
+        for r in own.itertuples():
+            frozen += not r.hit
+            if r.hit and track not in want:
+                now = r.tick - frozen
+                streak = [*streak, r.confidence] if clock is not None and now - clock <= 3 else [r.confidence]
+                clock = now
+                if len(streak) == 3:
+                    want[track] = (r.frame_number, round(sum(streak) / 3, 9))
+    again = pd.concat([rows, rows.iloc[::7]])  # some rows come twice
+    for order in (np.arange(len(again)), rng.permutation(len(again))):
+        got = drive(sc._Confirm(Confirmation(), 600_000), ("g",), _split(again.iloc[order], cuts), 10**9)
+        found = {r.track_id: (r.frame_number, round(r.confidence, 9)) for r in got.itertuples()}
+        assert found == want and len(got) == len(want) > 15
+
+
+def test_idle_tracks_of_a_group_are_forgotten():
+    """A track without rows for the idle time leaves the state, while others of its group go on."""
+    rng = np.random.default_rng(5)
+    rows = track_frame(rng, 6, 9)
+    late = rows.assign(frame_time=rows["frame_time"] + pd.to_timedelta(rows["track_id"] * 100, unit="s"))
+    rule, handle = sc._Confirm(Confirmation(), 50_000), Handle()
+    rule.init(handle)
+    held = []
+    for track in range(6):
+        mark = int(os_.micros(pd.Series([START + timedelta(seconds=100 * track)]))[0]) // 1000 - 20_000
+        own = late[late["track_id"] == track]
+        list(rule.handleInputRows(("g",), iter([own]), Clock(mark)))
+        for at in (mark, mark + 30_000):
+            while due := sorted(t for t in handle.timers if t <= at):
+                handle.timers.discard(due[0])
+                list(rule.handleExpiredTimer(("g",), Clock(at), Clock(due[0])))
+        held.append(sorted(rule._load().carry))
+    assert held == [[f"t{t}"] for t in range(6)]
