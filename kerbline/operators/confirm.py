@@ -394,7 +394,8 @@ def track_trails(detections: DataFrame, length: int = 60, size: int = 4096) -> D
 
 
 def _sightings(detections: DataFrame) -> DataFrame:
-    return detections.filter("track_id IS NOT NULL").select(*TRACK, "frame_number").distinct()
+    # Hardly a row repeats, so a map-side combine would only hold what a scan task reads; after the exchange a task has a bounded part.
+    return detections.filter("track_id IS NOT NULL").select(*TRACK, "frame_number").repartition(*TRACK, "frame_number").distinct()
 
 
 def track_lifecycle(detections: DataFrame, max_lost: int | None = None, size: int = CHUNK) -> DataFrame:

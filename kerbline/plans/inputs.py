@@ -158,12 +158,14 @@ def detections_from(slots: DataFrame) -> DataFrame:
 def frames(dets: DataFrame) -> DataFrame:
     """Every frame 1..last of each camera session, also those without a detection.
 
-    The range is generated per block of frames so that one long session is not one task.
+    The range is generated per block of frames so that one long session is not one task. The blocks are
+    a few bytes each, so their partitions are given by number: adaptive execution would put all of them into one task.
     """
     block = 4096
+    parts = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = dets.groupBy("camera_id", "session_id").agg(F.max("frame_number").alias("last"))
     blocks = last.withColumn("b", F.explode(F.sequence(F.lit(0), F.expr(f"last div {block}"))))
-    spread = blocks.repartition("camera_id", "session_id", "b")
+    spread = blocks.repartition(parts, "camera_id", "session_id", "b")
     first = F.greatest(F.col("b") * block, F.lit(1))
     final = F.least(F.col("last"), F.col("b") * block + block - 1)
     return spread.filter(first <= final).select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbline.operators import ordered as o
 from kerbline.operators.percentiles import bracketed, exact_percentiles
+from kerbline.plans import inputs
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +80,11 @@ def test_percentiles_of_large_groups(spark):
     got = {(r.k, r.prob): r.value for r in long.collect()}
     assert got == pytest.approx({(k, p): q[i] for k, q in want.items() for i, p in enumerate(probs)}, rel=1e-12)
     assert {r.k: r.top for r in groups.collect()} == {k: q[-1] for k, q in want.items()}
+
+
+def test_frames_of_a_long_session_are_not_one_task(spark):
+    """The blocks are small to read, yet what they are spread into must not be made by one task."""
+    dets = spark.createDataFrame([(1, "s", 200_000), (None, "s", 3)], "camera_id BIGINT, session_id STRING, frame_number BIGINT")
+    made = inputs.frames(dets)
+    per_task = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 200_003 and max(per_task) < 150_000
