@@ -11,7 +11,8 @@ the exact edit distance. At the edit bound the signatures of one aligned window
 
 Only windows that can pass are embedded: an edit breaks at most two of the ``n - 1`` word pairs, so a
 window needs ``n - 1 - 2 * (n // 5)`` pairs that occur in pieces of its length. The pairs travel in a bitmap of
-fixed size; a benchmark that fills it makes the test weaker, never wrong. Equal windows are embedded
+fixed size; a benchmark that fills it makes the test weaker, never wrong. Pairs that no piece has are left out before the
+lengths are looked at. Equal windows are embedded
 once, and signatures meet in a join.
 
 Null or wordless texts and items match nothing, as do rows without an id. Repeated documents and
@@ -49,16 +50,18 @@ def _least_pairs(n):
 def embed(codes: np.ndarray, walk: int, positions: np.ndarray) -> np.ndarray:
     """What CGK writes at some sorted positions for windows ``(k, n)`` of word codes."""
     k, n = codes.shape
-    at, rows = np.zeros(k, np.int64), np.arange(k)
-    padded = np.concatenate([codes, np.zeros((k, 1), np.uint64)], axis=1)
+    padded = np.concatenate([codes, np.zeros((k, 1), np.uint64)], axis=1).ravel()
+    at = np.arange(k) * (n + 1)
+    end = at + n
     out = np.zeros((k, len(positions)), np.uint64)
     wanted = {int(p): i for i, p in enumerate(positions)}
     for step in range(int(positions[-1]) + 1):
-        now = padded[rows, at]
+        now = padded[at]
         if step in wanted:
             out[:, wanted[step]] = now
-        move = mix(now + np.uint64((walk * 4096 + step) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(63)
-        at = np.minimum(at + move.astype(np.int64), n)
+        now += np.uint64((walk * 4096 + step) * 0x9E3779B97F4A7C15 % (1 << 64))
+        at += (mix(now) >> np.uint64(63)).view(np.int64)
+        np.minimum(at, end, out=at)
     return out
 
 
@@ -74,8 +77,8 @@ def signatures(codes: np.ndarray) -> np.ndarray:
         seen = embed(codes, walk, positions)
         for t, pick in enumerate(picks):
             sig = np.full(len(codes), n * 1009 + walk * TRIES + t, np.uint64)
-            for p in pick:
-                sig = mix(sig + seen[:, np.searchsorted(positions, p)])
+            for p in np.searchsorted(positions, pick):
+                sig = mix(sig + seen[:, p])
             out.append(sig)
     return np.stack(out, axis=1)
 
@@ -138,6 +141,17 @@ def _bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))], ["cell", "mask"])
 
 
+def _with_pairs(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the windows of ``n`` words that hold enough of the word pairs at some sorted places."""
+    least = _least_pairs(n)
+    first, last = pairs[: max(len(pairs) - least + 1, 0)], pairs[least - 1 :]
+    lo, hi = np.maximum(last - (n - 2), 0), first + 1
+    lo[1:] = np.maximum(lo[1:], hi[:-1])  # each start once
+    some = lo < hi
+    lo, size = lo[some], (hi - lo)[some]
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def _windows(bitmap, lengths: list[int]):
     """Windows of documents that can be near a piece, with their words."""
     shortest = min(lengths)
@@ -154,29 +168,25 @@ def _windows(bitmap, lengths: list[int]):
         m = len(w.code)
         if not m:
             return
-        known = np.zeros(m, bool)
+        code, row = w.code, w.row
+        known, double = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if m > 1:
-            known[:-1] = _set(cells, _pairs(w.code), 0) & within(w.row, 2)
+            double = _pairs(code)
+            known = np.flatnonzero(_set(cells, double, 0) & within(row, 2))
         # Rows that have too few known pairs for any length are left out at once.
-        total = np.zeros(m + 1, np.int64)
-        np.cumsum(known, out=total[1:])
-        in_row = total[w.first[1:]] - total[w.first[:-1]]
-        hopeful = np.flatnonzero((in_row >= min(_least_pairs(n) for n in lengths)) & (np.diff(w.first) >= shortest))
-        if not len(hopeful):
-            return
-        chosen = np.concatenate([np.arange(w.first[r], w.first[r + 1]) for r in hopeful])
-        code, row = w.code[chosen], w.row[chosen]
-        single, double = grams(code, 1, 11), grams(code, 2, 11)
-        total = np.zeros(len(code), np.int64)
+        in_row = np.bincount(row[known], minlength=len(w.first) - 1)
+        hopeful = (in_row >= min(_least_pairs(n) for n in lengths)) & (np.diff(w.first) >= shortest)
+        known = known[hopeful[row[known]]]
+        double = double[known]
         for n in lengths:
-            if len(code) < n:
+            if m < n:
                 continue
             if n > 1:
-                np.cumsum(_set(cells, double, n), out=total[1:])
-                fits = total[n - 1 :] - total[: len(code) - n + 1] >= _least_pairs(n)
+                start = _with_pairs(known[_set(cells, double, n)], n)
+                start = start[start <= m - n]
             else:
-                fits = _set(cells, single, 1)
-            start = np.flatnonzero(fits & within(row, n))
+                start = np.flatnonzero(_set(cells, grams(code, 1, 11), 1))
+            start = start[row[start] == row[start + n - 1]]
             for part in np.array_split(start, max(1, len(start) * n // 200_000)):
                 if not len(part):
                     continue
@@ -184,7 +194,7 @@ def _windows(bitmap, lengths: list[int]):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[row[part]], pa.int64()),
-                        pa.array(chosen[part] - w.first[row[part]], pa.int64()),
+                        pa.array(part - w.first[row[part]], pa.int64()),
                         pa.array(np.full(len(part), n, np.int32)),
                         pa.FixedSizeListArray.from_arrays(pa.array(inside.view(np.int64).ravel()), n).cast(pa.list_(pa.int64())),
                     ],
